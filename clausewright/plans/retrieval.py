@@ -16,10 +16,10 @@ SMALL_BATCH = 1_000
 def normalise_queries(queries: DataFrame, top_k: int = fusion.FINAL_TOP_K) -> DataFrame:
     """Fills in the optional columns: jurisdiction, doc_type and top_k.
 
-    ``national`` and NULL both mean that no jurisdiction filter applies.
+    A NULL jurisdiction searches everything; ``national`` searches national chunks only.
     """
     have = set(queries.columns)
-    jurisdiction = F.nullif(F.col("jurisdiction"), F.lit("national")) if "jurisdiction" in have else F.lit(None)
+    jurisdiction = F.col("jurisdiction") if "jurisdiction" in have else F.lit(None)
     return queries.withColumns(
         {
             "query_id": F.col("query_id").cast("string"),
@@ -30,10 +30,10 @@ def normalise_queries(queries: DataFrame, top_k: int = fusion.FINAL_TOP_K) -> Da
     )
 
 
-def hit_lists(
-    index: SparseIndex, chunks: DataFrame, vectors: DataFrame, queries: DataFrame, boost_vector: list[float] | None
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Dense hits, dense hits with the boost appended, and keyword hits.
+def dense_lists(
+    vectors: DataFrame, queries: DataFrame, boost_vector: list[float] | None
+) -> tuple[DataFrame, DataFrame]:
+    """Dense hits, and the same lists with the boost appended.
 
     The boost list is the same for every query, so it is one more row in the
     batch and costs no second scan of the vectors.
@@ -41,20 +41,30 @@ def hit_lists(
     batch = queries.select(
         "query_id", "embedding", "jurisdiction", "doc_type", F.lit(search.DENSE_FETCH).alias("fetch")
     )
-    if boost_vector is not None:
-        extra = queries.sparkSession.createDataFrame(
-            [(BOOST_QUERY, [float(x) for x in boost_vector], None, search.BOOST_TYPE, search.BOOST_FETCH)],
-            "query_id string, embedding array<double>, jurisdiction string, doc_type string, fetch int",
-        )
-        batch = batch.withColumn("embedding", F.col("embedding").cast("array<double>")).unionByName(extra)
+    if boost_vector is None:
+        dense = materialise(search.dense_search(vectors, batch))
+        return dense, dense.withColumn("boosted", F.lit(False))
+    extra = queries.sparkSession.createDataFrame(
+        [(BOOST_QUERY, [float(x) for x in boost_vector], None, search.BOOST_TYPE, search.BOOST_FETCH)],
+        "query_id string, embedding array<double>, jurisdiction string, doc_type string, fetch int",
+    )
+    batch = batch.withColumn("embedding", F.col("embedding").cast("array<double>")).unionByName(extra)
     found = materialise(search.dense_search(vectors, batch))
     dense = found.where(F.col("query_id") != BOOST_QUERY)
-    if boost_vector is None:
-        boosted = dense.withColumn("boosted", F.lit(False))
-    else:
-        boosted = search.append_boost(dense, queries, found.where(F.col("query_id") == BOOST_QUERY).drop("query_id"))
-    sparse = materialise(search.sparse_search(index, chunks, queries))
-    return dense, boosted, sparse
+    boost = found.where(F.col("query_id") == BOOST_QUERY).drop("query_id")
+    return dense, search.append_boost(dense, queries, boost)
+
+
+def hit_lists(
+    index: SparseIndex, chunks: DataFrame, vectors: DataFrame, queries: DataFrame, boost_vector: list[float] | None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Dense hits, dense hits with the boost appended, and keyword hits.
+
+    The hits are few and costly, and everything after them reads them more than
+    once, so they are cut off from their lineage here.
+    """
+    dense, boosted = dense_lists(vectors, queries, boost_vector)
+    return dense, boosted, materialise(search.sparse_search(index, chunks, queries))
 
 
 def retrieve(
