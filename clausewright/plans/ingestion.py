@@ -33,3 +33,52 @@ def run_totals(raw: DataFrame, chunks: DataFrame, stored: DataFrame, key: str, a
         .withColumn("one", F.lit(1))
     )
     return fetched.join(cut, "one").drop("one")
+
+
+def run_ingestion(
+    kb,
+    sources: DataFrame,
+    raw_folder: str,
+    cache_path: str,
+    rebuild: bool = False,
+    source_ids: list[str] | None = None,
+    get=None,
+    as_of=None,
+    batch_id: str | None = None,
+) -> dict:
+    """Fetches, chunks, validates and stores the sources; gives the counts of the run.
+
+    A source that cannot be read is left out and the others go on; a source whose
+    metadata leaves the allowed domains is reported in ``errors``.
+    """
+    from clausewright.operators import chunking, validation
+    from clausewright.sources import reading
+
+    chosen = sources.where(F.col("id").isin(*source_ids)) if source_ids else sources
+    attempted = len(source_ids) if source_ids else chosen.count()
+    texts = reading.local_texts(chosen, raw_folder)
+    remote = chosen.where(~reading.is_local(F.col("url")))
+    texts = texts.unionByName(
+        reading.fetch_missing(remote, cache_path, get) if get else reading.fetch_missing(remote, cache_path)
+    )
+    raw = reading.raw_documents(chosen, texts)
+    checked = validation.validate(chunking.chunk_documents(raw, as_of))
+    seen = raw.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("char_count"), F.lit(0)).alias("chars")).first()
+    cut = checked.valid.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(is_stale(F.col("superseded_by"), F.col("expiry_date"), as_of)).alias("stale"),
+    ).first()
+    errors = [
+        f"Chunking failed for {r.source_doc_id}: {'; '.join(r.errors)}"
+        for r in checked.rejects.select("source_doc_id", "errors").distinct().toLocalIterator()
+    ]
+    added = kb.add_chunks(checked.valid, as_of, rebuild=rebuild, batch_id=batch_id)
+    return {
+        "sources_attempted": attempted,
+        "sources_succeeded": seen.n,
+        "total_chars": seen.chars,
+        "total_chunks": cut.n,
+        "chunks_added": added,
+        "chunks_rejected_stale": cut.stale,
+        "errors": errors,
+    }
