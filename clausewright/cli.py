@@ -33,8 +33,11 @@ def main(argv: list[str] | None = None) -> int:
     totals = run_ingestion(
         kb, registry(spark), args.raw, args.cache or f"{args.kb}/fetch_cache", args.rebuild, args.sources
     )
+    rejected = totals.pop("error_rows")
     for key, value in totals.items():
         print(f"{key}: {value}")
+    if totals["errors"]:
+        rejected.show(truncate=False)
     kb.list_sources().show(truncate=55)
     return 1 if totals["errors"] else 0
 

@@ -48,8 +48,9 @@ def run_ingestion(
 ) -> dict:
     """Fetches, chunks, validates and stores the sources; gives the counts of the run.
 
-    A source that cannot be read is left out and the others go on; a source whose
-    metadata leaves the allowed domains is reported in ``errors``.
+    A source that cannot be read is left out and the others go on. Chunks whose
+    metadata leaves the allowed domains are counted in ``errors`` and listed by
+    the ``error_rows`` frame.
     """
     from clausewright.operators import chunking, validation
     from clausewright.sources import reading
@@ -62,17 +63,14 @@ def run_ingestion(
         reading.fetch_missing(remote, cache_path, get) if get else reading.fetch_missing(remote, cache_path)
     )
     raw = reading.raw_documents(chosen, texts)
-    checked = validation.validate(chunking.chunk_documents(raw, as_of))
+    checked = validation.with_errors(chunking.chunk_documents(raw, as_of))
     seen = raw.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("char_count"), F.lit(0)).alias("chars")).first()
-    cut = checked.valid.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(is_stale(F.col("superseded_by"), F.col("expiry_date"), as_of)).alias("stale"),
+    clean = F.size("errors") == 0
+    stale = is_stale(F.col("superseded_by"), F.col("expiry_date"), as_of)
+    cut = checked.agg(
+        F.count_if(clean).alias("n"), F.count_if(clean & stale).alias("stale"), F.count_if(~clean).alias("rejected")
     ).first()
-    errors = [
-        f"Chunking failed for {r.source_doc_id}: {'; '.join(r.errors)}"
-        for r in checked.rejects.select("source_doc_id", "errors").distinct().toLocalIterator()
-    ]
-    added = kb.add_chunks(checked.valid, as_of, rebuild=rebuild, batch_id=batch_id)
+    added = kb.add_chunks(checked.where(clean).drop("errors"), as_of, rebuild=rebuild, batch_id=batch_id)
     return {
         "sources_attempted": attempted,
         "sources_succeeded": seen.n,
@@ -80,5 +78,6 @@ def run_ingestion(
         "total_chunks": cut.n,
         "chunks_added": added,
         "chunks_rejected_stale": cut.stale,
-        "errors": errors,
+        "errors": cut.rejected,
+        "error_rows": checked.where(~clean).select("source_doc_id", "chunk_index", "errors"),
     }

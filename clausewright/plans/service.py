@@ -10,6 +10,7 @@ from clausewright.functions.arrays import present
 from clausewright.functions.text import ws_trim
 from clausewright.operators import generation, search
 from clausewright.operators.fusion import lexical_score
+from clausewright.operators.sizing import materialise
 from clausewright.plans.knowledge import KnowledgeBase
 from clausewright.plans.retrieval import retrieve
 from clausewright.schema import COUNCILS, JURISDICTIONS, NATIONAL
@@ -103,7 +104,7 @@ class Service:
 
     def answer(self, requests: DataFrame) -> DataFrame:
         if "query_id" not in requests.columns:
-            requests = requests.withColumn("query_id", F.uuid())
+            requests = materialise(requests.withColumn("query_id", F.uuid()))
         asked = requests.withColumn("embedding", self.kb.embed(F.col("query")))
         return answer_requests(
             self.kb.sparse_index(requests),

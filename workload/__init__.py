@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("records", "splitting", "retrieval")
+MODULES = ("records", "splitting", "retrieval", "answers")
 
 
 def _collect(name: str) -> dict:
