@@ -89,24 +89,26 @@ class _Page(HTMLParser):
         return "\n".join(text for text, inside in self.pieces if chosen is None or chosen in inside)
 
 
-def page_text(html: str | None) -> str | None:
-    if html is None:
-        return None
+def page_text(html: str) -> str:
     page = _Page()
     page.feed(html)
     return page.main_text()
 
 
-@F.pandas_udf("string")
-def _pages(html: pd.Series) -> pd.Series:
-    return html.map(page_text)
+def _per_value(fn, col: Column) -> Column:
+    """Applies a small Python function to each value of a column, in Arrow batches."""
+
+    def apply(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else fn(v))
+
+    return F.pandas_udf(apply, "string")(col)
 
 
 def html_text(html: Column) -> Column:
     """Main text of a page: one stripped text node per line, long gaps and space runs shortened."""
     from clausewright.functions.text import ws_trim
 
-    text = F.regexp_replace(_pages(html), r"\n{4,}", "\n\n\n")
+    text = F.regexp_replace(_per_value(page_text, html), r"\n{4,}", "\n\n\n")
     return ws_trim(F.regexp_replace(text, " {2,}", " "))
 
 
@@ -120,16 +122,11 @@ def pdf_pages(content: bytes) -> str:
         return ""
 
 
-@F.pandas_udf("string")
-def pdf_text(content: pd.Series) -> pd.Series:
-    return content.map(lambda c: "" if c is None else pdf_pages(bytes(c)))
-
-
-@F.pandas_udf("string")
-def _decoded(content: pd.Series) -> pd.Series:
-    return content.map(lambda c: None if c is None else bytes(c).decode("utf-8", "ignore"))
+def pdf_text(content: Column) -> Column:
+    return F.coalesce(_per_value(lambda c: pdf_pages(bytes(c)), content), F.lit(""))
 
 
 def plain_text(content: Column) -> Column:
     """UTF-8 text without its undecodable bytes and with plain line ends."""
-    return F.regexp_replace(_decoded(content), r"\r\n?", "\n")
+    decoded = _per_value(lambda c: bytes(c).decode("utf-8", "ignore"), content)
+    return F.regexp_replace(decoded, r"\r\n?", "\n")
