@@ -175,14 +175,9 @@ def generate_answers(results: DataFrame, provider=None) -> DataFrame:
         results = results.withColumn("council", F.lit(NATIONAL))
     staged = check_answers(results, report="pre").withColumn("class", classify_query(F.col("query")))
     prompt = build_prompt(F.col("class"), context_string(F.col("chunks")), F.col("query"), F.col("council"))
-    staged = staged.withColumn("prompt", F.when(~F.col("pre.is_blocked"), prompt))
-    open_rows = staged.where(~F.col("pre.is_blocked")).withColumn(
+    answered = staged.withColumn("prompt", F.when(~F.col("pre.is_blocked"), prompt)).withColumn(
         "reply", provider.complete(SYSTEM_PROMPT, F.col("prompt"))
     )
-    closed = staged.where(F.col("pre.is_blocked")).withColumn(
-        "reply", F.lit(None).cast("struct<text:string,error:string>")
-    )
-    answered = open_rows.unionByName(closed).drop("prompt")
     parsed = answered.withColumn("parsed", F.when(F.col("reply.text").isNotNull(), parse_answer(F.col("reply.text"))))
     parsed = parsed.withColumn("generated", F.col("reply.text"))
     return assemble_responses(check_answers(parsed, "generated", "post"), provider.name)

@@ -2,7 +2,7 @@
 
 Term frequencies are counted inside each chunk's row (sort the tokens, then
 measure the runs), so postings are built without any shuffle. The only exchange
-is the one that counts documents per term, after map-side combining.
+is the one that counts chunks per term, after map-side combining.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewright.functions.text import tokenise
+from clausewright.operators.sizing import materialise
 
 # BM25 parameters.
 K1 = 1.5
@@ -58,16 +59,17 @@ def build_postings(chunks: DataFrame) -> DataFrame:
     return term_runs(chunks, tokenise(F.col("text")), "chunk_id").select("term", "chunk_id", "tf", "dl")
 
 
-def corpus_totals(chunks: DataFrame) -> DataFrame:
-    """Additive totals of a set of chunks, so that batches can be summed."""
-    return chunks.agg(
-        F.count(F.lit(1)).alias("n_docs"),
-        F.coalesce(F.sum(F.size(tokenise(F.col("text")))), F.lit(0)).cast("long").alias("sum_dl"),
+def document_frequencies(postings: DataFrame) -> DataFrame:
+    """``df`` chunks hold the term, ``cf`` times in all."""
+    return postings.groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"), F.sum(F.col("tf").cast("long")).alias("cf")
     )
 
 
-def document_frequencies(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def corpus_totals(chunks: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """Additive totals of a set of chunks, so that batches can be summed. Reads no text."""
+    tokens = frequencies.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("sum_dl")).scalar()
+    return chunks.agg(F.count(F.lit(1)).alias("n_docs")).select("n_docs", tokens.alias("sum_dl"))
 
 
 def summarise_corpus(totals: DataFrame) -> DataFrame:
@@ -86,11 +88,18 @@ def weigh_terms(frequencies: DataFrame, corpus: DataFrame) -> DataFrame:
     return raw.select("term", "df", F.when(F.col("raw_idf") < 0, floor).otherwise(F.col("raw_idf")).alias("idf"))
 
 
-def build_sparse_index(chunks: DataFrame) -> SparseIndex:
-    """Index of the given chunks (already freed of stale rows)."""
+def build_sparse_index(chunks: DataFrame, keep: bool = False) -> SparseIndex:
+    """Index of the given chunks (already freed of stale rows).
+
+    With ``keep`` the postings are written out once and read for the frequencies
+    and for the search, so that the texts are tokenised only once.
+    """
     postings = build_postings(chunks)
-    corpus = summarise_corpus(corpus_totals(chunks))
-    return SparseIndex(postings, weigh_terms(document_frequencies(postings), corpus), corpus)
+    if keep:
+        postings = materialise(postings)
+    frequencies = document_frequencies(postings)
+    corpus = summarise_corpus(corpus_totals(chunks, frequencies))
+    return SparseIndex(postings, weigh_terms(frequencies, corpus), corpus)
 
 
 def new_chunks(chunks: DataFrame, stored_ids: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,17 +28,18 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a small, costly intermediate through the shared checkpoint folder.
+    """Writes an intermediate that is read more than once to the shared checkpoint folder and reads it back.
 
     The folder is the one the session names; only a session without one, as in
-    tests, gets a folder of its own.
+    tests, gets a folder of its own. The table outlives lost executors, and its
+    size is known to whatever joins it.
     """
-    import tempfile
-
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(
             spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clausewright-")
         )
-    return df.checkpoint()
+    path = f"{context.getCheckpointDir()}/clausewright-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

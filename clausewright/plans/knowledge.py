@@ -34,7 +34,7 @@ _TABLES = {
     "chunks": CHUNK_SCHEMA,
     "vectors": _VECTOR,
     "postings": "term string, chunk_id string, tf int, dl int, term_bucket int",
-    "frequencies": "term string, df long",
+    "frequencies": "term string, df long, cf long",
     "totals": "n_docs long, sum_dl long",
     "term_stats": "term string, df long, idf double",
 }
@@ -151,7 +151,7 @@ class KnowledgeBase:
         postings = index.build_postings(written).withColumn("term_bucket", term_bucket(F.col("term")))
         self._write(postings, "postings", batch, "term_bucket")
         self._write(index.document_frequencies(self._table("postings", [batch])), "frequencies", batch)
-        self._write(index.corpus_totals(written), "totals", batch)
+        self._write(index.corpus_totals(written, self._table("frequencies", [batch])), "totals", batch)
         summed = self._table("frequencies", live).groupBy("term").agg(F.sum("df").alias("df"))
         corpus = index.summarise_corpus(self._table("totals", live))
         self._write(index.weigh_terms(summed, corpus), "term_stats", batch)

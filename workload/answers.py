@@ -26,7 +26,8 @@ CASE = {
 
 def cases(spark, sf):
     """Each turn as a question with an answer text and up to two retrieved chunks."""
-    turns = d.table(spark, sf, "conversations").selectExpr(*[f"{e} AS {n}" for n, e in CASE.items()])
+    rows = d.spread(d.table(spark, sf, "conversations"), "conv_id")
+    turns = rows.selectExpr(*[f"{e} AS {n}" for n, e in CASE.items()])
     chunk = F.struct(
         "text",
         F.struct(
@@ -154,7 +155,8 @@ ANSWER = (
 
 
 def answers(spark, sf):
-    return d.table(spark, sf, "events").selectExpr("event_id", f"{ANSWER} AS raw").withColumn(
+    events = d.spread(d.table(spark, sf, "events"), "event_id")
+    return events.selectExpr("event_id", f"{ANSWER} AS raw").withColumn(
         "parsed", generation.parse_answer(F.col("raw"))
     )
 

@@ -53,8 +53,8 @@ def live_chunks(spark, sf):
     return validation.drop_stale(d.corpus(spark, sf), d.AS_OF).select("chunk_id", "text")
 
 
-def sparse_index(spark, sf):
-    return index.build_sparse_index(live_chunks(spark, sf))
+def sparse_index(spark, sf, keep=True):
+    return index.build_sparse_index(live_chunks(spark, sf), keep)
 
 
 def bm25_postings(spark, sf):
@@ -62,7 +62,7 @@ def bm25_postings(spark, sf):
 
 
 def bm25_term_stats(spark, sf):
-    return sparse_index(spark, sf).term_stats.select("term", "df", F.round("idf", 6).alias("idf"))
+    return sparse_index(spark, sf, keep=False).term_stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def dedupe_new_chunks(spark, sf):
