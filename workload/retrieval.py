@@ -9,7 +9,8 @@ from clausewright.plans import retrieval as plan
 from workload import data as d
 from workload.records import INDEX_CTES, TOKENS_SQL, sparse_index
 
-NO_FILTER = {"jurisdiction": F.lit(None).cast("string"), "doc_type": F.lit(None).cast("string")}
+def unfiltered(asks):
+    return asks.withColumns({name: F.lit(None).cast("string") for name in ("jurisdiction", "doc_type")})
 
 
 def hits(df, *extra):
@@ -17,7 +18,7 @@ def hits(df, *extra):
 
 
 def bm25_topk(spark, sf):
-    asks = d.asks(spark, sf).withColumns(NO_FILTER)
+    asks = unfiltered(d.asks(spark, sf))
     return hits(search.sparse_search(sparse_index(spark, sf), d.fresh_corpus(spark, sf), asks))
 
 
@@ -26,7 +27,7 @@ def sparse_filtered(spark, sf):
 
 
 def dense_knn(spark, sf):
-    return hits(search.dense_search(d.vectors(spark, sf), d.asks(spark, sf).withColumns(NO_FILTER)))
+    return hits(search.dense_search(d.vectors(spark, sf), unfiltered(d.asks(spark, sf))))
 
 
 def dense_filtered(spark, sf):
