@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewright.functions.text import blank_to, find_all, left, rx, ws_trim
+from clausewright.operators.sizing import broadcast_when, few_values, restrict
 from clausewright.schema import NATIONAL
 
 # Fusion constant and the sizes of each stage.
@@ -61,10 +62,14 @@ def rrf_fuse(dense: DataFrame, sparse: DataFrame) -> DataFrame:
 
 
 def candidates(fused: DataFrame, chunks: DataFrame, queries: DataFrame, small: bool) -> DataFrame:
-    """The best fused, non-stale chunks of each query with their text and metadata."""
-    from clausewright.operators.sizing import broadcast_when
+    """The best fused, non-stale chunks of each query with their text and metadata.
 
-    details = chunks.select(
+    Texts are fetched for the fused ids only: a small set of ids becomes a filter
+    that reaches the files, a bounded set is broadcast to the chunks, and a large
+    one is joined by shuffling.
+    """
+    wanted = restrict(chunks, "chunk_id", few_values(fused, "chunk_id"))
+    details = wanted.select(
         "chunk_id",
         "text",
         F.struct(

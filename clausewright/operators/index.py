@@ -13,13 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewright.functions.text import tokenise
-from clausewright.operators.sizing import materialise
+from clausewright.operators.sizing import at_most, materialise
 
 # BM25 parameters.
 K1 = 1.5
 B = 0.75
 EPSILON = 0.25
 
+BROADCAST_IDS = 100_000
+
 
 @dataclass(frozen=True)
 class SparseIndex:
@@ -103,8 +105,16 @@ def build_sparse_index(chunks: DataFrame, keep: bool = False) -> SparseIndex:
 
 
 def new_chunks(chunks: DataFrame, stored_ids: DataFrame) -> DataFrame:
-    """Rows whose id is neither stored already nor repeated inside the batch."""
-    return chunks.dropDuplicates(["chunk_id"]).join(stored_ids.select("chunk_id"), "chunk_id", "left_anti")
+    """Rows whose id is neither stored already nor repeated inside the batch.
+
+    A small batch travels to the stored ids, so these are scanned but not
+    shuffled; a large one is joined by shuffling both by id.
+    """
+    stored = stored_ids.select("chunk_id")
+    ids = chunks.select("chunk_id")
+    if at_most(ids, BROADCAST_IDS):
+        stored = stored.join(F.broadcast(ids.distinct()), "chunk_id", "left_semi")
+    return chunks.dropDuplicates(["chunk_id"]).join(stored, "chunk_id", "left_anti")
 
 
 def manifest(chunks: DataFrame) -> DataFrame:

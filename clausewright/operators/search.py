@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from clausewright.functions.text import contains_any, tokenise
 from clausewright.operators.index import B, K1, SparseIndex
-from clausewright.operators.sizing import at_most, broadcast_when
+from clausewright.operators.sizing import at_most, broadcast_when, few_values, materialise, restrict
 from clausewright.schema import NATIONAL
 
 # How many hits each search fetches.
@@ -104,10 +104,11 @@ def sparse_search(index: SparseIndex, chunks: DataFrame, queries: DataFrame, n:
     chunks, so fewer than ``n`` may remain. ``chunks`` needs ``chunk_id``,
     ``jurisdiction`` and ``is_stale``; ``queries`` needs ``jurisdiction``.
     """
-    best = ranked(sparse_scores(index, queries), OVERFETCH * n, F.desc("score"), F.asc("chunk_id")).drop("rank")
+    scored = sparse_scores(index, queries)
+    best = materialise(ranked(scored, OVERFETCH * n, F.desc("score"), F.asc("chunk_id")).drop("rank"))
     few = at_most(queries, BROADCAST_HITS // (OVERFETCH * n))
     wanted = queries.select("query_id", F.col("jurisdiction").alias("wanted"))
-    meta = chunks.select("chunk_id", "jurisdiction", "is_stale")
+    meta = restrict(chunks.select("chunk_id", "jurisdiction", "is_stale"), "chunk_id", few_values(best, "chunk_id"))
     kept = (
         meta.join(broadcast_when(few, best), "chunk_id")
         .join(broadcast_when(few, wanted), "query_id")
@@ -218,7 +219,7 @@ def dense_search(vectors: DataFrame, queries: DataFrame, n: int = DENSE_FETCH, b
     prepared = _query_frame(queries, n)
     rows = prepared.limit(block + 1).collect()
     if len(rows) <= block:
-        partial = _scan_with_block(pool, rows)
+        partial = _scan_with_block(_needed(pool, rows), rows)
     else:
         partial = _tile(pool, prepared, block)
     limits = prepared.select("query_id", "fetch")
@@ -228,6 +229,17 @@ def dense_search(vectors: DataFrame, queries: DataFrame, n: int = DENSE_FETCH, b
     return best.join(broadcast_when(len(rows) <= block, limits), "query_id").where("rank <= fetch").drop("fetch")
 
 
+def _needed(pool: DataFrame, rows: list) -> DataFrame:
+    """Leaves out jurisdictions and document types that no query of the block can match."""
+    places = {r.wanted for r in rows}
+    types = {r.wanted_type for r in rows}
+    if rows and None not in places:
+        pool = pool.where(F.col("jurisdiction").isin(*places, NATIONAL))
+    if rows and None not in types:
+        pool = pool.where(F.col("document_type").isin(*types))
+    return pool
+
+
 HITS = "query_id string, chunk_id string, score double"
 HITS_ARROW = pa.schema([("query_id", pa.string()), ("chunk_id", pa.string()), ("score", pa.float64())])
 

@@ -18,6 +18,22 @@ def broadcast_when(small: bool, df: DataFrame) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+FEW_VALUES = 256
+
+
+def few_values(df: DataFrame, column: str, most: int = FEW_VALUES) -> list | None:
+    """The distinct values of a column when there are at most ``most`` of them, else None."""
+    rows = df.select(column).distinct().limit(most + 1).collect()
+    return [r[0] for r in rows] if len(rows) <= most else None
+
+
+def restrict(df: DataFrame, column: str, values: list | None) -> DataFrame:
+    """Keeps the rows with these values, as a filter that reaches the files; None keeps all rows."""
+    if values is None:
+        return df
+    return df.where(F.col(column).isin(*values)) if values else df.where(F.lit(False))
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Uses the idle cores when an input has fewer splits than there are task slots.
 

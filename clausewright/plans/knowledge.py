@@ -19,10 +19,10 @@ from pyspark.sql import types as T
 
 from clausewright.functions.text import tokenise
 from clausewright.operators import index, validation
-from clausewright.operators.sizing import at_most
+from clausewright.operators.sizing import at_most, few_values, restrict
 from clausewright.schema import CHUNK_SCHEMA, FEEDBACK_SCHEMA
 
-TERM_BUCKETS = 256
+TERM_BUCKETS = 64
 PRUNE_QUERIES = 10_000
 
 _COMMIT = "batch_id string, seq long, kind string"
@@ -87,20 +87,30 @@ class KnowledgeBase:
         return rows.withColumn("is_stale", is_stale(F.col("superseded_by"), F.col("expiry_date"), as_of))
 
     def sparse_index(self, queries: DataFrame | None = None) -> index.SparseIndex:
-        """The keyword index. With a small batch of queries, only the term buckets they need are read."""
+        """The keyword index. With a small batch of queries, only the terms they need are read."""
         live = self.batches()
-        postings = self._table("postings", live)
+        postings, stats = self._table("postings", live), self._table("term_stats", live[-1:])
         if queries is not None and live and at_most(queries, PRUNE_QUERIES):
             terms = queries.select(F.explode(tokenise(F.col("query"))).alias("term"))
-            needed = [r[0] for r in terms.select(term_bucket(F.col("term"))).distinct().collect()]
-            postings = postings.where(F.col("term_bucket").isin(*needed) if needed else F.lit(False))
+            buckets = few_values(terms.select(term_bucket(F.col("term")).alias("b")), "b", TERM_BUCKETS)
+            words = few_values(terms, "term")
+            postings = restrict(restrict(postings, "term_bucket", buckets), "term", words)
+            stats = restrict(stats, "term", words)
         corpus = index.summarise_corpus(self._table("totals", live))
-        return index.SparseIndex(postings.drop("term_bucket"), self._table("term_stats", live[-1:]), corpus)
+        return index.SparseIndex(postings.drop("term_bucket"), stats, corpus)
 
     # -- writing -----------------------------------------------------------------------
 
-    def _write(self, df: DataFrame, name: str, batch: str, by: str | None = None) -> None:
-        writer = (df.hint("rebalance", by) if by else df).write.mode("overwrite")
+    def _write(self, df: DataFrame, name: str, batch: str, by: str | None = None, key: str | None = None) -> None:
+        """Writes one batch of a table, in folders by ``by`` and with files sorted by ``key``.
+
+        Rebalancing splits large folders over many tasks. Sorted files and a bloom
+        filter let a lookup by key skip nearly all row groups.
+        """
+        shaped = df.hint("rebalance", by) if by else df
+        writer = (shaped.sortWithinPartitions(*[c for c in (by, key) if c]) if key else shaped).write.mode("overwrite")
+        if key:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
         (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/{name}/batch_id={batch}")
 
     def add_chunks(
@@ -122,10 +132,10 @@ class KnowledgeBase:
         if overwrite or rebuild:
             fresh = incoming.dropDuplicates(["chunk_id"])
             kept = stored.join(fresh.select("chunk_id"), "chunk_id", "left_anti")
-            self._write(fresh.unionByName(kept), "chunks", batch, "jurisdiction")
+            self._write(fresh.unionByName(kept).repartition("chunk_id"), "chunks", batch, key="chunk_id")
             live, kind = [], "base"
         else:
-            self._write(index.new_chunks(incoming, stored), "chunks", batch, "jurisdiction")
+            self._write(index.new_chunks(incoming, stored), "chunks", batch, key="chunk_id")
             kind = "append"
         written = self._table("chunks", [batch])
         count = written.count()
@@ -149,12 +159,12 @@ class KnowledgeBase:
         )
         self._write(vectors, "vectors", batch, "jurisdiction")
         postings = index.build_postings(written).withColumn("term_bucket", term_bucket(F.col("term")))
-        self._write(postings, "postings", batch, "term_bucket")
+        self._write(postings, "postings", batch, "term_bucket", "term")
         self._write(index.document_frequencies(self._table("postings", [batch])), "frequencies", batch)
         self._write(index.corpus_totals(written, self._table("frequencies", [batch])), "totals", batch)
         summed = self._table("frequencies", live).groupBy("term").agg(F.sum("df").alias("df"))
         corpus = index.summarise_corpus(self._table("totals", live))
-        self._write(index.weigh_terms(summed, corpus), "term_stats", batch)
+        self._write(index.weigh_terms(summed, corpus), "term_stats", batch, key="term")
 
     # -- reports -----------------------------------------------------------------------
 

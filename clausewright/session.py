@@ -10,6 +10,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Lists of up to this many keys are checked against file statistics and bloom filters.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "256",
 }
 
 

@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from clausewright.operators import search
+from clausewright.operators.sizing import few_values, restrict
 from conftest import SMALL
 from workload import data as d
-from workload import records, retrieval, splitting
+from workload import records, splitting
 
 
 def plan(df):
@@ -28,21 +29,34 @@ class TestPlans:
         text = plan(records.staleness_gate(spark, SMALL))
         assert "ReadSchema: struct<doc_id:bigint>" in text
 
+    def scored(self, spark):
+        asks = d.asks(spark, SMALL)
+        scores = search.sparse_scores(records.sparse_index(spark, SMALL), asks)
+        return plan(search.ranked(scores, 60, F.desc("score"), F.asc("chunk_id")))
+
     def test_top_hits_are_limited_before_the_shuffle(self, spark):
-        text = plan(retrieval.sparse_filtered(spark, SMALL))
-        assert text.count("WindowGroupLimit") >= 2 and "BroadcastHashJoin" in text
+        text = self.scored(spark)
+        assert text.count("WindowGroupLimit") == 2 and "BroadcastHashJoin" in text
         assert "CartesianProduct" not in text and "NestedLoop" not in text
 
-    def test_large_batches_are_not_broadcast(self, spark, monkeypatch):
+    def test_large_batches_are_salted_and_not_broadcast(self, spark, monkeypatch):
         monkeypatch.setattr(search, "BROADCAST_QUERY_TERMS", 0)
-        monkeypatch.setattr(search, "BROADCAST_HITS", 0)
+        threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         try:
-            text = plan(retrieval.sparse_filtered(spark, SMALL))
+            text = self.scored(spark)
         finally:
-            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         assert "Broadcast" not in text and "salt" in text
 
+    def test_few_ids_reach_the_files(self, spark, tmp_path):
+        path = str(tmp_path / "t")
+        spark.range(100).selectExpr("cast(id as string) chunk_id", "id").write.parquet(path)
+        table = spark.read.parquet(path)
+        ids = few_values(table.where("id < 20"), "chunk_id")
+        assert "In(chunk_id, [" in plan(restrict(table, "chunk_id", ids)).split("PushedFilters")[1]
+        assert few_values(table, "chunk_id", 99) is None
+
     def test_vectors_are_scanned_once_without_shuffle(self, spark):
         df = search.dense_search(d.vectors(spark, SMALL), d.asks(spark, SMALL))
         assert plan(df).count("MapInArrow") == 1
