@@ -46,16 +46,18 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 def materialise(df: DataFrame) -> DataFrame:
     """Writes an intermediate that is read more than once to the shared checkpoint folder and reads it back.
 
-    The folder is the one the session names; only a session without one, as in
-    tests, gets a folder of its own. The table outlives lost executors, and its
-    size is known to whatever joins it.
+    The folder is the one the session names. A local session without one, as in
+    tests, gets a folder of its own; on a cluster without one the frame is used
+    as it is and computed again for every reader. The table outlives lost
+    executors, and its size is known to whatever joins it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clausewright-")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            return df
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="clausewright-"))
     path = f"{context.getCheckpointDir()}/clausewright-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausewright.operators.sizing import at_most, broadcast_when
 from clausewright.schema import SOURCE_SCHEMA
 from clausewright.sources.extract import html_text, pdf_text, plain_text
 
@@ -21,6 +22,7 @@ RETRY_DELAY_SECONDS = 2
 RATE_LIMIT_SECONDS = 1.5
 LOCAL_SCHEME = "local://"
 
+BROADCAST_SOURCES = 100_000
 CACHE_SCHEMA = "id string, cache_key string, raw_text string"
 
 
@@ -51,12 +53,12 @@ def local_texts(sources: DataFrame, folder: str) -> DataFrame:
     """
     spark = sources.sparkSession
     wanted = sources.where(is_local(F.col("url"))).select(
-        "id", F.substring(F.col("url"), len(LOCAL_SCHEME) + 1, 4096).alias("file")
+        "id", F.replace(F.col("url"), F.lit(LOCAL_SCHEME), F.lit("")).alias("file")
     )
     files = spark.read.format("binaryFile").load(folder).withColumn(
         "file", F.element_at(F.split("path", "/"), -1)
     )
-    both = files.join(F.broadcast(wanted), "file")
+    both = files.join(broadcast_when(at_most(wanted, BROADCAST_SOURCES), wanted), "file")
     is_text = F.endswith(F.lower("file"), F.lit(".txt"))
     texts = both.where(is_text).select("id", plain_text(F.col("content")).alias("raw_text")).unionByName(
         both.where(~is_text).select("id", pdf_text(F.col("content")).alias("raw_text"))
