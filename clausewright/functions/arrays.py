@@ -1,4 +1,4 @@
-"""Array helpers that stay linear in the length of the array."""
+"""Array helpers for long arrays."""
 
 from __future__ import annotations
 
@@ -10,40 +10,54 @@ from pyspark.sql import functions as F
 PAGE = 256
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Computes a value once per row and binds it for ``body``.
+
+    An expression named inside the lambda of another array function may otherwise
+    be computed again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold_pack(items: Column, joins: Callable[[Column, Column], Column], glue: Callable[[Column, Column], Column]) -> Column:
     """Greedy left-to-right packing of strings.
 
     A buffer absorbs the next item while ``joins(buffer, item)`` holds, through
     ``glue``; otherwise the buffer is emitted and restarts from the item. Empty
-    buffers are not emitted. Emitted strings are collected in pages, so that
-    appending copies at most one page and long documents stay affordable.
+    buffers are not emitted.
+
+    Spark copies a fold's state at every step. The items are therefore folded in
+    blocks: within a block the state holds what that block has emitted, and only
+    once per block it is appended to everything before.
     """
-    empty_page = F.array().cast("array<string>")
-    start = F.struct(
-        F.array().cast("array<array<string>>").alias("pages"),
-        empty_page.alias("page"),
-        F.lit("").alias("buf"),
-    )
 
     def step(acc: Column, item: Column) -> Column:
-        pages, page, buf = acc["pages"], acc["page"], acc["buf"]
+        page, buf = acc["page"], acc["buf"]
         absorbed = joins(buf, item)
-        emits = ~absorbed & (buf != "")
-        full = emits & (F.size(page) >= PAGE)
         return F.struct(
-            F.when(full, F.concat(pages, F.array(page))).otherwise(pages).alias("pages"),
-            F.when(full, F.array(buf))
-            .when(emits, F.concat(page, F.array(buf)))
-            .otherwise(page)
-            .alias("page"),
+            F.when(~absorbed & (buf != ""), F.concat(page, F.array(buf))).otherwise(page).alias("page"),
             F.when(absorbed, glue(buf, item)).otherwise(item).alias("buf"),
         )
 
+    def block_step(acc: Column, block: Column) -> Column:
+        start = F.struct(F.array().cast("array<string>").alias("page"), acc["buf"].alias("buf"))
+        return let(
+            F.aggregate(block, start, step),
+            lambda done: F.struct(
+                F.concat(acc["pages"], F.array(done["page"])).alias("pages"), done["buf"].alias("buf")
+            ),
+        )
+
     def finish(acc: Column) -> Column:
-        everything = F.concat(F.flatten(acc["pages"]), acc["page"], F.array(acc["buf"]))
-        return F.filter(everything, lambda s: s != "")
+        return F.filter(F.concat(F.flatten(acc["pages"]), F.array(acc["buf"])), lambda s: s != "")
+
+    def fold(bound: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(bound) + 1, F.lit(PAGE)), lambda s: s <= F.size(bound))
+        blocks = F.transform(starts, lambda s: F.slice(bound, s, F.lit(PAGE)))
+        nothing = F.struct(F.array().cast("array<array<string>>").alias("pages"), F.lit("").alias("buf"))
+        return F.aggregate(blocks, nothing, block_step, finish)
 
-    return F.aggregate(items, start, step, finish)
+    return let(items, fold)
 
 
 def present(*candidates: Column) -> Column:

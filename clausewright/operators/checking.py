@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.functions.arrays import present
+from clausewright.functions.arrays import let, present
 from clausewright.functions.text import find_all, left, rx, ws_trim
 from clausewright.operators.fusion import accessor, entity_set
 
@@ -89,7 +89,13 @@ def escalation_pattern(query: Column) -> Column:
 def ungrounded_references(generated: Column, entities: Column) -> Column:
     """References of the text, repeats included, that are part of no entity."""
     refs = find_all(generated, rx(REFERENCE_PATTERN, ignore_case=True))
-    return F.filter(refs, lambda r: ~F.exists(entities, lambda e: F.contains(e, F.lower(ws_trim(r)))))
+
+    def covered(ref: Column, known: Column) -> Column:
+        return F.exists(known, lambda e: F.contains(e, ref))
+
+    return let(
+        entities, lambda known: F.filter(refs, lambda r: ~let(F.lower(ws_trim(r)), lambda ref: covered(ref, known)))
+    )
 
 
 def all_chunk_text(chunks: Column) -> Column:
@@ -99,7 +105,7 @@ def all_chunk_text(chunks: Column) -> Column:
 def ungrounded_numbers(generated: Column, context: Column) -> Column:
     """Numbers of the text, by pattern and repeats included, that the retrieved text lacks."""
     found = F.flatten(F.array(*[find_all(generated, rx(p, ignore_case=True)) for p in NUMERIC_PATTERNS]))
-    return F.filter(found, lambda n: ~F.contains(context, F.lower(n)))
+    return let(context, lambda text: F.filter(found, lambda n: ~F.contains(text, F.lower(n))))
 
 
 def confidence_score(quality: Column, flags: Column, claims: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.functions.arrays import fold_pack
+from clausewright.functions.arrays import fold_pack, let
 from clausewright.functions.text import find_all, left, rx, ws_trim
 from clausewright.schema import CHUNK_SCHEMA, SCHEMA_VERSION
 
@@ -74,15 +74,17 @@ def raw_pieces(text: Column, rule: Column) -> Column:
     return pieces.otherwise(paragraphs(text))
 
 
-def with_overlap(pieces: Column, heads: Column) -> Column:
+def with_overlap(pieces: Column) -> Column:
     """Every piece runs on into the first characters of what follows it."""
-    return F.transform(
-        pieces,
-        lambda piece, i: F.concat(
-            piece,
-            left(F.array_join(F.slice(heads, i + 2, F.lit(OVERLAP_SEGMENTS)), ""), OVERLAP_CHARS),
-        ),
-    )
+
+    def extend(heads: Column) -> Column:
+        def one(piece: Column, i: Column) -> Column:
+            following = F.array_join(F.slice(heads, i + 2, F.lit(OVERLAP_SEGMENTS)), "")
+            return F.concat(piece, left(following, OVERLAP_CHARS))
+
+        return F.transform(pieces, one)
+
+    return let(F.transform(pieces, lambda p: left(p, OVERLAP_CHARS)), extend)
 
 
 def merge_short(segments: Column) -> Column:
@@ -133,12 +135,11 @@ def split_segments(docs: DataFrame, text: str = "raw_text") -> DataFrame:
     return (
         docs.withColumn("rule", boundary_rule(raw))
         .withColumn("pieces", raw_pieces(raw, F.col("rule")))
-        .withColumn("heads", F.transform("pieces", lambda p: left(p, OVERLAP_CHARS)))
         .withColumn(
             "segments",
-            F.when(F.col("rule") > 0, with_overlap(F.col("pieces"), F.col("heads"))).otherwise(F.col("pieces")),
+            F.when(F.col("rule") > 0, with_overlap(F.col("pieces"))).otherwise(F.col("pieces")),
         )
-        .drop("pieces", "heads")
+        .drop("pieces")
     )
 
 

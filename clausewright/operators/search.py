@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausewright.functions.arrays import let
 from clausewright.functions.text import contains_any, tokenise
 from clausewright.operators.index import B, K1, SparseIndex
 from clausewright.operators.sizing import at_most, broadcast_when, few_values, materialise, restrict
@@ -123,7 +124,13 @@ def sparse_search(index: SparseIndex, chunks: DataFrame, queries: DataFrame, n:
 
 def l2_normalise(vector: Column) -> Column:
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return F.transform(vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+
+    def scale(length: Column) -> Column:
+        return F.transform(
+            vector, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0))
+        )
+
+    return let(norm, scale)
 
 
 class _Block:

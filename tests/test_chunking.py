@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -110,6 +111,13 @@ def test_many_segments_cross_a_page(spark):
     assert len(expected_chunks(text)) > 2 * PAGE
 
 
+def test_very_many_headings_stay_affordable(spark):
+    text = "\n".join(f"CLASS {i} {filler(i % 7 + 1, i)}" for i in range(40_000))
+    start = time.monotonic()
+    assert actual_chunks(spark, [text])[0] == expected_chunks(text)
+    assert time.monotonic() - start < 60
+
+
 piece = st.one_of(
     st.sampled_from(["\n", "\n\n", "\n\n\n", " ", "CLASS 1 ", "Class 2A", "Article 3 ", "4.—(1) ", "12(3)", "5. Site Rules:", "\r\n"]),
     st.integers(1, 60).map(lambda n: filler(n, n)),
