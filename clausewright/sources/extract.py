@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+from html.entities import name2codepoint
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -89,9 +90,19 @@ class _Page(HTMLParser):
         return "\n".join(text for text, inside in self.pieces if chosen is None or chosen in inside)
 
 
+# A named reference counts only with its semicolon and only when HTML 4 knows the name.
+_REFERENCE = re.compile(r"&([A-Za-z_:][A-Za-z0-9_:.\-]*)(;?)")
+_KNOWN_NAMES = frozenset(name2codepoint) | {"apos"}
+
+
+def _literal_unless_known(match: re.Match) -> str:
+    known = match[2] and match[1] in _KNOWN_NAMES
+    return match[0] if known else "&amp;" + match[0][1:]
+
+
 def page_text(html: str) -> str:
     page = _Page()
-    page.feed(html)
+    page.feed(_REFERENCE.sub(_literal_unless_known, html))
     return page.main_text()
 
 

@@ -64,6 +64,7 @@ HTML = {
     "boilerplate": ("<body><nav>n</nav><header>h</header>a<footer>f</footer><aside>s</aside><noscript>n</noscript><style>p{}</style><script>x='</p>'</script></body>", "a"),
     "dropped container": ("<body><nav><main>no</main></nav>yes</body>", "yes"),
     "unclosed": ("<body><p>one<p>two<div>three", "one\ntwo\nthree"),
+    "odd references": ("<body>a &amp b &notit; &foo; &copy; &#65; &amp;lt;</body>", "a &amp b &notit; &foo; © A &lt;"),
     "entities and comments": ("<body>a &amp; b<!-- c -->d&nbsp;</body>", "a & b\nd"),
 }
 
