@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,21 +42,35 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: ``spark.checkpoint.dir``, else the session's warehouse.
+
+    Both are shared by the driver and all executors, on a cluster as in a local session.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Writes an intermediate that is read more than once to the shared checkpoint folder and reads it back.
+    """Writes an intermediate that is read more than once to the shared folder and reads it back.
 
-    The folder is the one the session names. A local session without one, as in
-    tests, gets a folder of its own; on a cluster without one the frame is used
-    as it is and computed again for every reader. The table outlives lost
-    executors, and its size is known to whatever joins it.
+    The table outlives lost executors, and its size is known to whatever joins
+    it. ``release`` removes what a session has written.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            return df
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="clausewright-"))
-    path = f"{context.getCheckpointDir()}/clausewright-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/clausewright-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes the tables that ``materialise`` has written for this session. Frames that read them are void then."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for entry in [e for e in _WRITTEN if e[0] is spark]:
+        path = jvm.org.apache.hadoop.fs.Path(entry[1])
+        path.getFileSystem(conf).delete(path, True)
+        _WRITTEN.remove(entry)

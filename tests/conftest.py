@@ -10,9 +10,10 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from clausewright.session import local_session
 
-    session = local_session(4, memory="4g", partitions=4)
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = local_session(4, memory="4g", partitions=4, **{"spark.checkpoint.dir": shared})
     yield session
     session.stop()
