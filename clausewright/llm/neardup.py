@@ -15,12 +15,14 @@ from clausewright.operators.sizing import at_most, materialise
 
 BITS = 8  # 256 bins
 ROWS = 6  # 42 bands of 6 bins: a pair at a similarity of 0.8 is missed with a chance below 3 in a million
-CENTRES = 8  # stars in a bucket and round
+BLOCK = 1024  # members of a bucket that are compared with those of another block at a time
+SKETCH_LEAST = 0.68  # 4.8 standard deviations of a 256-bin estimate below 0.8
 BROADCAST_IDS = 500_000  # ids of 8 bytes; more are joined by shuffling
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """For each document: ``n_shingles``, ``key`` (digest of its shingle set) and ``bands`` (a key for each band)."""
+    """For each document: ``n_shingles``, ``key`` (digest of its shingle set), ``bands`` (a key for each band) and
+    ``sketch`` (the lowest byte of each bin)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -31,7 +33,9 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             at = 0
             for group in chunks(texts.to_pylist()):
                 hashes, begins = shingler.sets(group)
-                bands = band_keys(hasher.signatures(hashes, begins), ROWS)
+                bins = hasher.signatures(hashes, begins)
+                bands = band_keys(bins, ROWS)
+                low = (bins & np.uint64(255)).astype(np.uint8)
                 sizes = np.diff(begins)
                 keys = [
                     hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() if b > a else None
@@ -42,41 +46,129 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                     pa.array(np.concatenate(([0], np.cumsum(width))), pa.int32()), pa.array(bands[sizes > 0].ravel(), pa.int64())
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(group)), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists],
-                    ["doc_id", "n_shingles", "key", "bands"],
+                    [ids.slice(at, len(group)), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists, pa.array([r.tobytes() for r in low], pa.binary())],
+                    ["doc_id", "n_shingles", "key", "bands", "sketch"],
                 )
                 at += len(group)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, key binary, bands array<long>"
+        run, "doc_id long, n_shingles long, key binary, bands array<long>, sketch binary"
     )
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Keeps the pairs ``a, b`` whose full shingle sets reach the similarity. ``texts``: ``doc_id, text``."""
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """``doc_id`` and ``shingles``, the ascending distinct shingle hashes of the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            left, right = batch.column(2), batch.column(3)
-            keep = np.zeros(len(a), bool)
-            last, own = None, None
-            order = np.argsort(b, kind="stable")
-            step = 64  # pairs whose texts are decoded at a time
-            for at in range(0, len(order), step):
-                rows = order[at : at + step]
-                for k in rows:
-                    if b[k] != last:
-                        last, own = b[k], shingler.sets([right[int(k)].as_py()])[0]
-                    other = shingler.sets([left[int(k)].as_py()])[0]
-                    both = len(np.intersect1d(own, other, assume_unique=True))
-                    keep[k] = 100 * both >= percent * (len(own) + len(other) - both)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], ["a", "b"])
-
-    first = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
-    both = first.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long").distinct()
+            at = 0
+            for group in chunks(batch.column(1).to_pylist()):
+                hashes, begins = shingler.sets(group)
+                lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), lists], ["doc_id", "shingles"])
+                at += len(group)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+
+
+def star_pairs(active: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each bucket's smallest member with the others, as far as their set sizes allow a link."""
+    centre = active.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c"))
+    met = active.join(centre, "bucket").where("id <> c.id").where(alike_in_size(F.col("n"), F.col("c.n"), percent))
+    return met.select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def alike_in_size(n, m, percent: int):
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
+def in_blocks(active: DataFrame, extra: DataFrame) -> DataFrame:
+    """Deals the members of each bucket out to pairs of blocks ``i <= j``; ``extra`` has more columns by ``id``."""
+    size = active.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = active.join(size, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    return rows.drop("other", "blocks").join(extra, "id")
+
+
+def near_in_sketch(group: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of the rows of two blocks: a row, and the rows of other components whose sketches promise a link with it.
+
+    A pair that shares several buckets comes up in the first of them only, which its sketches show: they agree in all
+    bins of that band.
+    """
+    ids, n, component, block = (group.column(c).to_numpy() for c in ("id", "n", "component", "block"))
+    i, j, band = (group.column(c)[0].as_py() for c in ("i", "j", "band"))
+    low = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    bands = low.shape[1] // ROWS
+    for x in left:
+        y = right[(component[right] != component[x]) & ((ids[right] > ids[x]) | (i != j))]
+        y = y[np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent]
+        same = low[y] == low[x]
+        promise = same.sum(axis=1) >= SKETCH_LEAST * low.shape[1]
+        y, same = y[promise], same[promise]
+        y = y[same[:, : bands * ROWS].reshape(len(y), bands, ROWS).all(axis=2).argmax(axis=1) == band]
+        if len(y):
+            yield x, y
+
+
+def remaining_links(active: DataFrame, sketches: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` between different components that share a bucket, one for each two components of a group."""
+
+    def promising(group: pa.Table) -> pa.Table:
+        found = [np.empty(0, np.int64)]
+        for x, y in near_in_sketch(group, percent):
+            found += [[x], y]
+        ids = np.unique(group.column("id").to_numpy()[np.concatenate(found).astype(np.int64)])
+        return pa.table({"bucket": np.full(len(ids), group.column("bucket")[0].as_py()), "id": ids})
+
+    def linked(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        ids, component = group.column("id").to_numpy(), group.column("component").to_numpy().copy()
+        sets = group.column("shingles").chunk(0)
+        values, at = sets.values.to_numpy(), sets.offsets.to_numpy()
+        a, b = [], []
+        for x, near in near_in_sketch(group, percent):
+            own = values[at[x] : at[x + 1]]
+            for y in near:
+                if component[x] != component[y] and jaccard_least(own, values[at[y] : at[y + 1]], percent):
+                    a.append(ids[x])
+                    b.append(ids[y])
+                    component[component == component[y]] = component[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    first = in_blocks(active, sketches).groupBy("bucket", "i", "j").applyInArrow(promising, "bucket long, id long")
+    rest = materialise(active.join(first.distinct(), ["bucket", "id"], "left_semi"))
+    rows = in_blocks(rest, sketches.join(whole.withColumnRenamed("doc_id", "id"), "id"))
+    return rows.groupBy("bucket", "i", "j").applyInArrow(linked, "a long, b long")
+
+
+def jaccard_least(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """True when two arrays of distinct values have at least that similarity."""
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Keeps the pairs ``a, b`` whose full shingle sets reach the similarity. ``sets``: ``doc_id, shingles``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (x, at_x), (y, at_y) = (
+                (c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column(2), batch.column(3))
+            )
+            keep = np.zeros(batch.num_rows, bool)
+            for k in range(batch.num_rows):
+                keep[k] = jaccard_least(x[at_x[k] : at_x[k + 1]], y[at_y[k] : at_y[k + 1]], percent)
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a")
+    both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
+    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -87,10 +179,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     * Documents with equal sets are one class; only its smallest ``doc_id`` takes part in the search, so a group of
       copies costs one row in each bucket.
-    * A bucket holds the classes that agree in one band. In a round, up to ``CENTRES`` of its members are compared with
-      all members of other components, which gives candidate edges in the shape of stars. The centres then leave the
-      bucket, and the next round goes on with buckets that still hold two components, until none is left. So every pair
-      that shares a bucket is either confirmed on its full sets, refuted, or known to be connected already.
+    * A bucket holds the classes that agree in one band. Its smallest member is linked with all others, a star of
+      candidates that are confirmed on their full sets; this joins most groups. Buckets that still hold two components
+      are then searched for links that the star lacks: their members are cut into blocks, and tasks compare two blocks
+      at a time, first by sketches, then, where these promise a link, by full sets. They write no candidate pairs, only
+      one confirmed link for each two components that meet. So every pair that shares a bucket is confirmed on its full
+      sets, refuted, or known to be connected already, and the rows written stay in proportion to the members.
     * NULL and empty texts, and texts of white space only, have no shingles: they stand alone. A text with fewer words
       than a shingle counts as one shingle. A NULL ``doc_id`` is linked with nothing and kept, with a NULL component.
       Repeated rows are copies with one id. Rows with one id and different texts are judged by their own texts. An empty
@@ -99,35 +193,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     signed = materialise(signatures(docs, words))
     sets = signed.where("doc_id IS NOT NULL AND key IS NOT NULL")
     classes = materialise(sets.groupBy("key").agg(F.min("doc_id").alias("class"), F.first("n_shingles").alias("n")))
-    own = sets.select("key", F.col("doc_id").alias("class"), "bands").join(classes, ["key", "class"]).drop("key")
-    rows = own.select(F.col("class").alias("id"), "n", F.explode("bands").alias("bucket")).distinct()
+    own = sets.select("key", F.col("doc_id").alias("class"), "bands", "sketch").join(classes, ["key", "class"])
+    rows = own.select(F.col("class").alias("id"), "n", F.posexplode("bands").alias("band", "bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
     active = materialise(rows.join(shared, "bucket").withColumn("component", F.col("id")))
-    texts, label, found, turn = None, None, None, 0
-    while not active.isEmpty():
-        turn += 1
-        part = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(CENTRES))
-        leaders = active.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("id", "n", "component")).alias("centre"))
-        leaders = materialise(leaders.groupBy("bucket").agg(F.collect_list("centre").alias("centres")))
-        met = active.join(leaders, "bucket").select("id", "n", "component", F.explode("centres").alias("c"))
-        near = F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent
-        pairs = met.where((F.col("component") != F.col("c.component")) & near)
-        pairs = materialise(pairs.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct())
-        if texts is None:  # of all members of shared buckets, as later rounds need them too
-            wanted = active.select(F.col("id").alias("doc_id")).distinct()
-            wanted = F.broadcast(wanted) if at_most(wanted, BROADCAST_IDS) else wanted
-            texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi").where("text IS NOT NULL")
-            texts = materialise(texts.distinct())
-        links = materialise(confirmed(pairs, texts, words, percent))
-        found = links if found is None else found.unionByName(links)
-        label = components(found)
-        rest = active.join(leaders.select("bucket", F.explode("centres.id").alias("id")), ["bucket", "id"], "left_anti")
-        rest = move(rest, "component", label)
-        open_ = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        active = materialise(rest.join(open_.select("bucket"), "bucket", "left_semi"))
+    wanted = active.select(F.col("id").alias("doc_id")).distinct()
+    wanted = F.broadcast(wanted) if at_most(wanted, BROADCAST_IDS) else wanted
+    texts = docs.select(F.col("doc_id").cast("long"), "text").where("text IS NOT NULL").join(wanted, "doc_id", "left_semi")
+    whole = materialise(shingle_sets(texts, words).distinct())
+    links = materialise(confirmed(star_pairs(active, percent), whole, percent))
+    label = components(links)
+    rest = move(active, "component", label)
+    open_ = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    rest = materialise(rest.join(open_.select("bucket"), "bucket", "left_semi"))
+    sketches = own.select(F.col("class").alias("id"), "sketch").join(rest.select("id").distinct(), "id", "left_semi")
+    more = materialise(remaining_links(rest, sketches, whole, percent))
+    if not more.isEmpty():
+        label = components(links.unionByName(more))
     out = signed.select("doc_id", "n_shingles", "key").join(classes.select("key", "class"), "key", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")))
-    if label is not None:
-        out = move(out, "component_id", label)
+    out = move(out, "component_id", label)
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
