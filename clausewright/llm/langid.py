@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from clausewright.llm.shingles import chunks
 
-SAMPLE_DOCS = 3_000  # labelled documents of each language that the model is fitted on, about
+SAMPLE_DOCS = 2_000  # labelled documents of each language that the model is fitted on, about
 BUCKETS = 1 << 16  # of hashed character n-grams
 ORDERS = (1, 2, 3, 4)  # lengths of the n-grams, word ends included
 SWITCH = 8.0  # log-odds that a change of language costs
@@ -68,10 +68,12 @@ def counted(sample: DataFrame) -> DataFrame:
                 seen.setdefault(lang, Counter()).update(forms.words(text))
         for lang, words in seen.items():
             total = np.zeros(BUCKETS + len(forms.names), np.int64)
-            for word, n in words.items():
-                np.add.at(total, forms.grams(word), n)
-                if (s := forms.script(word)) >= 0:
-                    total[BUCKETS + s] += n
+            some = list(words.items())
+            for at in range(0, len(some), 10_000):
+                part = some[at : at + 10_000]
+                grams = [forms.grams(w) + [BUCKETS + k for k in [forms.script(w)] if k >= 0] for w, _ in part]
+                times = np.repeat([n for _, n in part], [len(g) for g in grams])
+                total += np.bincount([g for own in grams for g in own], times, len(total)).astype(np.int64)
             items = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(items)), pa.array(items), pa.array(total[items])], ["lang", "item", "n"]

@@ -15,7 +15,7 @@ from clausewright.operators.sizing import materialise
 POSITIVES, UNLABELLED = 4_000, 12_000  # documents that the classifier is fitted on, about
 PRIOR = 0.1  # share of toxic documents, where no labelled row tells it
 FEATURES = 4_096  # of words and their beginnings, at most: the most telling ones
-LEAST_DOCS, LEAST_Z = 5, 4.0  # toxic examples that must have a feature, and how far above chance
+LEAST_DOCS, LEAST_Z = 5, 5.0  # toxic examples that must have a feature, and how far above chance
 STEMS = (4, 5, 6)
 STEPS, RATE, SHRINK = 400, 0.1, 1e-3
 REMEMBERED = 1_000_000
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     ids = pick(marked.where("toxic").select("doc_id"), POSITIVES, n_p)
     toxic = plain.join(F.broadcast(ids), "doc_id", "left_semi").withColumn("positive", F.lit(True))
     others = pick(plain, UNLABELLED, n_u).withColumn("positive", F.lit(False))
-    sample = materialise(toxic.unionByName(others).select("text", "positive"))
+    sample = materialise(toxic.unionByName(others).select("text", "positive").distinct())  # copies count once
     counts = {r.positive: r.n for r in sample.groupBy("positive").agg(F.count("*").alias("n")).collect()}
     n_p, n_u = counts.get(True, 0), max(1, counts.get(False, 0))
     if not n_p:
