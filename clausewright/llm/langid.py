@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm.shingles import chunks
+from clausewright.llm.shingles import chunks, mix
 
 SAMPLE_DOCS = 2_000  # labelled documents of each language that the model is fitted on, about
 BUCKETS = 1 << 16  # of hashed character n-grams
@@ -51,9 +51,24 @@ class WordForms:
         k = self.bisect(self.firsts, code) - 1
         return self.names.index(SCRIPTS[k][2]) if k >= 0 and code <= SCRIPTS[k][1] else -1
 
-    def grams(self, word: str) -> list[int]:
-        ends = f" {word[:40]} "
-        return [self.crc(ends[k : k + n].encode()) % BUCKETS for n in ORDERS for k in range(len(ends) - n + 1)]
+    def grams(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For all n-grams of many words, a blank before and after each: the number of its word, and its bucket."""
+        codes = np.frombuffer(f" {'  '.join(words)} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        owner = np.repeat(np.arange(len(words)), sizes)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters up to the word's end
+        rolled = np.zeros(len(codes), np.uint64)
+        owners, buckets = [], []
+        for n in range(1, max(ORDERS) + 1):
+            shifted = np.concatenate((codes[n - 1 :], np.zeros(n - 1, np.uint64)))
+            rolled = mix(rolled * np.uint64(31) + shifted + np.uint64(n))
+            if n in ORDERS:
+                owners.append(owner[left >= n])
+                buckets.append((rolled[left >= n] % np.uint64(BUCKETS)).astype(np.int64))
+        return np.concatenate(owners), np.concatenate(buckets)
+
+    def scripts(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.script, words), np.int64, len(words))
 
 
 def counted(sample: DataFrame) -> DataFrame:
@@ -71,9 +86,11 @@ def counted(sample: DataFrame) -> DataFrame:
             some = list(words.items())
             for at in range(0, len(some), 10_000):
                 part = some[at : at + 10_000]
-                grams = [forms.grams(w) + [BUCKETS + k for k in [forms.script(w)] if k >= 0] for w, _ in part]
-                times = np.repeat([n for _, n in part], [len(g) for g in grams])
-                total += np.bincount([g for own in grams for g in own], times, len(total)).astype(np.int64)
+                names, times = [w for w, _ in part], np.array([n for _, n in part])
+                owner, grams = forms.grams(names)
+                total[:BUCKETS] += np.bincount(grams, times[owner], BUCKETS).astype(np.int64)
+                script = forms.scripts(names)
+                np.add.at(total, BUCKETS + script[script >= 0], times[script >= 0])
             items = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(items)), pa.array(items), pa.array(total[items])], ["lang", "item", "n"]
@@ -123,27 +140,27 @@ class WordScores:
     def rows(self, words: list[str]) -> np.ndarray:
         if len(self.index) > REMEMBERED:
             self.index.clear()
-        get = self.index.get
-        rows = [get(w, -1) for w in words]
-        if -1 in rows:
-            for w in dict.fromkeys(w for w, r in zip(words, rows) if r < 0):
-                self.add(w)
-            rows = [get(w) for w in words]
+        rows = list(map(self.index.get, words))
+        if None in rows:
+            self.add(list(dict.fromkeys(w for w, r in zip(words, rows) if r is None)))
+            rows = list(map(self.index.get, words))
         return np.array(rows, np.int64)
 
-    def add(self, word: str) -> None:
-        k = len(self.index)
-        if k == len(self.table):
+    def add(self, words: list[str]) -> None:
+        k, n = len(self.index), len(words)
+        while k + n > len(self.table):
             self.table = np.concatenate((self.table, np.zeros_like(self.table)))
             self.letters = np.concatenate((self.letters, np.zeros_like(self.letters)))
-        score = self.model.grams[:, self.forms.grams(word)].sum(axis=1) / len(ORDERS) ** 0.5
-        script = self.forms.script(word)
-        able = self.model.scripts[:, script] if script >= 0 else np.zeros(len(score), bool)
-        if able.any():
-            score = np.where(able, np.maximum(score - score[able].max(), WORST), 3 * WORST)
-        else:
-            score = np.zeros_like(score)  # no language is written so: the word tells nothing
-        self.table[k], self.letters[k], self.index[word] = score, len(word), k
+        owner, grams = self.forms.grams(words)
+        score = np.stack([np.bincount(owner, row[grams], n) for row in self.model.grams], 1) / len(ORDERS) ** 0.5
+        script = self.forms.scripts(words)
+        able = self.model.scripts[:, script].T & (script >= 0)[:, None]
+        top = np.where(able, score, -np.inf).max(axis=1, keepdims=True)
+        some = able.any(axis=1, keepdims=True)  # else no language is written so, and the word tells nothing
+        score = np.where(able, np.maximum(score - np.where(some, top, 0), WORST), 3 * WORST)
+        self.table[k : k + n] = np.where(some, score, 0)
+        self.letters[k : k + n] = np.fromiter(map(len, words), np.int32, n)
+        self.index.update(zip(words, range(k, k + n)))
 
 
 def viterbi(scores: np.ndarray, change: np.ndarray) -> np.ndarray:
