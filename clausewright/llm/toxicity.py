@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from clausewright.llm.shingles import chunks
 from clausewright.operators.sizing import materialise
 
-POSITIVES, UNLABELLED = 4_000, 12_000  # documents that the classifier is fitted on, about
+POSITIVES, UNLABELLED = 3_000, 9_000  # documents that the classifier is fitted on, about
 PRIOR = 0.1  # share of toxic documents, where no labelled row tells it
-FEATURES = 4_096  # of words and their beginnings, at most: the most telling ones
+FEATURES = 1_024  # of words and their beginnings, at most: the most telling ones
 LEAST_DOCS, LEAST_Z = 5, 5.0  # toxic examples that must have a feature, and how far above chance
 STEMS = (4, 5, 6)
 STEPS, RATE, SHRINK = 400, 0.1, 1e-3
@@ -85,7 +85,7 @@ def fit_weights(x: np.ndarray, positive: np.ndarray, prior: float) -> tuple[np.n
     m, v = np.zeros_like(w), np.zeros_like(w)
     w[-1] = np.log(prior / (1 - prior))
     for step in range(1, STEPS + 1):
-        z = np.clip(x @ w[:-1] + w[-1], -30, 30)
+        z = np.clip(x @ w[:-1].astype(x.dtype) + w[-1], -30, 30).astype(float)
         p = 1 / (1 + np.exp(-z))
         loss = np.log1p(np.exp(z))  # of calling a text not toxic
         rest = loss[~positive].sum() / n_u - prior * loss[positive].sum() / n_p
@@ -93,7 +93,7 @@ def fit_weights(x: np.ndarray, positive: np.ndarray, prior: float) -> tuple[np.n
             g = np.where(positive, -prior * (1 - p) / n_p - prior * p / n_p, p / n_u)
         else:
             g = np.where(positive, prior * p / n_p, -p / n_u)
-        grad = np.concatenate((g @ x, [g.sum()])) + SHRINK * np.append(w[:-1], 0) / len(z) ** 0.5
+        grad = np.concatenate((g.astype(x.dtype) @ x, [g.sum()])) + SHRINK * np.append(w[:-1], 0) / len(z) ** 0.5
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     b = w[-1]
