@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from clausewright.llm.shingles import chunks
 from clausewright.operators.sizing import materialise
 
-POSITIVES, UNLABELLED = 3_000, 9_000  # documents that the classifier is fitted on, about
+POSITIVES, UNLABELLED = 4_000, 12_000  # documents that the classifier is fitted on, about
 PRIOR = 0.1  # share of toxic documents, where no labelled row tells it
-FEATURES = 1_024  # of words and their beginnings, at most: the most telling ones
-LEAST_DOCS, LEAST_Z = 5, 5.0  # toxic examples that must have a feature, and how far above chance
+FEATURES = 2_048  # of words and their beginnings, at most: the most telling ones
+LEAST_DOCS, LEAST_Z = 5, 4.0  # toxic examples that must have a feature, and how far above chance
 STEMS = (4, 5, 6)
 STEPS, RATE, SHRINK = 400, 0.1, 1e-3
 REMEMBERED = 1_000_000
