@@ -1,0 +1,11 @@
+import pytest
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture
+def docs(spark):
+    def make(*rows, columns="doc_id long, text string"):
+        return spark.createDataFrame(list(rows), columns)
+
+    return make
