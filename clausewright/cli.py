@@ -12,6 +12,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--raw", required=True, help="folder of local raw documents")
     parser.add_argument("--cache", help="folder of the fetch cache")
     parser.add_argument("--rebuild", action="store_true", help="replace the whole knowledge base")
+    parser.add_argument("--embedder", required=True, choices=("model", "hashing"), help="a store must keep to one of them")
     parser.add_argument("--sources", nargs="+", help="ids of the sources to ingest")
     args = parser.parse_args(argv)
 
@@ -22,12 +23,7 @@ def main(argv: list[str] | None = None) -> int:
     from clausewright.plans.knowledge import KnowledgeBase
     from clausewright.sources.registry import registry
 
-    try:
-        import sentence_transformers  # noqa: F401
-
-        embed = model_embedder()
-    except ImportError:
-        embed = hashing_embedder()
+    embed = model_embedder() if args.embedder == "model" else hashing_embedder()
     spark = SparkSession.builder.appName("clausewright").getOrCreate()
     kb = KnowledgeBase(spark, args.kb, embed)
     totals = run_ingestion(

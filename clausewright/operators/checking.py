@@ -54,20 +54,15 @@ REFERENCE_PATTERN = r"(?:class|section|article|schedule)\s+\d+[A-Z]?|S\.I\.\s*No
 FLAG = "struct<code:string,severity:string,message:string,detail:string>"
 STRINGS = "array<string>"
 
+# The keys, and which one applies. The wording is this engine's own.
 WARNINGS = {
-    "blocked": "No dependable answer is available for this question. Please ask a registered planning "
-    "consultant, or request a Section 5 declaration from your local authority.",
-    "escalation": "This topic is part of a formal legal process. Treat what follows as guidance and "
-    "engage a qualified planning consultant.",
-    "low": "Confidence in this answer is low. Check it with your local planning authority before acting.",
-    "medium": "This answer rests on retrieved planning law. Check with your local authority how it "
-    "applies to your site.",
-    "default": "This is guidance only and not professional planning advice.",
+    "blocked": "The passages found do not carry an answer. Nothing below should be relied on.",
+    "escalation": "The question touches proceedings with legal effect. Have a professional look at it.",
+    "low": "Little in the passages supports this answer. Verify every statement.",
+    "medium": "The answer follows the passages found; whether they fit the case at hand was not examined.",
+    "default": "Produced automatically from indexed passages.",
 }
-REPORT_DISCLAIMER = (
-    "Guidance only, not professional planning advice. For a formal determination engage a registered "
-    "planning consultant or request a Section 5 declaration from your local authority."
-)
+REPORT_DISCLAIMER = "Produced automatically from indexed passages; the decision lies with the body in charge."
 
 
 def flag(code: str, severity: str, message: str | Column, detail: str | Column) -> Column:

@@ -64,11 +64,15 @@ def rrf_fuse(dense: DataFrame, sparse: DataFrame) -> DataFrame:
 def candidates(fused: DataFrame, chunks: DataFrame, queries: DataFrame, small: bool) -> DataFrame:
     """The best fused, non-stale chunks of each query with their text and metadata.
 
-    Texts are fetched for the fused ids only: a small set of ids becomes a filter
+    Places are given on narrow rows; texts are fetched for the best ids only: a small set of ids becomes a filter
     that reaches the files, a bounded set is broadcast to the chunks, and a large
     one is joined by shuffling.
     """
-    wanted = restrict(chunks, "chunk_id", few_values(fused, "chunk_id"))
+    narrow = restrict(chunks, "chunk_id", few_values(fused, "chunk_id")).where("NOT is_stale").select("chunk_id")
+    window = Window.partitionBy("query_id").orderBy("fused_rank")
+    ranked = narrow.join(broadcast_when(small, fused), "chunk_id").withColumn("place", F.row_number().over(window))
+    best = ranked.where(F.col("place") <= RERANK_TOP_N)
+    wanted = restrict(chunks, "chunk_id", few_values(best, "chunk_id"))
     details = wanted.select(
         "chunk_id",
         "text",
@@ -84,9 +88,7 @@ def candidates(fused: DataFrame, chunks: DataFrame, queries: DataFrame, small: b
             "needs_reverification",
         ).alias("metadata"),
     )
-    joined = details.join(broadcast_when(small, fused), "chunk_id").where(~F.col("metadata.is_stale"))
-    window = Window.partitionBy("query_id").orderBy("fused_rank")
-    top = joined.withColumn("place", F.row_number().over(window)).where(F.col("place") <= RERANK_TOP_N)
+    top = details.join(broadcast_when(small, best), "chunk_id")
     return top.join(broadcast_when(small, queries.select("query_id", "query", "top_k")), "query_id")
 
 
@@ -109,15 +111,17 @@ def rerank(cands: DataFrame, scorer=lexical_score, enabled: bool = True) -> Data
     per_query = Window.partitionBy("query_id")
     counted = cands.withColumn("n_candidates", F.count(F.lit(1)).over(per_query))
     if enabled and scorer is not None:
+        # A query of which any candidate has no score keeps its fused order as a whole.
         raw = scorer(F.col("query"), left(F.col("text"), RERANK_TEXT_CHARS)).cast("double")
-        counted = counted.withColumn("raw_score", raw)
-        score = F.when(F.col("n_candidates") > 1, F.coalesce("raw_score", F.lit(0.0))).otherwise(F.lit(0.0))
+        counted = counted.withColumn("raw_score", raw).withColumn("n_scored", F.count("raw_score").over(per_query))
+        scored = (F.col("n_candidates") > 1) & (F.col("n_scored") == F.col("n_candidates"))
+        score = F.when(scored, F.col("raw_score")).otherwise(F.lit(0.0))
     else:
         score = F.lit(0.0)
     ordered = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), F.asc("place"))
     return (
         counted.withColumn("rerank_score", score)
-        .drop("raw_score")
+        .drop("raw_score", "n_scored")
         .withColumn("final_rank", F.row_number().over(ordered))
         .where(F.col("final_rank") <= F.col("top_k"))
         .withColumn("reranked", F.lit(enabled) & (F.col("n_candidates") > 1))

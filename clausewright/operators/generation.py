@@ -57,15 +57,21 @@ PROCESS_KEYWORDS = (
 # Confidence labels from lowest to highest.
 LABEL_ORDER = ("blocked", "low", "medium", "high")
 
+SENTINEL = "end of the answer \u241e"
+
+# How an answer may be wrapped.
 FENCED = r"```(?:json)?\s*([\s\S]*?)```"
 BRACED = r"\{[\s\S]*\}"
 
+# Texts that stand in results where an answer lacks them.
 DEFAULT_SUMMARY = "No summary available."
 FALLBACK_SUMMARY = "Please try rephrasing your question."
-FALLBACK_NEXT_STEP = "Ask your local planning authority for a formal determination."
-FALLBACK_CITATION = "See retrieved chunks"
-ERROR_SUMMARY = "A technical error occurred. Please try again."
-ERROR_WARNING = "The service is temporarily unavailable."
+
+# Texts of this engine.
+FALLBACK_NEXT_STEP = "Take the question to the authority that decides such cases."
+FALLBACK_CITATION = "Unparsed reply"
+ERROR_SUMMARY = "This question could not be processed."
+ERROR_WARNING = "The answer provider did not reply."
 
 DISPLAY_KEYS = {
     "query": "query",
@@ -104,6 +110,18 @@ def fallback_answer(raw: Column) -> Column:
     return F.parse_json(F.to_json(body))
 
 
+def whole_json(text: Column) -> Column:
+    """The JSON value that a text consists of; NULL if more follows it.
+
+    The parser stops after the first value, so the text is put before a sentinel in a list: the sentinel comes second
+    only if one value and nothing else stands before it.
+    """
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{SENTINEL}"]')))
+    single = F.try_variant_get(pair, "$[1]", "string") == SENTINEL
+    closed = F.try_variant_get(pair, "$[2]", "variant").isNull()
+    return F.when(single & closed, F.try_variant_get(pair, "$[0]", "variant"))
+
+
 def parse_answer(raw: Column) -> Column:
     """VARIANT object from an answer text: whole, fenced, braced, else the fallback.
 
@@ -111,11 +129,7 @@ def parse_answer(raw: Column) -> Column:
     """
     clean = ws_trim(raw)
     fenced = ws_trim(F.regexp_extract(clean, rx(FENCED), 1))
-    value = F.coalesce(
-        F.try_parse_json(clean),
-        F.try_parse_json(F.nullif(fenced, F.lit(""))),
-        F.try_parse_json(F.nullif(F.regexp_extract(clean, BRACED, 0), F.lit(""))),
-    )
+    value = F.coalesce(whole_json(clean), whole_json(fenced), whole_json(F.regexp_extract(clean, BRACED, 0)))
     is_object = F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit(False))
     return F.when(is_object, value).otherwise(fallback_answer(raw))
 

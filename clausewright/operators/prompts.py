@@ -5,27 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SYSTEM_PROMPT = """You answer questions about planning law from numbered excerpts.
+SYSTEM_PROMPT = """A search over regulations has produced the numbered passages below. Work as a careful reader of them.
 
-Rules:
-1. Cite the excerpt before each claim, as [CHUNK N — Source, Section].
-2. Use only section, class and instrument numbers that occur in the excerpts.
-3. Repeat numeric limits word for word; never estimate or round them.
-4. If the excerpts do not settle the question, say so and name the planning authority as the next step.
-5. Say which council's rules you apply. National rules apply everywhere.
-6. Give guidance, not legal advice.
-7. Reply with one JSON object and nothing else: start with {{ and end with }}.
+Whatever you assert must be traceable: put the passage number next to it in square brackets. Names of provisions and
+figures are to be taken over as printed there. Where the passages are silent or contradict each other, write that down
+instead of filling the gap, and point the reader to the body in charge. Mention for which area a provision was made.
+The reader is not your client.
 
-Write plain English and be open about uncertainty.
+Output format: a single JSON object, opening with {{ and closing with }}, without anything around it.
 """
 
 _HEAD = ("CONTEXT:\n", "\n\nQUESTION:\n", "\n\nCOUNCIL: ")
 
+# The JSON keys of each task. The instructions are this engine's own.
 _TASKS = {
     "ELIGIBILITY": """
 
-From the context alone, say whether planning permission is required.
-Reply as JSON with these keys:
+Decide from the passages whether the project needs consent.
+Fill this object:
   "answer_summary": one plain sentence
   "permission_required": true, false or "uncertain"
   "reasoning": list of {"point", "citation"}
@@ -36,8 +33,8 @@ Reply as JSON with these keys:
 """,
     "EXEMPTION": """
 
-From the context alone, say whether the works are exempted development.
-Reply as JSON with these keys:
+Decide from the passages whether the project falls under an exemption.
+Fill this object:
   "answer_summary": one plain sentence
   "is_exempt": true, false or "uncertain"
   "exemption_class": the class, or null
@@ -51,8 +48,8 @@ Reply as JSON with these keys:
 """,
     "PROCESS": """
 
-From the context alone, explain the procedure and its deadlines.
-Reply as JSON with these keys:
+Lay out the procedure that the passages describe, with its time limits.
+Fill this object:
   "answer_summary": one plain sentence
   "process_steps": list of {"step", "action", "timeline", "citation"}
   "key_deadlines": list of {"deadline", "timeframe", "consequence"}
@@ -64,9 +61,8 @@ Reply as JSON with these keys:
 }
 
 RESPONSE_DISCLAIMER = (
-    "Guidance only, not professional planning advice. For a formal determination engage a registered "
-    "planning consultant or request a Section 5 declaration from your local authority. Planning law "
-    "changes; verify with your local planning authority before starting any works."
+    "Generated from indexed passages by software. It binds nobody, may be out of date, and does not replace the "
+    "decision of the body in charge."
 )
 
 

@@ -230,9 +230,8 @@ def dense_search(vectors: DataFrame, queries: DataFrame, n: int = DENSE_FETCH, b
     else:
         partial = _tile(pool, prepared, block)
     limits = prepared.select("query_id", "fetch")
-    best = ranked(partial, max(n, BOOST_FETCH), F.desc("score"), F.asc("chunk_id"))
-    if "fetch" not in queries.columns:
-        return best
+    most = max((r.fetch for r in rows), default=n) if len(rows) <= block else prepared.agg(F.max("fetch")).first()[0]
+    best = ranked(partial, most or 0, F.desc("score"), F.asc("chunk_id"))
     return best.join(broadcast_when(len(rows) <= block, limits), "query_id").where("rank <= fetch").drop("fetch")
 
 

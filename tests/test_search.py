@@ -154,3 +154,19 @@ def test_boost_is_appended_after_own_hits(spark):
         ("q2", 1, "c", False),
         ("q3", 1, "b", True), ("q3", 2, "x", True), ("q3", 3, "y", True),
     ]
+
+
+@pytest.mark.parametrize("block", [64, 2])
+def test_dense_limits_are_kept_exactly(spark, block):
+    rows, vectors = vector_rows(spark, 120)
+    asks = [(f"q{i}", rows[10 + i][1], None, None, fetch) for i, fetch in enumerate((1, 5, 30, 50, 500))]
+    kind = "query_id string, embedding array<double>, jurisdiction string, doc_type string, fetch int"
+    queries = spark.createDataFrame(asks, kind)
+    whole = by_query(search.dense_search(vectors, queries.drop("fetch"), n=500, block=block))
+    there = sum(not r[4] for r in rows)
+    assert {q: len(v) for q, v in whole.items()} == {f"q{i}": there for i in range(5)}
+    for n in (1, 5, 50):
+        got = by_query(search.dense_search(vectors, queries.drop("fetch"), n=n, block=block))
+        assert {q: [c for c, _ in v] for q, v in got.items()} == {q: [c for c, _ in v[:n]] for q, v in whole.items()}
+    got = by_query(search.dense_search(vectors, queries, n=3, block=block))
+    assert {q: [c for c, _ in v] for q, v in got.items()} == {q: [c for c, _ in whole[q][: asks[i][4]]] for i, q in enumerate(sorted(whole))}
