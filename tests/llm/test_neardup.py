@@ -1,12 +1,18 @@
 import random
 
 import numpy as np
+import pytest
 
 from clausewright.llm.components import components
 from clausewright.llm.neardup import near_duplicates
 from clausewright.llm.shingles import Shingler
 
 
+@pytest.fixture
+def docs(spark):
+    return lambda *rows, columns="doc_id long, text string": spark.createDataFrame(list(rows), columns)
+
+
 def shingles(text, k):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()

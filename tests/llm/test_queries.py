@@ -2,6 +2,8 @@ import pytest
 
 import corpus_pipeline
 from clausewright.llm import queries
+from clausewright.llm.secret_scan import Scanner
+from clausewright.operators.sizing import materialise
 from conftest import SMALL
 
 duckdb = pytest.importorskip("duckdb")
@@ -26,12 +28,30 @@ def test_sql_of_queries(spark):
 
 
 def test_pipeline_stages(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    columns, given = docs.columns, docs.count()
+    """Each stage against a plain version of its decision on what the one before has kept."""
+    from test_neardup import brute
+
+    given = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs, seen = given, [given.toPandas().set_index("doc_id")]
     for name, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, SMALL)
-        assert docs.columns == columns, name
-    assert 0.8 * given < docs.select("doc_id").distinct().count() <= given
+        docs = materialise(stage(spark, docs, SMALL))
+        assert docs.columns == given.columns, name
+        seen.append(docs.toPandas().set_index("doc_id"))
+    first, spoken, single, unseen, clean, mixed = seen
+    gone = first.text[~first.index.isin(spoken.index)]
+    assert len(gone) <= 2 and len(spoken) + len(gone) == len(first)
+    groups = brute(list(spoken.text.items()), 5, 80)
+    assert set(single.index) == {i for i, (_, c) in groups.items() if i == c}
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet").toPandas().text
+    assert {i for i, t in single.text.items() if any(x in t for x in items)} == set(single.index) - set(unseen.index)
+    assert set(clean.index) == set(unseen.index) and (clean.n_chars == clean.text.str.len()).all()
+    scanner = Scanner()
+    assert any(scanner.spans(t) for t in unseen.text) and not any(scanner.spans(t) for t in clean.text)
+    assert set(mixed.index) <= set(clean.index) and mixed.groupby(level=0).size().max() <= 3
+    assert (mixed.text == clean.text[mixed.index]).all()
+
+
+def test_pipeline_stages_on_empty_tables(spark):
     empty = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SMALL).isEmpty()
