@@ -25,15 +25,17 @@ BROADCAST_IDS = 100_000
 
 @dataclass(frozen=True)
 class SparseIndex:
-    """``postings(term, chunk_id, tf, dl)``, ``term_stats(term, df, idf)``, one-row ``corpus(n_docs, avgdl)``."""
+    """``documents(chunk_id, dl, terms)``, the same as ``postings(term, chunk_id, tf, dl)``, ``term_stats(term, df, idf)``,
+    one-row ``corpus(n_docs, avgdl)``. Searches read the documents, lookups of a term the postings."""
 
+    documents: DataFrame
     postings: DataFrame
     term_stats: DataFrame
     corpus: DataFrame
 
 
-def term_runs(df: DataFrame, tokens: Column, *keep: str) -> DataFrame:
-    """One row per distinct token of a row: ``term``, ``tf`` and the token count ``dl``."""
+def term_lists(df: DataFrame, tokens: Column, *keep: str) -> DataFrame:
+    """For each row ``terms``, its distinct tokens as ``term, tf``, and the token count ``dl``."""
     ordered = df.select(*keep, F.sort_array(tokens).alias("_sorted"))
     starts = ordered.select(
         *keep,
@@ -54,11 +56,19 @@ def term_runs(df: DataFrame, tokens: Column, *keep: str) -> DataFrame:
             (F.coalesce(F.get(F.col("_starts"), j + 1), F.col("dl")) - start).alias("tf"),
         ),
     )
-    return starts.select(*keep, "dl", F.inline(runs))
+    return starts.select(*keep, "dl", runs.alias("terms"))
+
+
+def build_documents(chunks: DataFrame) -> DataFrame:
+    return term_lists(chunks, tokenise(F.col("text")), "chunk_id")
+
+
+def as_postings(documents: DataFrame) -> DataFrame:
+    return documents.select("chunk_id", "dl", F.inline("terms")).select("term", "chunk_id", "tf", "dl")
 
 
 def build_postings(chunks: DataFrame) -> DataFrame:
-    return term_runs(chunks, tokenise(F.col("text")), "chunk_id").select("term", "chunk_id", "tf", "dl")
+    return as_postings(build_documents(chunks))
 
 
 def document_frequencies(postings: DataFrame) -> DataFrame:
@@ -93,15 +103,16 @@ def weigh_terms(frequencies: DataFrame, corpus: DataFrame) -> DataFrame:
 def build_sparse_index(chunks: DataFrame, keep: bool = False) -> SparseIndex:
     """Index of the given chunks (already freed of stale rows).
 
-    With ``keep`` the postings are written out once and read for the frequencies
+    With ``keep`` the term lists are written out once and read for the frequencies
     and for the search, so that the texts are tokenised only once.
     """
-    postings = build_postings(chunks)
+    documents = build_documents(chunks)
     if keep:
-        postings = materialise(postings)
+        documents = materialise(documents)
+    postings = as_postings(documents)
     frequencies = document_frequencies(postings)
-    corpus = summarise_corpus(corpus_totals(chunks, frequencies))
-    return SparseIndex(postings, weigh_terms(frequencies, corpus), corpus)
+    corpus = summarise_corpus(corpus_totals(documents, frequencies))
+    return SparseIndex(documents, postings, weigh_terms(frequencies, corpus), corpus)
 
 
 def new_chunks(chunks: DataFrame, stored_ids: DataFrame) -> DataFrame:

@@ -6,8 +6,11 @@ must not decide between copies of one text, also not when a task is rerun.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,11 +45,13 @@ BOOST_TEXT = "exempted development class schedule dwellinghouse extension floor
 BOOST_TYPE = "exemption_schedule"
 
 SCORE_DIGITS = 6
+SCORE_CELLS = 1 << 18  # keyword scores that a task adds up at a time
 BROADCAST_QUERY_TERMS = 200_000
 BROADCAST_HITS = 100_000
 QUERY_BLOCK = 2_048
-VECTOR_SHARD = 50_000
-SALTS = 32
+
+HITS = "query_id string, chunk_id string, score double"
+HITS_ARROW = pa.schema([("query_id", pa.string()), ("chunk_id", pa.string()), ("score", pa.float64())])
 
 
 # -- keyword search --------------------------------------------------------------------
@@ -61,30 +66,118 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def sparse_scores(index: SparseIndex, queries: DataFrame) -> DataFrame:
-    """BM25 score of every chunk that shares a term with a query: ``query_id, chunk_id, score``."""
+class _Best:
+    """The best rows that a task has seen for each query of a block."""
+
+    def __init__(self, ids, limits):
+        self.ids = list(ids)
+        self.limits = np.asarray(limits, dtype=np.int64)
+        self.best = [(np.empty(0), np.empty(0, dtype=object)) for _ in self.ids]
+
+    def keep(self, row: int, scores, ids) -> None:
+        limit = int(self.limits[row])
+        if len(self.best[row][0]) == limit:
+            near = scores >= self.best[row][0][-1]
+            scores, ids = scores[near], ids[near]
+        if len(scores) > limit:
+            # Everything that ties with the last place stays until ids decide.
+            cut = np.partition(scores, len(scores) - limit)[len(scores) - limit]
+            near = scores >= cut
+            scores, ids = scores[near], ids[near]
+        old_scores, old_ids = self.best[row]
+        scores, ids = np.concatenate([old_scores, scores]), np.concatenate([old_ids, ids])
+        order = np.lexsort((ids.astype(str), -scores))[:limit]
+        self.best[row] = (scores[order], ids[order])
+
+    def rows(self, schema: pa.Schema) -> pa.Table:
+        counts = [len(ids) for _, ids in self.best]
+        columns = [
+            [q for q, n in zip(self.ids, counts) for _ in range(n)],
+            [c for _, ids in self.best for c in ids],
+            [float(s) for scores, _ in self.best for s in scores],
+        ]
+        return pa.table([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+class _Terms(_Best):
+    """A block of queries as weighted terms, with the best chunks of each."""
+
+    def __init__(self, query_ids, terms, weights, limit: int, avgdl: float):
+        names, query = np.unique(np.array(query_ids, dtype=object), return_inverse=True)
+        super().__init__(names, [limit] * len(names))
+        words, term = np.unique(np.array(terms, dtype=object), return_inverse=True)
+        order = np.argsort(term, kind="stable")
+        self.query, self.weight = query[order], np.asarray(weights, dtype=np.float64)[order]
+        self.begin = np.searchsorted(term[order], np.arange(len(words) + 1))
+        self.words, self.avgdl = pa.array(words, pa.string()), avgdl
+        self.floor = np.full(len(names), -np.inf)
+
+    def offer(self, batch: pa.RecordBatch) -> None:
+        step = max(1, SCORE_CELLS // len(self.ids))
+        for at in range(0, batch.num_rows, step):
+            self._score(batch.slice(at, step))
+
+    def _score(self, part: pa.RecordBatch) -> None:
+        """Adds up the scores of all queries for some chunks and offers those that may still enter a list."""
+        lists = part.column("terms")
+        flat = lists.flatten()
+        found = pc.index_in(flat.field("term"), value_set=self.words)
+        there = found.is_valid().to_numpy(zero_copy_only=False)
+        term = found.drop_null().to_numpy(zero_copy_only=False)
+        chunk = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))[there]
+        tf = flat.field("tf").to_numpy(zero_copy_only=False)[there].astype(np.float64)
+        dl = part.column("dl").to_numpy(zero_copy_only=False).astype(np.float64)[chunk]
+        impact = tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * dl / self.avgdl))
+        asked = self.begin[term + 1] - self.begin[term]  # queries that have the term
+        pair = np.repeat(np.arange(len(term)), asked)
+        place = np.arange(len(pair)) + (self.begin[term] - np.cumsum(asked) + asked)[pair]
+        cell = chunk[pair] * len(self.ids) + self.query[place]
+        sums = np.bincount(cell, self.weight[place] * impact[pair], part.num_rows * len(self.ids))
+        sums = sums.reshape(part.num_rows, len(self.ids)).T
+        scores = np.round(sums, SCORE_DIGITS)
+        query, chunk = np.nonzero((sums > 0) & (scores >= self.floor[:, None]))
+        ids = part.column("chunk_id").to_numpy(zero_copy_only=False)
+        rows, first = np.unique(query, return_index=True)
+        for row, own in zip(rows, np.split(chunk, first[1:])):
+            self.keep(row, scores[row, own], ids[own])
+            if len(self.best[row][0]) == self.limits[row]:
+                self.floor[row] = self.best[row][0][-1]
+
+
+def sparse_hits(index: SparseIndex, queries: DataFrame, limit: int) -> DataFrame:
+    """Candidates for the ``limit`` best BM25 scores of each query: ``query_id, chunk_id, score``.
+
+    The weighted terms of the queries travel to the term lists of the chunks. A chunk's score is added up inside its
+    row and each task returns only its own best rows, so what is shuffled afterwards does not grow with the number of
+    chunks. More than ``BROADCAST_QUERY_TERMS`` terms are taken in blocks of queries, one pass over the lists for each.
+    """
     terms = query_terms(queries)
     few = at_most(queries.select(F.explode(tokenise(F.col("query")))), BROADCAST_QUERY_TERMS)
     weights = index.term_stats.join(broadcast_when(few, terms), "term").select(
-        "query_id", "term", (F.col("qtf").cast("double") * F.col("idf")).alias("weight")
+        F.col("query_id").cast("string"), "term", (F.col("qtf").cast("double") * F.col("idf")).alias("weight")
     )
+    avgdl = index.corpus.first().avgdl
     if few:
-        matched = index.postings.join(F.broadcast(weights), "term")
-    else:
-        # A frequent term may fill a third of the postings: spread every term over salts.
-        salted = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        spread = index.postings.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int"))
-        matched = spread.join(salted, ["term", "salt"])
-    avgdl = index.corpus.select("avgdl").scalar()
-    tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
-    part = F.col("weight") * (tf * F.lit(K1 + 1.0)) / (tf + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * dl / avgdl))
-    return (
-        matched.select("query_id", "chunk_id", part.alias("part"))
-        .groupBy("query_id", "chunk_id")
-        .agg(F.sum("part").alias("score"))
-        .where(F.col("score") > 0)
-        .withColumn("score", F.round("score", SCORE_DIGITS))
-    )
+        return _scan_terms(index.documents, weights.collect(), limit, avgdl)
+    weights = materialise(weights)
+    blocks = weights.count() // max(BROADCAST_QUERY_TERMS, 1) + 1
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    scans = [_scan_terms(index.documents, weights.where(block == k).collect(), limit, avgdl) for k in range(blocks)]
+    return reduce(DataFrame.unionByName, scans)
+
+
+def _scan_terms(documents: DataFrame, rows: list, limit: int, avgdl: float | None) -> DataFrame:
+    fields = ("query_id", "term", "weight")
+    shared = documents.sparkSession.sparkContext.broadcast([[r[f] for r in rows] for f in fields])
+
+    def scan(batches):
+        if shared.value[0]:
+            best = _Terms(*shared.value, limit, avgdl)
+            for batch in batches:
+                best.offer(batch)
+            yield from best.rows(HITS_ARROW).to_batches()
+
+    return documents.select("chunk_id", "dl", "terms").mapInArrow(scan, HITS)
 
 
 def ranked(df: DataFrame, limit: int | Column, *order: Column) -> DataFrame:
@@ -105,7 +198,7 @@ def sparse_search(index: SparseIndex, chunks: DataFrame, queries: DataFrame, n:
     chunks, so fewer than ``n`` may remain. ``chunks`` needs ``chunk_id``,
     ``jurisdiction`` and ``is_stale``; ``queries`` needs ``jurisdiction``.
     """
-    scored = sparse_scores(index, queries)
+    scored = sparse_hits(index, queries, OVERFETCH * n)
     best = materialise(ranked(scored, OVERFETCH * n, F.desc("score"), F.asc("chunk_id")).drop("rank"))
     few = at_most(queries, BROADCAST_HITS // (OVERFETCH * n))
     wanted = queries.select("query_id", F.col("jurisdiction").alias("wanted"))
@@ -133,18 +226,16 @@ def l2_normalise(vector: Column) -> Column:
     return let(norm, scale)
 
 
-class _Block:
+class _Block(_Best):
     """A block of query vectors with their filters, small enough for one task."""
 
     def __init__(self, ids, vectors, jurisdictions, doc_types, limits):
-        self.ids = list(ids)
+        super().__init__(ids, limits)
         self.matrix = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
-        self.limits = np.asarray(limits, dtype=np.int64)
         groups: dict[tuple, list[int]] = {}
         for i, key in enumerate(zip(jurisdictions, doc_types)):
             groups.setdefault(key, []).append(i)
         self.groups = [(j, t, np.array(rows)) for (j, t), rows in groups.items()]
-        self.best = [(np.empty(0), np.empty(0, dtype=object)) for _ in self.ids]
 
     def offer(self, chunk_ids, vectors, jurisdictions, doc_types) -> None:
         for wanted, doc_type, rows in self.groups:
@@ -158,37 +249,13 @@ class _Block:
             ids = chunk_ids[mask]
             scores = np.round(vectors[mask] @ self.matrix[rows].T, SCORE_DIGITS)
             for column, row in enumerate(rows):
-                self._keep(row, scores[:, column], ids)
-
-    def _keep(self, row: int, scores, ids) -> None:
-        limit = int(self.limits[row])
-        if len(self.best[row][0]) == limit:
-            near = scores >= self.best[row][0][-1]
-            scores, ids = scores[near], ids[near]
-        if len(scores) > limit:
-            # Everything that ties with the last place stays until ids decide.
-            cut = np.partition(scores, len(scores) - limit)[len(scores) - limit]
-            near = scores >= cut
-            scores, ids = scores[near], ids[near]
-        old_scores, old_ids = self.best[row]
-        scores, ids = np.concatenate([old_scores, scores]), np.concatenate([old_ids, ids])
-        order = np.lexsort((ids.astype(str), -scores))[:limit]
-        self.best[row] = (scores[order], ids[order])
-
-    def rows(self, schema: pa.Schema) -> pa.Table:
-        counts = [len(ids) for _, ids in self.best]
-        columns = [
-            [q for q, n in zip(self.ids, counts) for _ in range(n)],
-            [c for _, ids in self.best for c in ids],
-            [float(s) for scores, _ in self.best for s in scores],
-        ]
-        return pa.table([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+                self.keep(row, scores[:, column], ids)
 
 
-def _offer_arrow(block: _Block, batch: pa.RecordBatch | pa.Table) -> None:
+def _offer_arrow(block: _Block, batch: pa.RecordBatch) -> None:
     if not batch.num_rows:
         return
-    vectors = pa.concat_arrays([c.flatten() for c in _chunks(batch.column("embedding"))])
+    vectors = batch.column("embedding").flatten()
     block.offer(
         batch.column("chunk_id").to_numpy(zero_copy_only=False),
         vectors.to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1),
@@ -197,13 +264,9 @@ def _offer_arrow(block: _Block, batch: pa.RecordBatch | pa.Table) -> None:
     )
 
 
-def _chunks(column) -> list:
-    return column.chunks if isinstance(column, pa.ChunkedArray) else [column]
-
-
 def _query_frame(queries: DataFrame, n: int) -> DataFrame:
     limit = F.col("fetch") if "fetch" in queries.columns else F.lit(n)
-    return queries.select(
+    return queries.where(F.size("embedding") > 0).select(
         F.col("query_id").cast("string").alias("query_id"),
         l2_normalise(F.col("embedding")).alias("embedding"),
         F.col("jurisdiction").alias("wanted"),
@@ -219,16 +282,21 @@ def dense_search(vectors: DataFrame, queries: DataFrame, n: int = DENSE_FETCH, b
     document_type, is_stale``. ``queries`` holds ``query_id, embedding,
     jurisdiction, doc_type`` and optionally ``fetch``. Up to one block of queries
     travels to the vectors, which then are scanned once without a shuffle; each
-    task returns only its own best rows. More queries are tiled against shards of
-    vectors, so that no task ever sees more than one block and one shard.
+    task returns only its own best rows. More queries travel block after block:
+    the vectors stay where they are and are scanned once for each. A query without
+    a vector finds nothing; a NULL vector, or one of another width than the
+    query's, is not compared with it.
     """
     pool = vectors.where(~F.col("is_stale")).select("chunk_id", "embedding", "jurisdiction", "document_type")
     prepared = _query_frame(queries, n)
     rows = prepared.limit(block + 1).collect()
     if len(rows) <= block:
-        partial = _scan_with_block(_needed(pool, rows), rows)
+        partial = _scan_widths(pool, rows)
     else:
-        partial = _tile(pool, prepared, block)
+        prepared = materialise(prepared)
+        blocks = prepared.count() // block + 1
+        turn = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        partial = reduce(DataFrame.unionByName, [_scan_widths(pool, prepared.where(turn == k).collect()) for k in range(blocks)])
     limits = prepared.select("query_id", "fetch")
     most = max((r.fetch for r in rows), default=n) if len(rows) <= block else prepared.agg(F.max("fetch")).first()[0]
     best = ranked(partial, most or 0, F.desc("score"), F.asc("chunk_id"))
@@ -246,8 +314,14 @@ def _needed(pool: DataFrame, rows: list) -> DataFrame:
     return pool
 
 
-HITS = "query_id string, chunk_id string, score double"
-HITS_ARROW = pa.schema([("query_id", pa.string()), ("chunk_id", pa.string()), ("score", pa.float64())])
+def _scan_widths(pool: DataFrame, rows: list) -> DataFrame:
+    """One scan for each width of the block's queries, which is one as a rule."""
+    widths = sorted({len(r.embedding) for r in rows}) or [0]
+    scans = []
+    for width in widths:
+        own = [r for r in rows if len(r.embedding) == width]
+        scans.append(_scan_with_block(_needed(pool, own).where(F.size("embedding") == width), own))
+    return reduce(DataFrame.unionByName, scans)
 
 
 def _scan_with_block(pool: DataFrame, rows: list) -> DataFrame:
@@ -264,24 +338,6 @@ def _scan_with_block(pool: DataFrame, rows: list) -> DataFrame:
     return pool.mapInArrow(scan, HITS)
 
 
-def _tile(pool: DataFrame, prepared: DataFrame, block: int) -> DataFrame:
-    blocks = max(1, -(-prepared.count() // block))
-    shards = max(1, -(-pool.count() // VECTOR_SHARD))
-    left = prepared.withColumn("tile_q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn(
-        "tile_v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    )
-    right = pool.withColumn("tile_v", F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int")).withColumn(
-        "tile_q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-
-    def one_tile(q: pa.Table, v: pa.Table) -> pa.Table:
-        best = _Block(*[q.column(f).to_pylist() for f in ("query_id", "embedding", "wanted", "wanted_type", "fetch")])
-        _offer_arrow(best, v)
-        return best.rows(HITS_ARROW)
-
-    return left.groupBy("tile_q", "tile_v").cogroup(right.groupBy("tile_q", "tile_v")).applyInArrow(one_tile, HITS)
-
-
 # -- schedule boost --------------------------------------------------------------------
 
 

@@ -33,6 +33,7 @@ _VECTOR = (
 _TABLES = {
     "chunks": CHUNK_SCHEMA,
     "vectors": _VECTOR,
+    "documents": "chunk_id string, dl int, terms array<struct<term:string,tf:int>>",
     "postings": "term string, chunk_id string, tf int, dl int, term_bucket int",
     "frequencies": "term string, df long, cf long",
     "totals": "n_docs long, sum_dl long",
@@ -97,7 +98,7 @@ class KnowledgeBase:
             postings = restrict(restrict(postings, "term_bucket", buckets), "term", words)
             stats = restrict(stats, "term", words)
         corpus = index.summarise_corpus(self._table("totals", live))
-        return index.SparseIndex(postings.drop("term_bucket"), stats, corpus)
+        return index.SparseIndex(self._table("documents", live), postings.drop("term_bucket"), stats, corpus)
 
     # -- writing -----------------------------------------------------------------------
 
@@ -158,7 +159,8 @@ class KnowledgeBase:
             "jurisdiction",
         )
         self._write(vectors, "vectors", batch, "jurisdiction")
-        postings = index.build_postings(written).withColumn("term_bucket", term_bucket(F.col("term")))
+        self._write(index.build_documents(written), "documents", batch)
+        postings = index.as_postings(self._table("documents", [batch])).withColumn("term_bucket", term_bucket(F.col("term")))
         self._write(postings, "postings", batch, "term_bucket", "term")
         self._write(index.document_frequencies(self._table("postings", [batch])), "frequencies", batch)
         self._write(index.corpus_totals(written, self._table("frequencies", [batch])), "totals", batch)

@@ -31,23 +31,27 @@ class TestPlans:
 
     def scored(self, spark):
         asks = d.asks(spark, SMALL)
-        scores = search.sparse_scores(records.sparse_index(spark, SMALL), asks)
+        scores = search.sparse_hits(records.sparse_index(spark, SMALL), asks, 60)
         return plan(search.ranked(scores, 60, F.desc("score"), F.asc("chunk_id")))
 
-    def test_top_hits_are_limited_before_the_shuffle(self, spark):
+    def test_keyword_search_shuffles_only_each_tasks_best_hits(self, spark):
         text = self.scored(spark)
-        assert text.count("WindowGroupLimit") == 2 and "BroadcastHashJoin" in text
-        assert "CartesianProduct" not in text and "NestedLoop" not in text
-
-    def test_large_batches_are_salted_and_not_broadcast(self, spark, monkeypatch):
-        monkeypatch.setattr(search, "BROADCAST_QUERY_TERMS", 0)
-        threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        try:
-            text = self.scored(spark)
-        finally:
-            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-        assert "Broadcast" not in text and "salt" in text
+        assert text.count("Exchange") == text.count("Exchange hashpartitioning(query_id") == 1
+        assert text.count("WindowGroupLimit") == 2 and text.count("MapInArrow") == 1
+
+    def test_large_batches_are_taken_in_blocks(self, spark, monkeypatch):
+        monkeypatch.setattr(search, "BROADCAST_QUERY_TERMS", 200)
+        text = self.scored(spark)
+        assert text.count("Exchange") == text.count("Exchange hashpartitioning(query_id") == 1
+        assert text.count("MapInArrow") > 1
+
+    def test_vectors_stay_in_place_for_many_queries(self, spark):
+        asks = d.asks(spark, SMALL)
+        text = plan(search.dense_search(d.vectors(spark, SMALL), asks, block=16))
+        alone = plan(d.vectors(spark, SMALL))
+        scans = text.count("MapInArrow")
+        assert scans > 1 and "tile" not in text
+        assert text.count("Exchange") <= scans * alone.count("Exchange") + 2
 
     def test_few_ids_reach_the_files(self, spark, tmp_path):
         path = str(tmp_path / "t")

@@ -116,8 +116,7 @@ def vector_rows(spark, n=300):
 
 
 @pytest.mark.parametrize("block", [64, 3])
-def test_dense_matches_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(search, "VECTOR_SHARD", 70)
+def test_dense_matches_brute_force(spark, block):
     rows, vectors = vector_rows(spark)
     rng = np.random.default_rng(6)
     asks = [
@@ -138,6 +137,24 @@ def test_dense_matches_brute_force(spark, monkeypatch, block):
         assert np.allclose([s for _, s in got[qid]], [s for _, s in want], atol=1.1e-6)
 
 
+def test_vectors_of_another_width_are_not_compared(spark):
+    kind = "chunk_id string, embedding array<double>, jurisdiction string, document_type string, is_stale boolean"
+    vectors = spark.createDataFrame(
+        [("a", [1.0, 0.0], "national", "t", False), ("b", None, "national", "t", False), ("c", [1.0, 0.0, 0.0], "national", "t", False)], kind
+    )
+    asks = [("q2", [2.0, 0.0], None, None), ("q3", [0.0, 0.0, 1.0], None, None), ("none", None, None, None), ("empty", [], None, None)]
+    queries = spark.createDataFrame(asks, "query_id string, embedding array<double>, jurisdiction string, doc_type string")
+    for block in (64, 1):
+        assert by_query(search.dense_search(vectors, queries, block=block)) == {"q2": [("a", 1.0)], "q3": [("c", 0.0)]}
+
+
+def test_keyword_scores_in_small_steps(setup, monkeypatch):
+    docs, chunks, idx, queries = setup
+    monkeypatch.setattr(search, "SCORE_CELLS", 7)
+    got = by_query(search.sparse_search(idx, chunks, queries, n=2))
+    assert got == {q: brute_bm25(docs, text)[:2] for q, text in QUERIES if brute_bm25(docs, text)}
+
+
 def test_dense_without_queries(spark):
     _, vectors = vector_rows(spark, 40)
     none = spark.createDataFrame([], "query_id string, embedding array<double>, jurisdiction string, doc_type string")
