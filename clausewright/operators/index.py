@@ -34,8 +34,8 @@ class SparseIndex:
     corpus: DataFrame
 
 
-def term_lists(df: DataFrame, tokens: Column, *keep: str) -> DataFrame:
-    """For each row ``terms``, its distinct tokens as ``term, tf``, and the token count ``dl``."""
+def term_lists(df: DataFrame, tokens: Column, *keep: str, rows: bool = False) -> DataFrame:
+    """For each row ``terms``, its distinct tokens as ``term, tf``, and the token count ``dl``; with ``rows`` a row for each term."""
     ordered = df.select(*keep, F.sort_array(tokens).alias("_sorted"))
     starts = ordered.select(
         *keep,
@@ -56,7 +56,7 @@ def term_lists(df: DataFrame, tokens: Column, *keep: str) -> DataFrame:
             (F.coalesce(F.get(F.col("_starts"), j + 1), F.col("dl")) - start).alias("tf"),
         ),
     )
-    return starts.select(*keep, "dl", runs.alias("terms"))
+    return starts.select(*keep, "dl", F.inline(runs) if rows else runs.alias("terms"))
 
 
 def build_documents(chunks: DataFrame) -> DataFrame:
@@ -64,11 +64,12 @@ def build_documents(chunks: DataFrame) -> DataFrame:
 
 
 def as_postings(documents: DataFrame) -> DataFrame:
+    """Postings of stored term lists. Lists that are not stored would be made anew for every term: see ``build_postings``."""
     return documents.select("chunk_id", "dl", F.inline("terms")).select("term", "chunk_id", "tf", "dl")
 
 
 def build_postings(chunks: DataFrame) -> DataFrame:
-    return as_postings(build_documents(chunks))
+    return term_lists(chunks, tokenise(F.col("text")), "chunk_id", rows=True).select("term", "chunk_id", "tf", "dl")
 
 
 def document_frequencies(postings: DataFrame) -> DataFrame:
@@ -107,9 +108,8 @@ def build_sparse_index(chunks: DataFrame, keep: bool = False) -> SparseIndex:
     and for the search, so that the texts are tokenised only once.
     """
     documents = build_documents(chunks)
-    if keep:
-        documents = materialise(documents)
-    postings = as_postings(documents)
+    documents = materialise(documents) if keep else documents
+    postings = as_postings(documents) if keep else build_postings(chunks)
     frequencies = document_frequencies(postings)
     corpus = summarise_corpus(corpus_totals(documents, frequencies))
     return SparseIndex(documents, postings, weigh_terms(frequencies, corpus), corpus)
