@@ -27,6 +27,24 @@ def validation_errors() -> Column:
     )
 
 
+def source_errors() -> Column:
+    """What of a document's own metadata leaves the allowed domains."""
+    return present(
+        _outside("document_type", DOCUMENT_TYPES), _outside("jurisdiction", JURISDICTIONS), _outside("confidence", CONFIDENCES)
+    )
+
+
+def document_errors(raw: DataFrame, checked: DataFrame) -> DataFrame:
+    """One row ``source_doc_id, errors`` for each document with an error, in its metadata or in one of its chunks.
+
+    ``raw`` has the ``metadata`` of all documents, also of those that gave no chunk; ``checked`` has ``source_doc_id`` and
+    ``errors`` for each chunk. A message is listed once, so a document's list is as short as the list of rules.
+    """
+    own = raw.select("metadata.*").select(F.col("id").alias("source_doc_id"), source_errors().alias("errors"))
+    each = own.unionByName(checked.select("source_doc_id", "errors")).select("source_doc_id", F.explode("errors").alias("error"))
+    return each.groupBy("source_doc_id").agg(F.array_sort(F.collect_set("error")).alias("errors"))
+
+
 def with_errors(chunks: DataFrame) -> DataFrame:
     """Adds ``errors``, empty for a valid row, and cleans ``superseded_by``."""
     return chunks.withColumn("errors", validation_errors()).withColumn(

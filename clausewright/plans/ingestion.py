@@ -48,11 +48,12 @@ def run_ingestion(
 ) -> dict:
     """Fetches, chunks, validates and stores the sources; gives the counts of the run.
 
-    A source that cannot be read is left out and the others go on. Chunks whose
-    metadata leaves the allowed domains are counted in ``errors`` and listed by
-    the ``error_rows`` frame.
+    A source that cannot be read is left out and the others go on. Documents with
+    an error are counted in ``errors`` and listed by the ``error_rows`` frame, one
+    row each; their faulty chunks are not stored. Texts are read and chunked once.
     """
     from clausewright.operators import chunking, validation
+    from clausewright.operators.sizing import materialise
     from clausewright.sources import reading
 
     chosen = sources.where(F.col("id").isin(*source_ids)) if source_ids else sources
@@ -62,14 +63,13 @@ def run_ingestion(
     texts = texts.unionByName(
         reading.fetch_missing(remote, cache_path, get) if get else reading.fetch_missing(remote, cache_path)
     )
-    raw = reading.raw_documents(chosen, texts)
-    checked = validation.with_errors(chunking.chunk_documents(raw, as_of))
+    raw = materialise(reading.raw_documents(chosen, texts))
+    checked = materialise(validation.with_errors(chunking.chunk_documents(raw, as_of)))
+    errors = materialise(validation.document_errors(raw, checked))
     seen = raw.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("char_count"), F.lit(0)).alias("chars")).first()
     clean = F.size("errors") == 0
     stale = is_stale(F.col("superseded_by"), F.col("expiry_date"), as_of)
-    cut = checked.agg(
-        F.count_if(clean).alias("n"), F.count_if(clean & stale).alias("stale"), F.count_if(~clean).alias("rejected")
-    ).first()
+    cut = checked.agg(F.count_if(clean).alias("n"), F.count_if(clean & stale).alias("stale")).first()
     added = kb.add_chunks(checked.where(clean).drop("errors"), as_of, rebuild=rebuild, batch_id=batch_id)
     return {
         "sources_attempted": attempted,
@@ -78,6 +78,6 @@ def run_ingestion(
         "total_chunks": cut.n,
         "chunks_added": added,
         "chunks_rejected_stale": cut.stale,
-        "errors": cut.rejected,
-        "error_rows": checked.where(~clean).select("source_doc_id", "chunk_index", "errors"),
+        "errors": errors.count(),
+        "error_rows": errors,
     }

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from clausewright.functions.text import tokenise
 from clausewright.operators import index, validation
-from clausewright.operators.sizing import at_most, few_values, restrict
+from clausewright.operators.sizing import at_most, few_values, materialise, restrict
 from clausewright.schema import CHUNK_SCHEMA, FEEDBACK_SCHEMA
 
 TERM_BUCKETS = 64
@@ -56,8 +56,10 @@ class KnowledgeBase:
     def _commits(self) -> list:
         try:
             rows = self.spark.read.schema(_COMMIT).parquet(f"{self.path}/commits").collect()
-        except AnalysisException:
-            return []
+        except AnalysisException as problem:
+            if problem.getCondition() == "PATH_NOT_FOUND":  # nothing has been stored yet
+                return []
+            raise
         return sorted(rows, key=lambda r: r.seq)
 
     def batches(self) -> list[str]:
@@ -121,7 +123,8 @@ class KnowledgeBase:
 
         Chunks that are stored already, or repeated in the batch, are skipped.
         With ``overwrite`` they replace the stored ones; with ``rebuild`` they
-        replace everything.
+        replace everything. Only new texts are embedded and tokenised: vectors
+        and term lists of chunks that stay are taken over as they are.
         """
         commits = self._commits()
         batch = batch_id or uuid.uuid4().hex
@@ -131,26 +134,32 @@ class KnowledgeBase:
         stored = self._table("chunks", live)
         incoming = validation.drop_stale(validation.validate(chunks).valid, as_of).select(*CHUNK_SCHEMA.fieldNames())
         if overwrite or rebuild:
-            fresh = incoming.dropDuplicates(["chunk_id"])
+            fresh, before = materialise(incoming.dropDuplicates(["chunk_id"])), live
             kept = stored.join(fresh.select("chunk_id"), "chunk_id", "left_anti")
             self._write(fresh.unionByName(kept).repartition("chunk_id"), "chunks", batch, key="chunk_id")
             live, kind = [], "base"
         else:
             self._write(index.new_chunks(incoming, stored), "chunks", batch, key="chunk_id")
-            kind = "append"
+            fresh, before, kind = None, [], "append"
         written = self._table("chunks", [batch])
         count = written.count()
         if count == 0 and kind == "append":
             return 0
-        self._index(written, batch, [*live, batch])
+        self._index(written, batch, [*live, batch], written if fresh is None else fresh, before)
         seq = commits[-1].seq + 1 if commits else 0
         self.spark.createDataFrame([(batch, seq, kind)], _COMMIT).coalesce(1).write.mode("append").parquet(
             f"{self.path}/commits"
         )
         return count
 
-    def _index(self, written: DataFrame, batch: str, live: list[str]) -> None:
-        vectors = written.select(
+    def _index(self, written: DataFrame, batch: str, live: list[str], fresh: DataFrame, before: list[str]) -> None:
+        """Indexes a batch of written chunks: the fresh ones, and the others from the batches ``before``."""
+
+        def with_kept(df: DataFrame, name: str) -> DataFrame:
+            kept = self._table(name, before).join(fresh.select("chunk_id"), "chunk_id", "left_anti")
+            return df.unionByName(kept) if before else df
+
+        vectors = fresh.select(
             "chunk_id",
             self.embed(F.col("text")).alias("embedding"),
             "document_type",
@@ -158,8 +167,8 @@ class KnowledgeBase:
             "expiry_date",
             "jurisdiction",
         )
-        self._write(vectors, "vectors", batch, "jurisdiction")
-        self._write(index.build_documents(written), "documents", batch)
+        self._write(with_kept(vectors, "vectors"), "vectors", batch, "jurisdiction")
+        self._write(with_kept(index.build_documents(fresh), "documents"), "documents", batch)
         postings = index.as_postings(self._table("documents", [batch])).withColumn("term_bucket", term_bucket(F.col("term")))
         self._write(postings, "postings", batch, "term_bucket", "term")
         self._write(index.document_frequencies(self._table("postings", [batch])), "frequencies", batch)
@@ -173,6 +182,10 @@ class KnowledgeBase:
     def stats(self, as_of=None) -> DataFrame:
         return index.corpus_stats(self.chunks(), as_of)
 
+    def chunk_total(self) -> DataFrame:
+        """One row ``total_chunks``, summed from the totals of the batches."""
+        return self._table("totals", self.batches()).agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("total_chunks"))
+
     def list_sources(self) -> DataFrame:
         return index.manifest(self.chunks())
 

@@ -124,7 +124,7 @@ class Service:
 
     def health(self) -> DataFrame:
         chunks = F.col("total_chunks")
-        return self.stats().select(
+        return self.kb.chunk_total().select(
             F.when(chunks > 0, "healthy").otherwise("not loaded").alias("status"),
             F.when(chunks > 0, 200).otherwise(503).alias("status_code"),
             F.lit(__version__).alias("version"),

@@ -157,6 +157,21 @@ def test_overwrite_and_rebuild(spark, kb):
     kb.add_chunks(some(spark, "a", "b"), AS_OF)
     assert kb.add_chunks(some(spark, "b", summary="new"), AS_OF, overwrite=True) == 2
     assert {r.chunk_id: r.summary for r in kb.chunks().collect()} == {"a": "Class 1", "b": "new"}
+    for table in (kb.vectors(AS_OF), kb.sparse_index().documents):
+        assert sorted(r.chunk_id for r in table.collect()) == ["a", "b"]
+    assert kb.chunk_total().first().total_chunks == kb.sparse_index().corpus.first().n_docs == 2
+
+
+def test_overwrite_embeds_new_texts_only(spark, kb, tmp_path):
+    kb.add_chunks(some(spark, "a", "b"), AS_OF)
+    marked = KnowledgeBase(spark, kb.path, lambda text: F.array(F.lit(-1.0).cast("float"), F.lit(0.0).cast("float")))
+    marked.add_chunks(some(spark, "b"), AS_OF, overwrite=True)
+    widths = {r.chunk_id: len(r.embedding) for r in marked.vectors(AS_OF).collect()}
+    assert widths["b"] == 2 != widths["a"]
+
+
+def test_rebuild_replaces_everything(spark, kb):
+    kb.add_chunks(some(spark, "a", "b"), AS_OF)
     assert kb.add_chunks(some(spark, "z"), AS_OF, rebuild=True) == 1
     assert stored(kb) == ["z"] and kb.sparse_index().corpus.first().n_docs == 1 and kb.vectors(AS_OF).count() == 1
 
@@ -210,6 +225,19 @@ def test_ingestion_service_and_feedback(spark, kb, tmp_path):
     assert spark.read.json(str(tmp_path / "manifest")).count() == 2
 
 
+def test_one_error_for_each_document(spark):
+    from clausewright.operators.validation import document_errors
+
+    raw = spark.createDataFrame(
+        [(("d1", "leaflet", "moon", "high"),), (("d2", "primary_act", "national", "high"),), (("d3", "primary_act", "national", None),)],
+        "metadata struct<id:string,document_type:string,jurisdiction:string,confidence:string>",
+    )
+    chunks = spark.createDataFrame([("d1", ["b", "a"]), ("d1", ["b"]), ("d2", [])], "source_doc_id string, errors array<string>")
+    out = {r.source_doc_id: r.errors for r in document_errors(raw, chunks).collect()}
+    assert set(out) == {"d1", "d3"} and out["d1"] == ["a", "b", *sorted(out["d1"][2:])] and len(out["d1"]) == 4 and len(out["d3"]) == 1
+    assert document_errors(raw.limit(0), chunks.limit(0)).isEmpty()
+
+
 def test_streaming_ingest(spark, kb, tmp_path):
     from clausewright.streaming.ingest import RAW_SCHEMA
 

@@ -39,6 +39,14 @@ def validation_errors(spark, sf):
     )
 
 
+def document_errors(spark, sf):
+    """The same faults, listed once for each source."""
+    rows = d.corpus(spark, sf).selectExpr("source_doc_id", "superseded_by", *[f"{e} AS {n}" for n, e in BROKEN.items()])
+    raw = rows.selectExpr("struct(source_doc_id AS id, document_type, jurisdiction, confidence) AS metadata")
+    found = validation.document_errors(raw, validation.with_errors(rows))
+    return found.select("source_doc_id", F.array_join("errors", "; ").alias("errors"))
+
+
 def tokenise_stats(spark, sf):
     tokens = tokenise(F.col("text"))
     return d.corpus(spark, sf).select(
@@ -84,7 +92,8 @@ def manifest(spark, sf):
 
 
 def kb_stats(spark, sf):
-    return index.corpus_stats(d.corpus(spark, sf), d.AS_OF).drop("last_updated")
+    stats = index.corpus_stats(d.corpus(spark, sf), d.AS_OF)
+    return stats.withColumn("last_updated", F.unix_timestamp(F.col("last_updated").cast("timestamp")))
 
 
 def ingestion_stats(spark, sf):
@@ -106,6 +115,7 @@ QUERIES = {
         reverify_days,
         flat_metadata,
         validation_errors,
+        document_errors,
         tokenise_stats,
         bm25_postings,
         bm25_term_stats,
@@ -145,6 +155,10 @@ def _bad(name, values):
 
 from clausewright.schema import CONFIDENCES, DOCUMENT_TYPES, JURISDICTIONS  # noqa: E402
 
+ERRORS_SQL = f"""
+concat_ws('; ', CASE WHEN length(text) < 20 THEN 'text: shorter than 20 characters' END,
+    {_bad('document_type', DOCUMENT_TYPES)}, {_bad('jurisdiction', JURISDICTIONS)}, {_bad('confidence', CONFIDENCES)}) AS errors"""
+
 SQL = {
     "staleness_gate": f"""
 SELECT jurisdiction, count(*) FILTER (WHERE NOT is_stale) AS chunks_valid,
@@ -163,10 +177,13 @@ SELECT chunk_id, source_doc_id, chunk_index, coalesce(summary, '') AS summary, d
   confidence, is_verbatim, verified_url, is_stale, needs_reverification
 FROM ({d.FRESH_SQL})""",
     "validation_errors": f"""
-SELECT chunk_id, nullif(trim(superseded_by, {d.WS}), '') AS superseded_by,
-  concat_ws('; ', CASE WHEN length(text) < 20 THEN 'text: shorter than 20 characters' END,
-    {_bad('document_type', DOCUMENT_TYPES)}, {_bad('jurisdiction', JURISDICTIONS)}, {_bad('confidence', CONFIDENCES)}) AS errors
+SELECT chunk_id, nullif(trim(superseded_by, {d.WS}), '') AS superseded_by, {ERRORS_SQL}
 FROM (SELECT chunk_id, superseded_by, {d.select_sql(BROKEN)} FROM ({d.CORPUS_SQL}))""",
+    "document_errors": f"""
+SELECT source_doc_id, string_agg(DISTINCT error, '; ' ORDER BY error) AS errors FROM (
+  SELECT source_doc_id, unnest(string_split(errors, '; ')) AS error FROM (
+    SELECT source_doc_id, {ERRORS_SQL} FROM (SELECT source_doc_id, {d.select_sql(BROKEN)} FROM ({d.CORPUS_SQL}))))
+WHERE error <> '' GROUP BY source_doc_id""",
     "tokenise_stats": f"""
 SELECT chunk_id, CAST(len(t) AS INTEGER) AS n_tokens, CAST(len(list_distinct(t)) AS INTEGER) AS n_distinct, t[1] AS first_token
 FROM (SELECT chunk_id, {TOKENS_SQL} AS t FROM ({d.CORPUS_SQL}))""",
@@ -182,7 +199,8 @@ SELECT source_doc_id AS doc_id, min_by(source_title, chunk_index) AS title, min_
 FROM ({d.CORPUS_SQL}) GROUP BY source_doc_id""",
     "kb_stats": f"""
 SELECT count(*) AS total_chunks, count(*) FILTER (WHERE NOT is_stale) AS indexed_chunks,
-  count(DISTINCT source_doc_id) AS total_docs_ingested, count(*) FILTER (WHERE is_stale) AS stale_chunks,
+  count(DISTINCT source_doc_id) AS total_docs_ingested, max(ingested_second) AS last_updated,
+  count(*) FILTER (WHERE is_stale) AS stale_chunks,
   count(*) FILTER (WHERE needs_reverification) AS chunks_needing_reverify
 FROM ({d.FRESH_SQL})""",
 }
