@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,21 +96,19 @@ def in_blocks(active: DataFrame, extra: DataFrame) -> DataFrame:
 def near_in_sketch(group: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """Of the rows of two blocks: a row, and the rows of other components whose sketches promise a link with it.
 
-    A pair that shares several buckets comes up in the first of them only, which its sketches show: they agree in all
-    bins of that band.
+    A pair that shares several buckets comes up in the first of them only, as told by its band keys: sketches can agree
+    in a band whose bins differ.
     """
     ids, n, component, block = (group.column(c).to_numpy() for c in ("id", "n", "component", "block"))
     i, j, band = (group.column(c)[0].as_py() for c in ("i", "j", "band"))
     low = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+    keys = pc.list_flatten(group.column("bands")).to_numpy().reshape(len(ids), -1)
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    bands = low.shape[1] // ROWS
     for x in left:
         y = right[(component[right] != component[x]) & ((ids[right] > ids[x]) | (i != j))]
         y = y[np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent]
-        same = low[y] == low[x]
-        promise = same.sum(axis=1) >= SKETCH_LEAST * low.shape[1]
-        y, same = y[promise], same[promise]
-        y = y[same[:, : bands * ROWS].reshape(len(y), bands, ROWS).all(axis=2).argmax(axis=1) == band]
+        y = y[(low[y] == low[x]).sum(axis=1) >= SKETCH_LEAST * low.shape[1]]
+        y = y[(keys[y] == keys[x]).argmax(axis=1) == band]
         if len(y):
             yield x, y
 
@@ -206,7 +205,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rest = move(active, "component", label)
     open_ = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     rest = materialise(rest.join(open_.select("bucket"), "bucket", "left_semi"))
-    sketches = own.select(F.col("class").alias("id"), "sketch").join(rest.select("id").distinct(), "id", "left_semi")
+    sketches = own.select(F.col("class").alias("id"), "sketch", "bands").join(rest.select("id").distinct(), "id", "left_semi")
     more = materialise(remaining_links(rest, sketches, whole, percent))
     if not more.isEmpty():
         label = components(links.unionByName(more))

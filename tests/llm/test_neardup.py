@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from clausewright.llm.components import components
-from clausewright.llm.neardup import near_duplicates
+from clausewright.llm.neardup import near_duplicates, remaining_links
 from clausewright.llm.shingles import Shingler
 
 
@@ -69,6 +69,18 @@ def test_empty_table(spark, docs):
     assert out.columns == ["doc_id", "n_shingles", "component_id", "kept"] and out.isEmpty()
 
 
+def test_links_where_low_bytes_agree_in_an_earlier_band(spark):
+    sketch = bytes(range(256))
+    bands = [[1000 * i + k for k in range(42)] for i in (1, 2)]
+    bands[1][3:9] = bands[0][3:9]  # bins differ in bands 0 to 2, low bytes nowhere
+    active = spark.createDataFrame(
+        [(bands[0][k], i, 5, k, i) for k in range(3, 9) for i in (1, 2)], "bucket long, id long, n long, band int, component long"
+    )
+    sketches = spark.createDataFrame([(i, sketch, b) for i, b in enumerate(bands, 1)], "id long, sketch binary, bands array<long>")
+    whole = spark.createDataFrame([(i, [1, 2, 3, 4, 5]) for i in (1, 2)], "doc_id long, shingles array<long>")
+    assert [(r.a, r.b) for r in remaining_links(active, sketches, whole, 80).collect()] == [(1, 2)]
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 99), (99, 100), (7, 7)]
     found = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
