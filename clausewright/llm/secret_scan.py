@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausewright.llm.shingles import chunks
+from clausewright.operators.sizing import materialise
 
 HARD = 10.0  # a value is a secret from ten to this many guesses on
+WORDS = 50_000  # most frequent words of the documents that guessers try
+WORD_LETTERS = (3, 32)  # least and most letters of those words
 MARK = "[SECRET]"
 
 # The kinds in their order, and the patterns that every scan has.
@@ -21,7 +24,7 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 
 # Words near which a value counts as a credential, words and rows of keys that guessers try first.
-CONTEXT = r"""(?ai:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|bearer|(?:api|access|private|secret)[_ -]?key))["']?\x20*(?:=>|[:=])\x20*["']?([^\s"'<>,;]{8,})"""
+CONTEXT = r"""(?ai:(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|bearer|(?:api|access|private|secret)[_ -]?key))["']?\x20*(?:=>|[:=])\x20*["']?([^\s"'<>,;]{8,})"""
 HINTS = ("pass", "pwd", "secret", "token", "credential", "auth", "bearer", "key")
 COMMON = (
     "password passwd pass admin administrator root user guest login welcome letmein master secret default changeme test "
@@ -36,13 +39,16 @@ DATE = r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:
 class GuessCost:
     """The least number of guesses (as a power of ten) over all ways to cut a value into parts a guesser would try."""
 
-    def __init__(self) -> None:
+    def __init__(self, words: list[str] | tuple[str, ...] = ()) -> None:
+        """``words``: the words of a language or corpus, the most frequent first."""
         import math
         import re
 
         self.log = math.log10
-        self.rank = {w: k + 1 for k, w in enumerate(COMMON)}
-        self.longest = max(map(len, COMMON))
+        self.rank = {w: k + 1 for k, w in enumerate(words)}
+        for k, w in enumerate(COMMON):
+            self.rank[w] = min(self.rank.get(w, k + 1), k + 1)
+        self.longest = max(map(len, self.rank))
         self.date = re.compile(DATE)
         self.repeat = re.compile(r"(.{1,8}?)\1{2,}", re.S)
         self.plain = str.maketrans("@4310$57!", "aaeiossti")
@@ -55,7 +61,7 @@ class GuessCost:
             low = value
         for text, extra in ((low, 0.3), (low.translate(self.plain), 1.0)):
             for i in range(len(text)):
-                for n in range(4, min(self.longest, len(text) - i) + 1):
+                for n in range(WORD_LETTERS[0], min(self.longest, len(text) - i) + 1):
                     if text[i : i + n] in self.rank:
                         found.append((i, i + n, self.log(self.rank[text[i : i + n]]) + extra))
         for i in range(len(value)):
@@ -87,11 +93,11 @@ class GuessCost:
 class Scanner:
     """Spans of secrets in a text: kind, start and end in code points, ordered by start, then kind, then end."""
 
-    def __init__(self) -> None:
+    def __init__(self, words: list[str] | tuple[str, ...] = ()) -> None:
         import re
 
         self.assign, self.access, self.hex, self.context = map(re.compile, (ASSIGN, ACCESS, HEX, CONTEXT))
-        self.cost = GuessCost()
+        self.cost = GuessCost(words)
 
     def base(self, text: str, low: str) -> list[tuple[int, int, int]]:
         """Start, number of the kind, end."""
@@ -102,20 +108,57 @@ class Scanner:
             found += [(m.start(), 0, m.end()) for m in self.assign.finditer(text) if len(m[2]) >= 12]
         return sorted(found)
 
+    def values(self, text: str, low: str) -> list[tuple[int, int]]:
+        """Start and end of each value after a credential word."""
+        if any(k in low for k in HINTS) and ("=" in text or ":" in text):
+            return [m.span(1) for m in self.context.finditer(text)]
+        return []
+
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         low = text.lower()
         found = self.base(text, low)
-        if any(k in low for k in HINTS) and ("=" in text or ":" in text):
-            for m in self.context.finditer(text):
-                start, end = m.span(1)
-                classes = sum(any(f(c) for c in m[1]) for f in (str.islower, str.isupper, str.isdigit))
-                if classes > 1 and self.cost(m[1]) >= HARD:
-                    if not any(s < end and e > start for s, _, e in found):
-                        found.append((start, 3, end))
-                        found.sort()
+        for start, end in self.values(text, low):
+            if self.cost(text[start:end]) >= HARD and not any(s < end and e > start for s, _, e in found):
+                found.append((start, 3, end))
+                found.sort()
         return found
 
 
+def frequent_words(docs: DataFrame) -> list[str]:
+    """The words that occur in the most documents, in two at least, the most frequent first.
+
+    They are at most ``WORDS``: of words that occur equally often either all are taken or none.
+    Words are lower-cased runs of letters. Values that the fixed patterns find or that follow a credential word are not
+    counted, so a secret does not become a word by being repeated.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import re
+        from collections import Counter
+
+        scanner, find, seen = Scanner(), re.compile(r"[^\W\d_]+").findall, Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                low = text.lower()
+                out = scanner.values(text, low) + [(s, e) for s, _, e in scanner.base(text, low)]
+                text = redact(text, [(s, 0, e) for s, e in sorted(out)]) if out else text
+                seen.update({w for w in find(text.replace(MARK, " ").lower() if out else low) if WORD_LETTERS[0] <= len(w) <= WORD_LETTERS[1]})
+            if len(seen) > 500_000:
+                yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+                seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+
+    counted = docs.where("text IS NOT NULL").select("text").mapInArrow(run, "word string, n long")
+    counted = materialise(counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"))
+    least, room = 1 << 62, WORDS
+    for n, words in sorted((tuple(r) for r in counted.groupBy("n").count().collect()), reverse=True):
+        room -= words
+        if room < 0:
+            break
+        least = n
+    return [r.word for r in sorted(counted.where(F.col("n") >= least).collect(), key=lambda r: (-r.n, r.word))]
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Secrets in every whole text (NULL: empty).
 
@@ -123,11 +166,13 @@ def scan(docs: DataFrame) -> DataFrame:
     Adds ``secrets``, an array of ``kind, start, end`` in code points, and ``redacted``, the text with each secret
     (touching ones together) replaced by a mark; NULL stays NULL. Matches of the fixed patterns are found from the left without
     overlap, each kind on its own; then values after a credential word are added where they cost ``10 ** HARD``
-    guesses or more and meet no other span. An empty table gives an empty result.
+    guesses or more and meet no other span, whatever characters they are of. Guessers know the words that are frequent
+    in these documents, so prose after such a word is cheap. An empty table gives an empty result.
     """
+    words = docs.sparkSession.sparkContext.broadcast(frequent_words(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner()
+        scanner = Scanner(words.value)
         for batch in batches:
             at = 0
             for group in chunks(batch.column(batch.schema.get_field_index("text")).to_pylist()):

@@ -138,6 +138,17 @@ def test_secrets(spark, docs):
     assert cost("password2020") < 5 < cost("qwertyuiop11112222") < 12 < cost("hT7kQz92LmWp4")
 
 
+def test_guess_cost_alone_decides(spark, docs):
+    hard = ["xkqjzvwpfhgbtrmn", "abq!tzf$gxi%jkl", "VQXJZKWPYHTR", "8305917264839", "qzxvjkwpybfmghtdrcnlqzxvjkwpybfmghtdrcnl"]
+    texts = [f"{w} {v} end" for w, v in zip(("pwd:", "auth=", "credentials:", "MY_PWD=", "passphrase="), hard)]
+    texts += ["DB_PASSWORD=Xk9#mQ2$vL7!", "aws_secret_access_key=wJq7rXUt9FEMIxK7MDENGxbPxRfiCYzQ3vLm8KpT", "pwd: xkqjzvwpfhgbtrmn"]
+    prose = ["credentials: authentication failed", "the authentication is described here", "for authentication see below", "forbidden=Xk9mQ2vL7pq; compass: Xk9mQ2vL7pq"]
+    out = {r.doc_id: [(s.kind, s.start, s.end) for s in r.secrets] for r in secret_scan.scan(docs(*enumerate(texts + prose))).collect()}
+    assert [out[i] for i in range(5)] == [[("guess", texts[i].index(v), texts[i].index(v) + len(v))] for i, v in enumerate(hard)]
+    assert out[5] == [("guess", 12, 24)] and out[6] == [("guess", 22, 62)] and len(out[7]) == 1
+    assert [out[len(texts) + i] for i in range(len(prose))] == [[]] * len(prose)
+
+
 def test_tiles_and_leaks(spark, docs):
     item = " ".join(f"t{k}" for k in range(20))
     half = [" ".join(f"t{k}" for k in r) for r in (range(10, 20), range(10))]
