@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-# Elements whose content is never text of a page, and elements that end a block of text.
-SILENT = "script style noscript template textarea title iframe svg object audio video canvas select button head".split()
+# Elements whose content is never text of a page (first those whose content holds no tags, last those that
+# are empty where their tag ends in a slash), and elements that end a block of text.
+RAW = "script style noscript textarea title iframe".split()
+SILENT = {"template", "svg", "object", "audio", "video", "canvas", "select", "button", "head"}
+MAYBE_EMPTY = {"svg", "object", "audio", "video", "canvas"}
 BREAKS = set(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot "
@@ -42,10 +45,10 @@ class BlockParser:
         import html
         import re
 
-        silent = "|".join(SILENT)
+        raw = "|".join(RAW)
         attributes = r"""(?>[^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+)"""
         self.token = re.compile(
-            rf"<!--.*?(?:-->|\Z)|<(?P<silent>{silent})(?=[\s/>]){attributes}>.*?(?:</(?P=silent)\s*>|(?=<body[\s>])|\Z)"
+            rf"<!--.*?(?:-->|\Z)|<(?P<raw>{raw})(?=[\s/>])(?P<own>{attributes})>.*?(?:</(?P=raw)\s*>|(?=<body[\s>])|\Z)"
             rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?:(?P<more>{attributes})>|(?P<loose>[^>]*)(?:>|\Z))|<[!?][^>]*(?:>|\Z)",
             re.S | re.I,
         )
@@ -67,11 +70,63 @@ class BlockParser:
                 self.known[attributes] = found
         return found
 
+    def tokens(self, page: str) -> tuple[list, dict[int, int]]:
+        """The tags and comments of a page: match, tag (None where its content goes with it) and end. Then the number of
+        the token that ends a silent element, by the number of the one that opens it.
+
+        A silent element ends with its own closing tag, or with ``<body>``. One whose surrounding block ends before that,
+        and a button or select in which another begins, is unclosed and has no entry.
+        """
+        tokens: list[tuple] = []
+        ends: dict[int, int] = {}
+        stack: list[tuple[str, int]] = []
+        open_: dict[str, int] = {}
+
+        def pop() -> int:
+            tag, k = stack.pop()
+            open_[tag] -= 1
+            return k
+
+        at = 0
+        while m := self.token.search(page, at):
+            at = m.end()
+            tag = m["tag"]
+            if m["raw"] and m["own"].endswith("/") and open_.get("svg"):
+                at = m.end("own") + 1
+            tag = tag.lower() if tag else None
+            if tag in SILENT or tag in BREAKS:
+                k = len(tokens)
+                if m["close"]:
+                    if open_.get(tag):
+                        while stack[-1][0] != tag:
+                            pop()
+                        begin = pop()
+                        if tag in SILENT:
+                            ends[begin] = k
+                elif tag == "body":
+                    for name, begin in stack:
+                        if name in SILENT:
+                            ends[begin] = k
+                    stack, open_ = [(tag, k)], {tag: 1}
+                elif tag in SILENT:
+                    if tag in MAYBE_EMPTY and (m["more"] or "").endswith("/"):
+                        tag = None
+                    elif tag in ("button", "select") and open_.get(tag):
+                        while stack[-1][0] != tag:
+                            pop()
+                        pop()
+                if not m["close"] and tag and tag != "body" and tag not in SINGLE:
+                    stack.append((tag, k))
+                    open_[tag] = open_.get(tag, 0) + 1
+            tokens.append((m, tag, at))
+        return tokens, ends
+
     def __call__(self, page: str) -> list[Block]:
         blocks: list[Block] = []
         stack: list[tuple[str, frozenset, frozenset]] = [("", frozenset(), frozenset())]
         pieces: list[str] = []
         anchor, linked, links = False, 0, 0
+        until, silent = 0, None  # the token that ends a silent element; an unclosed one, up to the next border of a block
 
         def flush() -> None:
             nonlocal linked, links
@@ -83,23 +138,38 @@ class BlockParser:
                 pieces.clear()
             linked = links = 0
 
+        tokens, ends = self.tokens(page)
         at = 0
-        for m in self.token.finditer(page):
-            if m.start() > at:
+        for number, (m, tag, end) in enumerate(tokens):
+            if number < until:
+                continue
+            if until and number == until:
+                until = 0
+                if tag in SILENT:
+                    at = end
+                    continue
+                at = m.start()
+            if m.start() > at and silent is None:
                 text = page[at : m.start()]
                 text = self.unescape(text) if "&" in text else text
                 pieces.append(text)
                 if anchor:
                     linked += len(text)
-            at = m.end()
-            tag = m["tag"]
+            at = end
             if tag is None:
                 continue
-            tag = tag.lower()
-            if tag == "a":
+            if tag in SILENT:
+                if number in ends:
+                    until = ends[number]
+                elif not m["close"]:
+                    silent = tag
+            elif silent and (tag not in BREAKS or silent == "select" and tag == "option" or silent == "head" and tag == "html"):
+                continue
+            elif tag == "a":
                 anchor = not m["close"]
                 links += anchor
             elif tag in BREAKS:
+                silent = None
                 flush()
                 if tag in SINGLE:
                     continue
@@ -124,7 +194,7 @@ class BlockParser:
                 stack.append((tag, path | {tag}, hints | self.hints(more) if more else hints))
             elif tag == "br":
                 pieces.append(" ")
-        if at < len(page):
+        if at < len(page) and silent is None:
             text = page[at:]
             pieces.append(self.unescape(text) if "&" in text else text)
         flush()

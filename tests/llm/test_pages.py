@@ -44,3 +44,18 @@ def test_parser_takes_any_input():
     for text in ["<", "<a href='x", "<p", "a < b > c", "<!-- open", "</p></div>", "<p>" * 3000 + "deep", "<table><tr><td>1<td>2<tr><td>3", "&#0; &bogus; &am"]:
         parser(text)
     assert [b.text for b in parser("<table><tr><td>1<td>2<tr><td>3</table>")] == ["1", "2", "3"]
+
+
+def test_silent_elements_without_a_closing_tag():
+    parser = BlockParser()
+    texts = lambda page: [b.text for b in parser(page)]
+    for tag in ("<svg class=i />", "<object data='a' />", "<video src=x />", "<canvas/>", "<audio/>"):
+        assert texts(f"<article><p>One {tag} two</p><p>Three</p></article>") == ["One two", "Three"], tag
+    for tag in ("<button>Share", "<select><option>A<option>B", "<svg><path d='x'>", "<object data=x>", "<video src=x>", "<canvas>", "<template>"):
+        assert texts(f"<article><div>One {tag}</div><p>Two</p>Three</article>End") == ["One", "Two", "Three", "End"], tag
+        assert texts(f"<body>{tag}<article><p>Two</article>")[0] == "Two", tag
+    assert texts("<p>One</p><button>Share <p>Two</p><button>No</button> three") == ["One", "Two", "three"]
+    assert texts("<head><meta charset=x><div>One</div>") == ["One"]
+    assert texts("<p>a <svg><title/><style/><g><text>no</text></g></svg> b <select><option>x</option></select>c") == ["a b c"]
+    assert texts("<div>a <object><p>no</p><object>no</object>no</object> b</div>") == ["a b"]
+    assert texts("<button><div>no</div></button>yes<head><p>no<body>ok") == ["yes", "ok"]
