@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,15 +14,37 @@ from pyspark.sql import functions as F
 from clausewright.llm.shingles import Shingler, chunks
 from clausewright.operators.sizing import materialise
 
-SEED = 5  # words; also the least length of a tile
+SEED = 5  # words; also the least length of a tile. A shorter item is a seed as a whole
 COVERAGE = 0.6  # of a test item's words, from which a document counts as contaminated
 SLICE_CHARS = 8_000_000  # of the benchmark that is sent to the executors at a time
 PUNCTUATION = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
 
+# First and last code point of scripts that set no blanks between words.
+UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x2E80, 0x2FDF),
+    (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x3035), (0x3041, 0x30FF), (0x3105, 0x312F), (0x31A0, 0x31BF),
+    (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F),
+    (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x323AF),
+)
+
+
+@cache
+def cutter() -> tuple[dict[int, str], frozenset[str]]:
+    """What to put in place of characters outside ASCII that separate words or are words of their own, and these."""
+    import unicodedata
+
+    put = {c: f" {chr(c)} " for a, b in UNSPACED for c in range(a, b + 1)}
+    put |= {c: " " for c in range(128, 0x20000) if unicodedata.category(chr(c))[0] in "PZ"}
+    return put, frozenset(map(chr, put))
+
 
 def bare_words(text: str) -> list[bytes]:
-    """Lower-cased words without ASCII punctuation."""
-    return text.lower().encode("utf-8", "surrogatepass").translate(PUNCTUATION).split()
+    """Lower-cased words without punctuation; of scripts that set no blanks, each character is a word."""
+    text = text.lower()
+    if not text.isascii():
+        put, special = cutter()
+        text = text if special.isdisjoint(set(text)) else text.translate(put)
+    return text.encode("utf-8", "surrogatepass").translate(PUNCTUATION).split()
 
 
 def tile(points: list[tuple[int, int]], text: list[bytes], item: list[bytes], least: int = SEED) -> list[tuple[int, int, int]]:
@@ -63,42 +86,61 @@ def tile(points: list[tuple[int, int]], text: list[bytes], item: list[bytes], le
     return sorted(tiles)
 
 
+def seed_search(size: int, items: list[tuple[int, str]], least: np.ndarray):
+    """A search in texts for the items whose seeds have ``size`` words.
+
+    For each text that has seeds it gives its number, and by number of the item the places (in the text, in the item).
+    """
+    shingler = Shingler(size, bare_words)
+    chosen = np.flatnonzero(least == size)
+    seeds, begins, _ = shingler.sequence([items[t][1] for t in chosen])
+    owner = np.repeat(chosen, np.diff(begins))
+    place = np.arange(len(seeds)) - np.repeat(begins[:-1], np.diff(begins))
+    order = np.argsort(seeds, kind="stable")
+    seeds, owner, place = seeds[order], owner[order], place[order]
+    bits = np.uint64((1 << 22) - 1)
+    maybe = np.zeros(1 << 22, bool)
+    maybe[(seeds & bits).astype(np.int64)] = True
+
+    def search(group: list[str | None]) -> Iterator[tuple[int, dict[int, list[tuple[int, int]]]]]:
+        own, starts, _ = shingler.sequence(group)
+        hits = np.flatnonzero(maybe[(own & bits).astype(np.int64)])
+        low, high = np.searchsorted(seeds, own[hits], "left"), np.searchsorted(seeds, own[hits], "right")
+        hits, low, high = hits[high > low], low[high > low], high[high > low]
+        doc = np.searchsorted(starts, hits, "right") - 1
+        for d in np.unique(doc):
+            points: dict[int, list[tuple[int, int]]] = {}
+            for k in np.flatnonzero(doc == d):
+                for s in range(low[k], high[k]):
+                    points.setdefault(int(owner[s]), []).append((int(hits[k] - starts[d]), int(place[s])))
+            yield int(d), points
+
+    return search
+
+
 def slice_leaks(docs: DataFrame, items: list[tuple[int, str]], coverage: float) -> DataFrame:
     """Documents that contain enough of one of these test items."""
     held = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(SEED, bare_words)
         tests = [(i, bare_words(t)) for i, t in held.value]
-        hashes, begins, sizes = shingler.sequence([t for _, t in held.value])
-        owner = np.repeat(np.arange(len(tests)), np.diff(begins))
-        place = np.arange(len(hashes)) - np.repeat(begins[:-1], np.diff(begins))
-        whole = np.repeat(sizes >= SEED, np.diff(begins))
-        order = np.argsort(hashes[whole], kind="stable")
-        seeds, owner, place = hashes[whole][order], owner[whole][order], place[whole][order]
-        bits = np.uint64((1 << 22) - 1)
-        maybe = np.zeros(1 << 22, bool)
-        maybe[(seeds & bits).astype(np.int64)] = True
+        least = np.array([min(SEED, len(words)) for _, words in tests], np.int64)
+        searches = [seed_search(int(n), held.value, least) for n in np.unique(least[least > 0])]
         for batch in batches:
             at = 0
             for group in chunks(batch.column(1).to_pylist()):
                 ids, found, share, tiles = [], [], [], []
-                own, starts, _ = shingler.sequence(group)
-                hits = np.flatnonzero(maybe[(own & bits).astype(np.int64)])
-                low, high = np.searchsorted(seeds, own[hits], "left"), np.searchsorted(seeds, own[hits], "right")
-                hits, low, high = hits[high > low], low[high > low], high[high > low]
-                doc = np.searchsorted(starts, hits, "right") - 1
-                for d in np.unique(doc):
+                met: dict[int, dict[int, list[tuple[int, int]]]] = {}
+                for search in searches:
+                    for d, points in search(group):
+                        met.setdefault(d, {}).update(points)
+                for d, points in met.items():
                     words = bare_words(group[d])
-                    points: dict[int, list[tuple[int, int]]] = {}
-                    for k in np.flatnonzero(doc == d):
-                        for s in range(low[k], high[k]):
-                            points.setdefault(int(owner[s]), []).append((int(hits[k] - starts[d]), int(place[s])))
                     for t, pairs in points.items():
                         item, test = tests[t]
-                        if not spread_enough(pairs, test, coverage):
+                        if not spread_enough(pairs, test, coverage, int(least[t])):
                             continue
-                        laid = tile(pairs, words, test)
+                        laid = tile(pairs, words, test, int(least[t]))
                         part = sum(n for _, _, n in laid) / len(test)
                         if part >= coverage:
                             ids.append(batch.column(0)[at + int(d)].as_py())
@@ -115,19 +157,19 @@ def slice_leaks(docs: DataFrame, items: list[tuple[int, str]], coverage: float)
     return docs.mapInArrow(run, "row binary, item_id long, coverage double, tiles array<struct<doc_word:long,item_word:long,n_words:long>>")
 
 
-def spread_enough(pairs: list[tuple[int, int]], test: list[bytes], coverage: float) -> bool:
+def spread_enough(pairs: list[tuple[int, int]], test: list[bytes], coverage: float, least: int) -> bool:
     """Whether the words under any seed could reach the coverage."""
-    return len({q + k for _, q in pairs for k in range(SEED)}) >= coverage * len(test)
+    return len({q + k for _, q in pairs for k in range(least)}) >= coverage * len(test)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Test items whose words are covered by tiles of a document, whatever their order there.
 
     ``docs``: ``text`` and any key in ``row`` (binary); ``benchmark``: ``item_id, text``. Words are lower-cased and
-    freed of ASCII punctuation. Every run of ``SEED`` words that a document shares with an item is a seed; matches grown
+    freed of punctuation; in scripts without blanks between words each character is one. Every run of ``SEED`` words that a document shares with an item is a seed; matches grown
     from seeds are laid as tiles, the longest first, and an item leaks where its tiles cover at least ``coverage`` of
-    its words. Returns ``row, item_id, coverage, tiles`` for each leak. Items with fewer than ``SEED`` words, NULL and
-    empty texts cannot leak. The benchmark is sent to the tasks in slices of bounded size, one pass over the documents
+    its words. Returns ``row, item_id, coverage, tiles`` for each leak. An item with fewer than ``SEED`` words
+    is one seed, so it leaks where it stands as a whole. NULL texts and texts without words cannot leak. The benchmark is sent to the tasks in slices of bounded size, one pass over the documents
     for each, so it may have any size; an empty one gives no leaks.
     """
     items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long"), "text")

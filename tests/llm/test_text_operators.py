@@ -164,6 +164,14 @@ def test_tiles_and_leaks(spark, docs):
     assert decontaminate.tile(points, text, test, 3) == [(0, 3, 6), (7, 0, 3)]
 
 
+def test_short_items_and_scripts_without_blanks_leak(spark, docs):
+    items = ["Zwei Wörter", "北京是中华人民共和国的首都。", "ประเทศไทย", "one", "«a b», c—d e", "。、", "東京 タワー"]
+    texts = ["mit zwei wörter!", "他说：北京是中华人民共和国的首都，对吗", "ในประเทศไทยมี", "bone", "x a—b c “d” e y", "。、", "東京、タワー", "zwei andere wörter", "首都的国和共民人华中是京北"]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    out = {r.doc_id: (r.item_id, r.coverage) for r in decontaminate.contaminated(docs(*enumerate(texts)), bench).collect()}
+    assert out == {**{i: (i, 1.0) for i in (0, 1, 2, 4, 6)}, **{i: (None, 0.0) for i in (3, 5, 7, 8)}}
+
+
 def test_toxicity_learns_from_positive_and_unlabelled(spark, docs):
     rows = [(i, " ".join(f"w{(i * k) % 300}" for k in range(1, 40)) + (" vile scum" if i % 5 == 0 else "")) for i in range(400)]
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(0, 200)] + [(None, 1), (3, None)], "doc_id long, toxic int")
