@@ -85,12 +85,23 @@ def alike_in_size(n, m, percent: int):
 
 
 def in_blocks(active: DataFrame, extra: DataFrame) -> DataFrame:
-    """Deals the members of each bucket out to pairs of blocks ``i <= j``; ``extra`` has more columns by ``id``."""
-    size = active.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = active.join(size, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    """Deals the members of each bucket out to pairs of blocks ``i <= j``; ``extra`` has more columns by ``id``.
+
+    The largest component of a bucket has blocks of its own after the others'. They meet the others' blocks only, so
+    its members are written once for each of these.
+    """
+    size = active.groupBy("bucket", "component").agg(F.count("*").alias("m"))
+    most = F.max(F.struct("m", "component"))
+    size = size.groupBy("bucket").agg(F.sum("m").alias("all"), most.alias("most"))
+    blocks = lambda m: F.ceil(m / BLOCK).cast("int")
+    size = size.select("bucket", F.col("most.component").alias("main"), blocks(F.col("all") - F.col("most.m")).alias("rest"), blocks(F.col("most.m")).alias("own"))
+    rows = active.join(size.where("rest > 0"), "bucket").withColumn("inside", F.col("component") == F.col("main"))
+    own = F.col("rest") + F.pmod(F.xxhash64("id"), "own")
+    rows = rows.withColumn("block", F.when(F.col("inside"), own).otherwise(F.pmod(F.xxhash64("id"), "rest")).cast("int"))
+    last = F.when(F.col("inside"), F.col("rest")).otherwise(F.col("rest") + F.col("own")) - 1
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("other"))
     rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    return rows.drop("other", "blocks").join(extra, "id")
+    return rows.drop("other", "main", "rest", "own", "inside").join(extra, "id")
 
 
 def near_in_sketch(group: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:

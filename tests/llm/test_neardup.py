@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from clausewright.llm.components import components
-from clausewright.llm.neardup import near_duplicates, remaining_links
+from clausewright.llm.neardup import BLOCK, in_blocks, near_duplicates, remaining_links
 from clausewright.llm.shingles import Shingler
 
 
@@ -81,6 +81,15 @@ def test_links_where_low_bytes_agree_in_an_earlier_band(spark):
     assert [(r.a, r.b) for r in remaining_links(active, sketches, whole, 80).collect()] == [(1, 2)]
 
 
+def test_blocks_of_one_component_meet_the_others_only(spark):
+    m = 8 * BLOCK
+    active = spark.range(m + 2).selectExpr("7L bucket", "id", "5L n", "0 band", f"IF(id < {m}, 0L, id) component")
+    rows = in_blocks(active, active.select("id")).select("id", "block", "i", "j").toPandas()
+    assert len(rows) == m + 2 * 9
+    place = rows.groupby(["i", "j"]).id.agg(set)
+    assert set().union(*(s for s in place if m in s)) == set(range(m + 2))
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 99), (99, 100), (7, 7)]
     found = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
