@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import chat, decontaminate, fingerprints, html_crf, langid, mixing, neardup, secret_scan, toxicity, urlrules
+from clausewright.llm import (
+    chat,
+    decontaminate,
+    fingerprints,
+    html_crf,
+    infill,
+    langid,
+    mixing,
+    neardup,
+    prefix_trie,
+    repeats,
+    secret_scan,
+    toxicity,
+    urlrules,
+)
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -78,6 +92,25 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
     return judged.select("doc_id", "contaminated", "n_items", "item_id", "coverage")
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    conv = F.col("conv_id").cast("long")
+    head, base = F.crc32(conv.cast("string")) % 4, conv - conv % 20
+    turns, members = prefix_trie.with_shared_heads(table(spark, folder, "conversations"), head, base)
+    return prefix_trie.prefix_trie(turns, members)
+
+
+def op12_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = repeats.repeated_spans(table(spark, folder, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed")
+    return out.select("doc_id", "n_bytes", gone, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    out = infill.fill_in_middle(table(spark, folder, "documents"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -91,6 +124,9 @@ QUERIES = {
         op8_toxicity,
         op9_secret_scans,
         op10_benchmark_decontamination,
+        op11_conversation_prefix_trie,
+        op12_suffix_array_dedup,
+        op13_fill_in_middle,
     )
 }
 
@@ -156,4 +192,50 @@ m AS (
   SELECT h.*, r.host || r.path AS rule, r.verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(r.host || r.path) DESC NULLS LAST) AS k
   FROM h LEFT JOIN r ON (h.host = r.host OR ends_with(h.host, '.' || r.host)) AND starts_with(h.path, r.path))
 SELECT page_id, host, path, rule, coalesce(verdict, '{urlrules.DEFAULT}') AS verdict FROM m WHERE k = 1""",
+    "op11_conversation_prefix_trie": rf"""
+WITH ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+h AS (
+  SELECT c, c - c % 20 AS base, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+      lambda v, i: xor(v >> 1, (v & 1) * 3988292384))) AS crc FROM ids),
+t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+g AS (SELECT c, base, xor(crc, 4294967295) % 4 AS h FROM h),
+p AS (
+  SELECT g.c, 0 AS part, t.k, role, text FROM g JOIN t ON t.c = g.base AND t.k <= g.h
+  UNION ALL SELECT g.c, 1, t.k, role, text FROM g JOIN t ON t.c = g.c AND t.k > g.h),
+r AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, k) AS d, role, text FROM p),
+q AS (
+  SELECT c, d, text, sha256(string_agg(sha256(role) || sha256(text), '' ORDER BY d) OVER (PARTITION BY c ORDER BY d)) AS node FROM r
+  UNION ALL SELECT c, 0, '', '' FROM ids),
+e AS (SELECT *, lag(node) OVER (PARTITION BY c ORDER BY d) AS parent, d = max(d) OVER (PARTITION BY c) AS last FROM q),
+n AS (
+  SELECT node, any_value(d) AS depth, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n_convs,
+    len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')) AS words,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '')) AS ends_sha256 FROM e GROUP BY node),
+k AS (SELECT parent, count(*) AS n FROM n WHERE parent IS NOT NULL GROUP BY parent),
+m AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM n LEFT JOIN k ON k.parent = n.node),
+s AS (
+  SELECT e.node, count(*) FILTER (m.n_children = 0) AS n_leaves, sum((m.n_convs - 1) * m.words)::BIGINT AS saved_tokens
+  FROM m JOIN e ON e.c = m.conv_id AND e.d <= m.depth GROUP BY e.node)
+SELECT m.conv_id, m.depth::BIGINT AS depth, o.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens, m.ends_sha256
+FROM m JOIN s ON s.node = m.node LEFT JOIN n o ON o.node = m.parent""",
+    "op13_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+u AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS u, ('0x' || x[1:8])::BIGINT AS h1,
+    ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM d),
+c AS (
+  SELECT *, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+    CASE WHEN text = '' OR text LIKE '%<P>%' OR text LIKE '%<S>%' OR text LIKE '%<M>%' OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, len(u)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p""",
 }
