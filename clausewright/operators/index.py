@@ -26,12 +26,14 @@ BROADCAST_IDS = 100_000
 @dataclass(frozen=True)
 class SparseIndex:
     """``documents(chunk_id, dl, terms)``, the same as ``postings(term, chunk_id, tf, dl)``, ``term_stats(term, df, idf)``,
-    one-row ``corpus(n_docs, avgdl)``. Searches read the documents, lookups of a term the postings."""
+    one-row ``corpus(n_docs, avgdl)``. Searches read the documents, or, if there, ``groups`` of them (see ``impacts``);
+    lookups of a term the postings."""
 
     documents: DataFrame
     postings: DataFrame
     term_stats: DataFrame
     corpus: DataFrame
+    groups: DataFrame | None = None
 
 
 def term_lists(df: DataFrame, tokens: Column, *keep: str, rows: bool = False) -> DataFrame:

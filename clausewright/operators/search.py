@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from clausewright.functions.arrays import let
 from clausewright.functions.text import contains_any, tokenise
+from clausewright.operators.impacts import group_documents, grouped_hits
 from clausewright.operators.index import B, K1, SparseIndex
 from clausewright.operators.sizing import at_most, broadcast_when, few_values, materialise, restrict
+from clausewright.operators.vectors import NEVER, VectorGroups, search_groups, stored_groups
 from clausewright.schema import NATIONAL
 
 # How many hits each search fetches.
@@ -149,7 +151,8 @@ def sparse_hits(index: SparseIndex, queries: DataFrame, limit: int) -> DataFrame
 
     The weighted terms of the queries travel to the term lists of the chunks. A chunk's score is added up inside its
     row and each task returns only its own best rows, so what is shuffled afterwards does not grow with the number of
-    chunks. More than ``BROADCAST_QUERY_TERMS`` terms are taken in blocks of queries, one pass over the lists for each.
+    chunks. More than ``BROADCAST_QUERY_TERMS`` terms are taken in blocks of queries, for which the lists are put into
+    groups first. An index with groups is searched through these: see ``impacts``.
     """
     terms = query_terms(queries)
     few = at_most(queries.select(F.explode(tokenise(F.col("query")))), BROADCAST_QUERY_TERMS)
@@ -157,13 +160,10 @@ def sparse_hits(index: SparseIndex, queries: DataFrame, limit: int) -> DataFrame
         F.col("query_id").cast("string"), "term", (F.col("qtf").cast("double") * F.col("idf")).alias("weight")
     )
     avgdl = index.corpus.first().avgdl
-    if few:
+    if few and index.groups is None:
         return _scan_terms(index.documents, weights.collect(), limit, avgdl)
-    weights = materialise(weights)
-    blocks = weights.count() // max(BROADCAST_QUERY_TERMS, 1) + 1
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    scans = [_scan_terms(index.documents, weights.where(block == k).collect(), limit, avgdl) for k in range(blocks)]
-    return reduce(DataFrame.unionByName, scans)
+    groups = materialise(group_documents(index.documents)) if index.groups is None else index.groups
+    return grouped_hits(groups, weights, limit, avgdl)
 
 
 def _scan_terms(documents: DataFrame, rows: list, limit: int, avgdl: float | None) -> DataFrame:
@@ -264,7 +264,7 @@ def _offer_arrow(block: _Block, batch: pa.RecordBatch) -> None:
     )
 
 
-def _query_frame(queries: DataFrame, n: int) -> DataFrame:
+def query_frame(queries: DataFrame, n: int) -> DataFrame:
     limit = F.col("fetch") if "fetch" in queries.columns else F.lit(n)
     return queries.where(F.size("embedding") > 0).select(
         F.col("query_id").cast("string").alias("query_id"),
@@ -275,6 +275,13 @@ def _query_frame(queries: DataFrame, n: int) -> DataFrame:
     )
 
 
+def grouped_search(index: VectorGroups, queries: DataFrame, n: int = DENSE_FETCH, day: int = -NEVER) -> DataFrame:
+    """``dense_search`` over grouped vectors: the same hits, from the groups that may hold them only."""
+    prepared = materialise(query_frame(queries, n))
+    found = search_groups(index, prepared, day, SCORE_DIGITS).join(prepared.select("query_id", "fetch"), "query_id")
+    return ranked(found, F.col("fetch"), F.desc("score"), F.asc("chunk_id")).drop("fetch")
+
+
 def dense_search(vectors: DataFrame, queries: DataFrame, n: int = DENSE_FETCH, block: int = QUERY_BLOCK) -> DataFrame:
     """Exact cosine top ``n`` per query: ``query_id, chunk_id, score, rank``.
 
@@ -282,25 +289,19 @@ def dense_search(vectors: DataFrame, queries: DataFrame, n: int = DENSE_FETCH, b
     document_type, is_stale``. ``queries`` holds ``query_id, embedding,
     jurisdiction, doc_type`` and optionally ``fetch``. Up to one block of queries
     travels to the vectors, which then are scanned once without a shuffle; each
-    task returns only its own best rows. More queries travel block after block:
-    the vectors stay where they are and are scanned once for each. A query without
-    a vector finds nothing; a NULL vector, or one of another width than the
-    query's, is not compared with it.
+    task returns only its own best rows. For more queries the vectors are put into
+    groups first, and each query meets only those groups that may hold one of its
+    hits. A query without a vector finds nothing; a NULL vector, or one of another
+    width than the query's, is not compared with it.
     """
+    prepared = query_frame(queries, n)
+    if not at_most(prepared.select("query_id"), block):
+        return grouped_search(stored_groups(vectors), queries, n)
     pool = vectors.where(~F.col("is_stale")).select("chunk_id", "embedding", "jurisdiction", "document_type")
-    prepared = _query_frame(queries, n)
-    rows = prepared.limit(block + 1).collect()
-    if len(rows) <= block:
-        partial = _scan_widths(pool, rows)
-    else:
-        prepared = materialise(prepared)
-        blocks = prepared.count() // block + 1
-        turn = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-        partial = reduce(DataFrame.unionByName, [_scan_widths(pool, prepared.where(turn == k).collect()) for k in range(blocks)])
-    limits = prepared.select("query_id", "fetch")
-    most = max((r.fetch for r in rows), default=n) if len(rows) <= block else prepared.agg(F.max("fetch")).first()[0]
-    best = ranked(partial, most or 0, F.desc("score"), F.asc("chunk_id"))
-    return best.join(broadcast_when(len(rows) <= block, limits), "query_id").where("rank <= fetch").drop("fetch")
+    rows = prepared.collect()
+    best = ranked(_scan_widths(pool, rows), max((r.fetch for r in rows), default=n) or 0, F.desc("score"), F.asc("chunk_id"))
+    limits = F.broadcast(prepared.select("query_id", "fetch"))
+    return best.join(limits, "query_id").where("rank <= fetch").drop("fetch")
 
 
 def _needed(pool: DataFrame, rows: list) -> DataFrame:

@@ -54,15 +54,16 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes an intermediate that is read more than once to the shared folder and reads it back.
+def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Writes an intermediate that is read more than once to the shared folder, in folders by a column if named, and
+    reads it back.
 
     The table outlives lost executors, and its size is known to whatever joins
     it. ``release`` removes what a session has written.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/clausewright-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

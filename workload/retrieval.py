@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from clausewright.operators import fusion, search
+from clausewright.operators.impacts import group_documents
+from clausewright.operators.sizing import materialise
+from clausewright.operators.vectors import stored_groups
 from clausewright.plans import retrieval as plan
 from workload import data as d
 from workload.records import INDEX_CTES, TOKENS_SQL, sparse_index
@@ -39,6 +44,24 @@ def dense_tiled(spark, sf):
     return hits(search.dense_search(d.vectors(spark, sf), d.asks(spark, sf), block=16))
 
 
+def dense_pruned(spark, sf):
+    """The same search over grouped vectors."""
+    return hits(search.grouped_search(stored_groups(d.vectors(spark, sf)), d.asks(spark, sf)))
+
+
+def dense_fetch(spark, sf):
+    """The same search with a limit of its own for each query."""
+    asks = d.asks(spark, sf).withColumn("fetch", F.col("top_k") * 7 - 6)
+    return hits(search.grouped_search(stored_groups(d.vectors(spark, sf)), asks))
+
+
+def sparse_pruned(spark, sf):
+    """``sparse_filtered`` over groups of term lists."""
+    built = sparse_index(spark, sf)
+    index = replace(built, groups=materialise(group_documents(built.documents)))
+    return hits(search.sparse_search(index, d.fresh_corpus(spark, sf), d.asks(spark, sf)))
+
+
 def _lists(spark, sf):
     asks = plan.normalise_queries(d.asks(spark, sf))
     return asks, plan.hit_lists(
@@ -127,6 +150,9 @@ QUERIES = {
         dense_knn,
         dense_filtered,
         dense_tiled,
+        dense_pruned,
+        dense_fetch,
+        sparse_pruned,
         boost_append,
         rrf_fusion,
         hybrid_topk,
@@ -170,7 +196,7 @@ sparse AS (
 )"""
 
 
-def dense_cte(filtered: bool = True) -> str:
+def dense_cte(filtered: bool = True, most: int = 30) -> str:
     keep = (
         "(a.jurisdiction IS NULL OR v.jurisdiction IN (a.jurisdiction, 'national'))"
         " AND (a.doc_type IS NULL OR v.document_type = a.doc_type)"
@@ -184,7 +210,7 @@ dense AS (
   FROM (
     SELECT a.query_id, v.chunk_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), v.embedding), 6) AS score
     FROM asks a, vectors v WHERE {keep}
-  ) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 30
+  ) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= {most}
 )"""
 
 
@@ -276,6 +302,9 @@ SQL = {
     "dense_knn": f"WITH {_ASKS}, {dense_cte(False)} {_HITS} dense",
     "dense_filtered": f"WITH {_ASKS}, {dense_cte()} {_HITS} dense",
     "dense_tiled": f"WITH {_ASKS}, {dense_cte()} {_HITS} dense",
+    "dense_pruned": f"WITH {_ASKS}, {dense_cte()} {_HITS} dense",
+    "dense_fetch": f"WITH {_ASKS}, {dense_cte(most=64)} SELECT query_id, chunk_id, score, rank FROM dense JOIN asks USING (query_id) WHERE rank <= top_k * 7 - 6",
+    "sparse_pruned": f"WITH {sparse_ctes()} {_HITS} sparse",
     "boost_append": f"WITH {_ASKS}, {dense_cte()}, {BOOST_CTES} SELECT query_id, chunk_id, score, rank, boosted FROM boosted",
     "rrf_fusion": f"""
 WITH {HYBRID_CTES} SELECT query_id, chunk_id, round(rrf_score, 9) AS rrf_score, dense_rank, sparse_rank, source, fused_rank FROM fused""",
