@@ -63,3 +63,14 @@ def fold_pack(items: Column, joins: Callable[[Column, Column], Column], glue: Ca
 def present(*candidates: Column) -> Column:
     """Array of the candidates that are not NULL, in the given order."""
     return F.filter(F.array(*candidates), lambda c: c.isNotNull())
+
+
+def l2_normalise(vector: Column) -> Column:
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+
+    def scale(length: Column) -> Column:
+        return F.transform(
+            vector, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0))
+        )
+
+    return let(norm, scale)

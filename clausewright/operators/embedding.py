@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,27 +9,42 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from clausewright.functions.text import TOKEN_PATTERN
+from clausewright.functions.arrays import l2_normalise, let
+from clausewright.functions.text import tokenise
 
 BATCH = 32
 MODEL_NAME = "all-MiniLM-L6-v2"
 
 
+def hashed_counts(text: Column, dimensions: int) -> Column:
+    """Signed counts of a text's tokens, each in the dimension that its checksum names."""
+
+    def code(token: Column) -> Column:
+        signed = lambda c: (c % dimensions) * 2 + F.when(c.bitwiseAND(0x8000) != 0, 1).otherwise(0)
+        return let(F.crc32(token), signed)
+
+    def runs(codes: Column) -> Column:
+        first = F.filter(F.transform(codes, lambda c, i: F.when((i == 0) | (c != F.get(codes, i - 1)), i)), lambda i: i.isNotNull())
+        end = lambda starts, j: F.coalesce(F.get(starts, j + 1), F.size(codes))
+        entries = lambda starts: F.transform(starts, lambda s, j: F.struct(F.get(codes, s), end(starts, j) - s))
+        return F.map_from_entries(let(first, entries))
+
+    def count(of: Column, k: Column) -> Column:
+        return F.coalesce(F.try_element_at(of, k), F.lit(0))
+
+    def counts(of: Column) -> Column:
+        places = F.sequence(F.lit(0).cast("long"), F.lit(dimensions - 1).cast("long"))
+        return F.transform(places, lambda k: count(of, k * 2 + 1) - count(of, k * 2))
+
+    codes = F.array_sort(F.transform(tokenise(F.coalesce(text, F.lit(""))), code))
+    return let(let(codes, runs), counts)
+
+
 def hashing_embedder(dimensions: int = 64) -> Callable[[Column], Column]:
-    """Unit vectors of hashed token counts. Needs no model; meant for tests and trials."""
-    token = re.compile(TOKEN_PATTERN)
+    """Unit vectors of hashed token counts, as an expression. Needs no model; meant for tests and trials."""
 
-    @F.pandas_udf("array<float>")
-    def embed(texts: pd.Series) -> pd.Series:
-        rows = []
-        for text in texts:
-            vector = np.zeros(dimensions, dtype=np.float32)
-            for word in token.findall((text or "").lower()):
-                code = zlib.crc32(word.encode())
-                vector[code % dimensions] += 1.0 if code & 0x8000 else -1.0
-            norm = float(np.linalg.norm(vector))
-            rows.append((vector / norm if norm else vector).tolist())
-        return pd.Series(rows)
+    def embed(text: Column) -> Column:
+        return l2_normalise(hashed_counts(text, dimensions)).cast("array<float>")
 
     return embed
 

@@ -14,12 +14,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausewright.functions.arrays import let
+from clausewright.functions.arrays import l2_normalise
 from clausewright.functions.text import contains_any, tokenise
 from clausewright.operators.impacts import group_documents, grouped_hits
 from clausewright.operators.index import B, K1, SparseIndex
 from clausewright.operators.sizing import at_most, broadcast_when, few_values, materialise, restrict
-from clausewright.operators.vectors import NEVER, VectorGroups, search_groups, stored_groups
+from clausewright.operators.vectors import VectorGroups, search_groups, stored_groups
 from clausewright.schema import NATIONAL
 
 # How many hits each search fetches.
@@ -215,17 +215,6 @@ def sparse_search(index: SparseIndex, chunks: DataFrame, queries: DataFrame, n:
 # -- vector search ---------------------------------------------------------------------
 
 
-def l2_normalise(vector: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-
-    def scale(length: Column) -> Column:
-        return F.transform(
-            vector, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0))
-        )
-
-    return let(norm, scale)
-
-
 class _Block(_Best):
     """A block of query vectors with their filters, small enough for one task."""
 
@@ -275,13 +264,18 @@ def query_frame(queries: DataFrame, n: int) -> DataFrame:
     )
 
 
-def grouped_search(index: VectorGroups, queries: DataFrame, n: int = DENSE_FETCH, day: int = -NEVER) -> DataFrame:
+def grouped_search(index: VectorGroups, queries: DataFrame, n: int = DENSE_FETCH) -> DataFrame:
     """``dense_search`` over grouped vectors: the same hits, from the groups that may hold them only."""
     prepared = materialise(query_frame(queries, n))
-    found = search_groups(index, prepared, day, SCORE_DIGITS).join(prepared.select("query_id", "fetch"), "query_id")
+    found = search_groups(index, prepared, SCORE_DIGITS).join(prepared.select("query_id", "fetch"), "query_id")
     return ranked(found, F.col("fetch"), F.desc("score"), F.asc("chunk_id")).drop("fetch")
 
 
+def vector_search(vectors: DataFrame | VectorGroups, queries: DataFrame, n: int = DENSE_FETCH) -> DataFrame:
+    """Exact cosine top ``n`` per query, over plain or grouped vectors."""
+    return grouped_search(vectors, queries, n) if isinstance(vectors, VectorGroups) else dense_search(vectors, queries, n)
+
+
 def dense_search(vectors: DataFrame, queries: DataFrame, n: int = DENSE_FETCH, block: int = QUERY_BLOCK) -> DataFrame:
     """Exact cosine top ``n`` per query: ``query_id, chunk_id, score, rank``.
 

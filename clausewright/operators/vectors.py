@@ -47,6 +47,7 @@ SLACK = 2e-6  # more than rounding can move a score or a bound
 NEVER = 2**31 - 1  # expiry day of vectors that do not expire
 
 ASSIGNED = "chunk_id string, embedding array<double>, jurisdiction string, document_type string, expiry int, width int, centre int, distance double"
+PLACES = "width int, centre int, place array<double>"
 KINDS = "array<struct<place:string,type:string,n:int>>"
 DESCRIBED = f"width int, centre int, lo double, hi double, norm double, kinds {KINDS}"
 GROUPS = f"{DESCRIBED}, ids array<string>, places array<string>, types array<string>, expiries array<int>, matrix binary"
@@ -57,10 +58,11 @@ HITS = "query_id string, chunk_id string, score double"
 
 @dataclass
 class VectorGroups:
-    """Grouped vectors: ``groups`` as ``GROUPS`` says and ``group_id``; ``centres``: ``width, centre, place``."""
+    """Grouped vectors: ``groups`` as ``GROUPS`` says and ``group_id``; ``centres`` as ``PLACES`` says."""
 
     groups: DataFrame
     centres: DataFrame
+    day: int = -(2**31)  # vectors that expire before this day (since 1970) are not found
 
 
 def matrix_of(column: pa.Array, width: int) -> np.ndarray:
@@ -93,7 +95,7 @@ def choose_centres(vectors: DataFrame) -> DataFrame:
             for k in np.unique(nearest):
                 places[k] = own[nearest == k].mean(0)
         rows += [(w, k, p.tolist()) for k, p in enumerate(places)]
-    return vectors.sparkSession.createDataFrame(rows, "width int, centre int, place array<double>")
+    return vectors.sparkSession.createDataFrame(rows, PLACES)
 
 
 def group_vectors(vectors: DataFrame, centres: DataFrame | None = None, prefix: str = "") -> VectorGroups:
@@ -343,12 +345,11 @@ def score_pairs(groups: DataFrame, wanted: DataFrame, blocks: DataFrame, day: in
     return met.drop("group_id").mapInArrow(run, f"block long, row int, {HITS}")
 
 
-def search_groups(index: VectorGroups, prepared: DataFrame, day: int = -NEVER, digits: int = 6) -> DataFrame:
+def search_groups(index: VectorGroups, prepared: DataFrame, digits: int = 6) -> DataFrame:
     """Hits ``query_id, chunk_id, score`` among which are the exact best of each query, as many as its ``fetch``.
 
     ``prepared``: ``query_id`` (distinct), ``embedding`` (array of double), ``wanted`` (a jurisdiction, which finds
-    national vectors too, or NULL for all), ``wanted_type`` (or NULL), ``fetch``. Vectors that expire before ``day`` are
-    not found. Queries are taken in parts of ``QUERY_BYTES`` at most, descriptions in parts of ``META_ROWS`` groups.
+    national vectors too, or NULL for all), ``wanted_type`` (or NULL), ``fetch``. Queries are taken in parts of ``QUERY_BYTES`` at most, descriptions in parts of ``META_ROWS`` groups.
     """
     spark: SparkSession = prepared.sparkSession
     centres = centre_arrays(index.centres)
@@ -364,12 +365,12 @@ def search_groups(index: VectorGroups, prepared: DataFrame, day: int = -NEVER, d
         described = spark.sparkContext.broadcast(Descriptions(known, centres))
         for k in range(passes):
             own = blocks.where(F.pmod(F.xxhash64("block"), F.lit(passes)) == k) if passes > 1 else blocks
-            first = materialise(score_pairs(groups, materialise(pairs(own, described, False)), own, day, digits))
+            first = materialise(score_pairs(groups, materialise(pairs(own, described, False)), own, index.day, digits))
             ranks = F.array_sort(F.collect_list("score"), lambda a, b: F.signum(b - a).cast("int"))
             held = first.groupBy("block", "row").agg(ranks.alias("scores"))
             held = held.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("row", "scores"))).alias("held"))
             floor = F.transform("fetch", lambda n, i: F.get(F.try_element_at("held", i), n - 1))
             floored = own.join(held, "block", "left").withColumn("floor", floor).drop("held")
             rest = materialise(pairs(floored, described, True))
-            hits += [first, materialise(score_pairs(groups, rest, own, day, digits))]
+            hits += [first, materialise(score_pairs(groups, rest, own, index.day, digits))]
     return reduce(DataFrame.unionByName, hits).select("query_id", "chunk_id", "score")

@@ -8,6 +8,7 @@ batches before it: that is how a rebuild and an overwrite work.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -17,13 +18,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clausewright.functions.freshness import clean_superseded, is_stale
 from clausewright.functions.text import tokenise
-from clausewright.operators import index, validation
+from clausewright.operators import impacts, index, validation, vectors
 from clausewright.operators.sizing import at_most, few_values, materialise, restrict
 from clausewright.schema import CHUNK_SCHEMA, FEEDBACK_SCHEMA
 
 TERM_BUCKETS = 64
 PRUNE_QUERIES = 10_000
+GROUPED_FROM = 100_000  # chunks from which searches go through groups; fewer are scanned in less time
 
 _COMMIT = "batch_id string, seq long, kind string"
 _VECTOR = (
@@ -38,6 +41,9 @@ _TABLES = {
     "frequencies": "term string, df long, cf long",
     "totals": "n_docs long, sum_dl long",
     "term_stats": "term string, df long, idf double",
+    "vector_centres": vectors.PLACES,
+    "vector_groups": f"{vectors.GROUPS}, group_id string",
+    "term_groups": f"{impacts.GROUPS}, group_id string",
 }
 
 
@@ -84,14 +90,30 @@ class KnowledgeBase:
         return validation.with_freshness(self.chunks(), as_of)
 
     def vectors(self, as_of=None) -> DataFrame:
-        from clausewright.functions.freshness import is_stale
-
         rows = self._table("vectors", self.batches())
         return rows.withColumn("is_stale", is_stale(F.col("superseded_by"), F.col("expiry_date"), as_of))
 
-    def sparse_index(self, queries: DataFrame | None = None) -> index.SparseIndex:
-        """The keyword index. With a small batch of queries, only the terms they need are read."""
+    def vector_groups(self, as_of: str | dt.date | None = None) -> vectors.VectorGroups:
+        """The vectors in groups, for searches that skip groups."""
+        live = self.batches()
+        date = dt.date.fromisoformat(as_of) if isinstance(as_of, str) else as_of or dt.date.today()
+        return vectors.VectorGroups(self._table("vector_groups", live), self._table("vector_centres", live), (date - dt.date(1970, 1, 1)).days)
+
+    def searchable(self, as_of=None) -> DataFrame | vectors.VectorGroups:
+        """What a vector search should read: groups, unless the store is small. The hits are the same."""
+        named = as_of is None or isinstance(as_of, (str, dt.date))
+        return self.vector_groups(as_of) if named and self._is_large() else self.vectors(as_of)
+
+    def _is_large(self) -> bool:
+        return self.chunk_total().first().total_chunks >= GROUPED_FROM
+
+    def sparse_index(self, queries: DataFrame | None = None, grouped: bool | None = None) -> index.SparseIndex:
+        """The keyword index. With a small batch of queries, only the terms they need are read.
+
+        ``grouped`` says whether searches go through groups of term lists; left out, they do unless the store is small.
+        """
         live = self.batches()
+        grouped = self._is_large() if grouped is None else grouped
         postings, stats = self._table("postings", live), self._table("term_stats", live[-1:])
         if queries is not None and live and at_most(queries, PRUNE_QUERIES):
             terms = queries.select(F.explode(tokenise(F.col("query"))).alias("term"))
@@ -100,7 +122,8 @@ class KnowledgeBase:
             postings = restrict(restrict(postings, "term_bucket", buckets), "term", words)
             stats = restrict(stats, "term", words)
         corpus = index.summarise_corpus(self._table("totals", live))
-        return index.SparseIndex(self._table("documents", live), postings.drop("term_bucket"), stats, corpus)
+        groups = self._table("term_groups", live) if grouped else None
+        return index.SparseIndex(self._table("documents", live), postings.drop("term_bucket"), stats, corpus, groups)
 
     # -- writing -----------------------------------------------------------------------
 
@@ -159,7 +182,7 @@ class KnowledgeBase:
             kept = self._table(name, before).join(fresh.select("chunk_id"), "chunk_id", "left_anti")
             return df.unionByName(kept) if before else df
 
-        vectors = fresh.select(
+        embedded = fresh.select(
             "chunk_id",
             self.embed(F.col("text")).alias("embedding"),
             "document_type",
@@ -167,8 +190,10 @@ class KnowledgeBase:
             "expiry_date",
             "jurisdiction",
         )
-        self._write(with_kept(vectors, "vectors"), "vectors", batch, "jurisdiction")
+        self._write(with_kept(embedded, "vectors"), "vectors", batch, "jurisdiction")
+        self._write_vector_groups(batch, live)
         self._write(with_kept(index.build_documents(fresh), "documents"), "documents", batch)
+        self._write(impacts.group_documents(self._table("documents", [batch]), f"{batch}:"), "term_groups", batch)
         postings = index.as_postings(self._table("documents", [batch])).withColumn("term_bucket", term_bucket(F.col("term")))
         self._write(postings, "postings", batch, "term_bucket", "term")
         self._write(index.document_frequencies(self._table("postings", [batch])), "frequencies", batch)
@@ -177,6 +202,18 @@ class KnowledgeBase:
         corpus = index.summarise_corpus(self._table("totals", live))
         self._write(index.weigh_terms(summed, corpus), "term_stats", batch, key="term")
 
+    def _write_vector_groups(self, batch: str, live: list[str]) -> None:
+        """Groups a batch of vectors around the centres of the batches before it, or around new ones.
+
+        Superseded vectors are stale at any date and are left out; expiring ones carry their day.
+        """
+        rows = self._table("vectors", [batch]).where(clean_superseded(F.col("superseded_by")).isNull())
+        centres = materialise(self._table("vector_centres", [b for b in live if b != batch]))
+        known = not centres.isEmpty()
+        made = vectors.group_vectors(rows, centres if known else None, f"{batch}:")
+        self._write(made.centres.limit(0) if known else made.centres, "vector_centres", batch)
+        self._write(made.groups, "vector_groups", batch, "centre")
+
     # -- reports -----------------------------------------------------------------------
 
     def stats(self, as_of=None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clausewright.operators import fusion, search
 from clausewright.operators.index import SparseIndex
 from clausewright.operators.sizing import at_most, broadcast_when, materialise
+from clausewright.operators.vectors import VectorGroups
 
 BOOST_QUERY = "__boost__"
 SMALL_BATCH = 1_000
@@ -31,7 +32,7 @@ def normalise_queries(queries: DataFrame, top_k: int = fusion.FINAL_TOP_K) -> Da
 
 
 def dense_lists(
-    vectors: DataFrame, queries: DataFrame, boost_vector: list[float] | None
+    vectors: DataFrame | VectorGroups, queries: DataFrame, boost_vector: list[float] | None
 ) -> tuple[DataFrame, DataFrame]:
     """Dense hits, and the same lists with the boost appended.
 
@@ -42,21 +43,21 @@ def dense_lists(
         "query_id", "embedding", "jurisdiction", "doc_type", F.lit(search.DENSE_FETCH).alias("fetch")
     )
     if boost_vector is None:
-        dense = materialise(search.dense_search(vectors, batch))
+        dense = materialise(search.vector_search(vectors, batch))
         return dense, dense.withColumn("boosted", F.lit(False))
     extra = queries.sparkSession.createDataFrame(
         [(BOOST_QUERY, [float(x) for x in boost_vector], None, search.BOOST_TYPE, search.BOOST_FETCH)],
         "query_id string, embedding array<double>, jurisdiction string, doc_type string, fetch int",
     )
     batch = batch.withColumn("embedding", F.col("embedding").cast("array<double>")).unionByName(extra)
-    found = materialise(search.dense_search(vectors, batch))
+    found = materialise(search.vector_search(vectors, batch))
     dense = found.where(F.col("query_id") != BOOST_QUERY)
     boost = found.where(F.col("query_id") == BOOST_QUERY).drop("query_id")
     return dense, search.append_boost(dense, queries, boost)
 
 
 def hit_lists(
-    index: SparseIndex, chunks: DataFrame, vectors: DataFrame, queries: DataFrame, boost_vector: list[float] | None
+    index: SparseIndex, chunks: DataFrame, vectors: DataFrame | VectorGroups, queries: DataFrame, boost_vector: list[float] | None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Dense hits, dense hits with the boost appended, and keyword hits.
 
@@ -70,7 +71,7 @@ def hit_lists(
 def retrieve(
     index: SparseIndex,
     chunks: DataFrame,
-    vectors: DataFrame,
+    vectors: DataFrame | VectorGroups,
     queries: DataFrame,
     boost_vector: list[float] | None = None,
     scorer=fusion.lexical_score,
@@ -80,7 +81,7 @@ def retrieve(
 
     ``queries(query_id, query, embedding, [jurisdiction], [doc_type], [top_k])``;
     ``chunks`` is the chunk table with its freshness columns; ``vectors`` the unit
-    vectors with ``jurisdiction``, ``document_type`` and ``is_stale``. Hit counts
+    vectors with ``jurisdiction``, ``document_type`` and ``is_stale``, or groups of them. Hit counts
     are taken before the boost is appended.
     """
     asked = normalise_queries(queries)

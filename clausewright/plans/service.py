@@ -109,7 +109,7 @@ class Service:
         return answer_requests(
             self.kb.sparse_index(requests),
             self.kb.fresh_chunks(self.as_of),
-            self.kb.vectors(self.as_of),
+            self.kb.searchable(self.as_of),
             asked,
             self.boost_vector,
             self.provider,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("records", "splitting", "retrieval", "answers", "serving")
+MODULES = ("records", "splitting", "retrieval", "stored", "answers", "serving")
 
 
 def _collect(name: str) -> dict:

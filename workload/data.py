@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.operators.search import l2_normalise
+from clausewright.functions.arrays import l2_normalise
 from clausewright.operators.sizing import spread
 from clausewright.schema import CONFIDENCES, DOCUMENT_TYPES, JURISDICTIONS
 
@@ -207,3 +207,21 @@ BOOST_VECTOR_SQL = (
     "SELECT list(x ORDER BY pos) AS embedding FROM (SELECT pos, avg(CAST(x AS DOUBLE)) AS x FROM "
     "(SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY pos)"
 )
+
+
+def crc32_sql(text: str) -> str:
+    """The CRC-32 of an ASCII string, which DuckDB lacks."""
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    step = "lambda v, i: xor(v >> 1, (v & 1) * 3988292384)"
+    crc = f"list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), {step}))"
+    return f"xor({crc}, 4294967295)"
+
+
+def hashed_ctes(terms: str, dimensions: int) -> str:
+    """``hashed(id, k, x)``: signed token counts by dimension, of rows ``id, term, tf``."""
+    return f"""
+    codes AS (SELECT term, {crc32_sql("term")} AS crc FROM (SELECT DISTINCT term FROM {terms})),
+    hashed AS (
+      SELECT id, k, coalesce(x, 0)::BIGINT AS x FROM (SELECT DISTINCT id FROM {terms}) CROSS JOIN range({dimensions}) g(k) LEFT JOIN (
+        SELECT id, crc % {dimensions} AS k, sum(CASE WHEN crc & 32768 <> 0 THEN tf ELSE -tf END) AS x
+        FROM {terms} JOIN codes USING (term) GROUP BY ALL) USING (id, k))"""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from clausewright.functions.text import tokenise
 from clausewright.operators import index, validation
+from clausewright.operators.embedding import hashed_counts
 from workload import data as d
 
 
@@ -57,6 +58,14 @@ def tokenise_stats(spark, sf):
     )
 
 
+def embed_texts(spark, sf):
+    """Signed hashed counts of each text's tokens, and the length of that vector."""
+    counts = hashed_counts(F.col("text"), 64)
+    norm = F.sqrt(F.aggregate("counts", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    rows = d.corpus(spark, sf).select("chunk_id", counts.alias("counts"))
+    return rows.select("chunk_id", F.array_join(F.col("counts").cast("array<string>"), " ").alias("counts"), F.round(norm, 6).alias("norm"))
+
+
 def live_chunks(spark, sf):
     return validation.drop_stale(d.corpus(spark, sf), d.AS_OF).select("chunk_id", "text")
 
@@ -117,6 +126,7 @@ QUERIES = {
         validation_errors,
         document_errors,
         tokenise_stats,
+        embed_texts,
         bm25_postings,
         bm25_term_stats,
         dedupe_new_chunks,
@@ -187,6 +197,10 @@ WHERE error <> '' GROUP BY source_doc_id""",
     "tokenise_stats": f"""
 SELECT chunk_id, CAST(len(t) AS INTEGER) AS n_tokens, CAST(len(list_distinct(t)) AS INTEGER) AS n_distinct, t[1] AS first_token
 FROM (SELECT chunk_id, {TOKENS_SQL} AS t FROM ({d.CORPUS_SQL}))""",
+    "embed_texts": f"""
+WITH words AS (SELECT chunk_id AS id, unnest({TOKENS_SQL}) AS term FROM ({d.CORPUS_SQL})),
+terms AS (SELECT id, term, count(*) AS tf FROM words GROUP BY id, term), {d.hashed_ctes("terms", 64)}
+SELECT id AS chunk_id, string_agg(x::VARCHAR, ' ' ORDER BY k) AS counts, round(sqrt(sum(x * x)), 6)::DOUBLE AS norm FROM hashed GROUP BY id""",
     "bm25_postings": f"WITH {INDEX_CTES} SELECT term, chunk_id, tf, dl FROM postings",
     "bm25_term_stats": f"WITH {INDEX_CTES} SELECT term, df, round(idf, 6) AS idf FROM term_stats",
     "dedupe_new_chunks": f"""
