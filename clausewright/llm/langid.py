@@ -43,7 +43,11 @@ class WordForms:
         self.names = sorted({s for _, _, s in SCRIPTS})
 
     def words(self, text: str) -> list[str]:
-        return self.find(text.lower())
+        """Runs of letters; numbers such as fractions and circled digits are none."""
+        found = self.find(text.lower())
+        if not found or "".join(found).isalpha():
+            return found
+        return [w for word in found for w in "".join(c if c.isalpha() else " " for c in word).split()]
 
     def script(self, word: str) -> int:
         """Number of the script of the first letter, -1 if it has none of those listed."""
@@ -136,6 +140,7 @@ class WordScores:
         self.index: dict[str, int] = {}
         self.table = np.zeros((1024, len(model.langs)), np.float32)
         self.letters = np.zeros(1024, np.int32)
+        self.told = np.zeros(1024, np.int32)  # letters of words in a script that some language uses
 
     def rows(self, words: list[str]) -> np.ndarray:
         if len(self.index) > REMEMBERED:
@@ -151,6 +156,7 @@ class WordScores:
         while k + n > len(self.table):
             self.table = np.concatenate((self.table, np.zeros_like(self.table)))
             self.letters = np.concatenate((self.letters, np.zeros_like(self.letters)))
+            self.told = np.concatenate((self.told, np.zeros_like(self.told)))
         owner, grams = self.forms.grams(words)
         score = np.stack([np.bincount(owner, row[grams], n) for row in self.model.grams], 1) / len(ORDERS) ** 0.5
         script = self.forms.scripts(words)
@@ -160,6 +166,7 @@ class WordScores:
         score = np.where(able, np.maximum(score - np.where(some, top, 0), WORST), 3 * WORST)
         self.table[k : k + n] = np.where(some, score, 0)
         self.letters[k : k + n] = np.fromiter(map(len, words), np.int32, n)
+        self.told[k : k + n] = np.where(some[:, 0], self.letters[k : k + n], 0)
         self.index.update(zip(words, range(k, k + n)))
 
 
@@ -184,8 +191,8 @@ def viterbi(scores: np.ndarray, change: np.ndarray) -> np.ndarray:
     for b in range(1, blocks):
         enter[b] = (enter[b - 1][:, None] + ends[b - 1]).max(axis=0)
         enter[b] -= enter[b].max()
-    back = np.empty((length, blocks, k), np.int8)
-    v, own = enter, np.arange(k, dtype=np.int8)
+    back = np.empty((length, blocks, k), np.int32)
+    v, own = enter, np.arange(k, dtype=np.int32)
     for t in range(length):
         top = v.argmax(axis=1)
         most = np.take_along_axis(v, top[:, None], 1) - c[t][:, None]
@@ -209,13 +216,16 @@ def viterbi(scores: np.ndarray, change: np.ndarray) -> np.ndarray:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Language of each whole text and its spans.
 
-    ``docs`` needs ``text``. Returns its columns and ``lang_pred``, ``score`` (the language's share of all letters) and
-    ``spans`` (runs of words of one language: ``lang, first_word, n_words``, words being runs of letters); columns of
-    these names are replaced. The language with the most letters wins, of equal ones the first by name. NULL, texts
-    without a letter, and any text under a model without languages are ``und`` with score 0 and no spans.
+    ``docs`` needs ``text``. Returns its columns and ``lang_pred``, ``score`` (the language's share of all letters),
+    ``explained`` (the share of letters in words of a script that some learned language uses) and ``spans`` (runs of words
+    of one language: ``lang, first_word, n_words``, words being runs of letters); columns of these names are replaced. The
+    language with the most letters wins, of equal ones the first by name. Letters that are not explained tell nothing:
+    they do not add to ``score``, and a text of such letters alone has score 0. NULL, texts without a letter, and any text
+    under a model without languages are ``und`` with score 0 and no spans. Repeated rows come out alike; long texts are
+    worked through in blocks.
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.grams, model.scripts))
-    own = ("lang_pred", "score", "spans")
+    own = ("lang_pred", "score", "explained", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = WordScores(Model(*sent.value))
@@ -236,7 +246,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 letters = np.bincount(doc * k + labels, scorer.letters[rows], len(group) * k).reshape(-1, k)
                 total = letters.sum(axis=1)
                 best = np.where(total > 0, letters.argmax(axis=1), len(langs))
-                score = np.where(total > 0, letters.max(axis=1) / np.maximum(total, 1), 0.0)
+                told = np.bincount(doc * k + labels, scorer.told[rows], len(group) * k).reshape(-1, k)
+                score = told[np.arange(len(group)), letters.argmax(axis=1)] / np.maximum(total, 1)
+                explained = told.sum(axis=1) / np.maximum(total, 1)
                 opens = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (labels[1:] != labels[:-1])))) if len(rows) else np.empty(0, np.int64)
                 sizes = np.diff(np.concatenate((opens, [len(rows)])))
                 spans = pa.StructArray.from_arrays(
@@ -247,11 +259,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(at, len(group))
                 keep = [i for i, f in enumerate(batch.schema) if f.name not in own]
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(i) for i in keep], pa.array(names[best], pa.string()), pa.array(score), pa.ListArray.from_arrays(pa.array(begin), spans)],
+                    [*[part.column(i) for i in keep], pa.array(names[best], pa.string()), pa.array(score), pa.array(explained), pa.ListArray.from_arrays(pa.array(begin), spans)],
                     [*[batch.schema.names[i] for i in keep], *own],
                 )
                 at += len(group)
 
     kept = docs.drop(*own)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{schema}, lang_pred string, score double, spans array<struct<lang:string,first_word:long,n_words:long>>")
+    return kept.mapInArrow(run, f"{schema}, lang_pred string, score double, explained double, spans array<struct<lang:string,first_word:long,n_words:long>>")

@@ -21,9 +21,9 @@ SKETCH_LEAST = 0.68  # 4.8 standard deviations of a 256-bin estimate below 0.8
 BROADCAST_IDS = 500_000  # ids of 8 bytes; more are joined by shuffling
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """For each document: ``n_shingles``, ``key`` (digest of its shingle set), ``bands`` (a key for each band) and
-    ``sketch`` (the lowest byte of each bin)."""
+def signatures(docs: DataFrame, words: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """For each document: ``n_shingles``, ``key`` (digest of its shingle set), ``bands`` (a key for each band),
+    ``sketch`` (the lowest byte of each bin), and the columns ``keep``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -47,13 +47,14 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                     pa.array(np.concatenate(([0], np.cumsum(width))), pa.int32()), pa.array(bands[sizes > 0].ravel(), pa.int64())
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(group)), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists, pa.array([r.tobytes() for r in low], pa.binary())],
-                    ["doc_id", "n_shingles", "key", "bands", "sketch"],
+                    [ids.slice(at, len(group)), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists, pa.array([r.tobytes() for r in low], pa.binary()), *(batch.column(c).slice(at, len(group)) for c in keep)],
+                    ["doc_id", "n_shingles", "key", "bands", "sketch", *keep],
                 )
                 at += len(group)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, key binary, bands array<long>, sketch binary"
+    own = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    return docs.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(
+        run, f"doc_id long, n_shingles long, key binary, bands array<long>, sketch binary{own}"
     )
 
 
@@ -181,14 +182,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
     """Groups documents whose word-shingle sets have a Jaccard similarity of at least ``percent`` hundredths.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Returns one
-    row for each input row: ``doc_id, n_shingles, component_id, kept``.
+    row for each input row: ``doc_id, n_shingles, component_id, kept`` and the columns ``keep``.
 
-    * Documents with equal sets are one class; only its smallest ``doc_id`` takes part in the search, so a group of
-      copies costs one row in each bucket.
+    * Documents with equal sets are one class; only one row of it, with its smallest ``doc_id``, takes part in the
+      search, so a group of copies or of repeated rows costs one row in each bucket.
     * A bucket holds the classes that agree in one band. Its smallest member is linked with all others, a star of
       candidates that are confirmed on their full sets; this joins most groups. Buckets that still hold two components
       are then searched for links that the star lacks: their members are cut into blocks, and tasks compare two blocks
@@ -200,10 +201,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
       Repeated rows are copies with one id. Rows with one id and different texts are judged by their own texts. An empty
       table gives an empty result.
     """
-    signed = materialise(signatures(docs, words))
+    signed = materialise(signatures(docs, words, keep))
     sets = signed.where("doc_id IS NOT NULL AND key IS NOT NULL")
-    classes = materialise(sets.groupBy("key").agg(F.min("doc_id").alias("class"), F.first("n_shingles").alias("n")))
-    own = sets.select("key", F.col("doc_id").alias("class"), "bands", "sketch").join(classes, ["key", "class"])
+    first = [F.first(c).alias(n) for c, n in (("n_shingles", "n"), ("bands", "bands"), ("sketch", "sketch"))]
+    own = classes = materialise(sets.groupBy("key").agg(F.min("doc_id").alias("class"), *first))
     rows = own.select(F.col("class").alias("id"), "n", F.posexplode("bands").alias("band", "bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
     active = materialise(rows.join(shared, "bucket").withColumn("component", F.col("id")))
@@ -220,8 +221,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     more = materialise(remaining_links(rest, sketches, whole, percent))
     if not more.isEmpty():
         label = components(links.unionByName(more))
-    out = signed.select("doc_id", "n_shingles", "key").join(classes.select("key", "class"), "key", "left")
+    out = signed.select("doc_id", "n_shingles", "key", *keep).join(classes.select("key", "class"), "key", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")))
     out = move(out, "component_id", label)
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), *keep)
