@@ -12,26 +12,33 @@ from pyspark.sql import functions as F
 from clausewright.llm import decontaminate, langid, mixing, neardup, secret_scan
 from clausewright.operators.sizing import at_most, materialise
 
-LEAST_SCORE = 0.5  # share of a document's letters that its language must have
+EXPLAINED = 0.5  # share of a document's letters that must be in scripts of known languages
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a language that has at least half of their letters; texts without letters go."""
+    """Keeps documents in known languages, mixed ones too.
+
+    Texts without letters go, and texts with less than half of their letters in scripts that a known language uses.
+    """
     judged = langid.identify(docs, langid.fit(docs))
-    return judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    return judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("explained") >= EXPLAINED)).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies, and one of rows that are repeated.
+    """Keeps the document with the smallest id of each group of near copies.
 
-    Documents with a NULL id belong to no group and stay.
+    A row is known by its id and a digest of its text, so rows that share an id are judged by their own texts. Of rows
+    with one id and one text, one stays. Documents with a NULL id belong to no group and all stay.
     """
-    gone = neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    gone = materialise(gone)
-    gone = F.broadcast(gone) if at_most(gone, neardup.BROADCAST_IDS) else gone
-    left = docs.join(gone, "doc_id", "left_anti")
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "text"])
+    row = ["doc_id", "digest"]
+    named = docs.withColumn("digest", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)))
+    judged = materialise(neardup.near_duplicates(named.select("text", *row), keep=("digest",)).where("doc_id IS NOT NULL"))
+    gone = materialise(judged.where("NOT kept").select(row).distinct())
+    again = materialise(judged.where("kept").groupBy(row).count().where("count > 1").select(row))
+    gone, again = (F.broadcast(t) if at_most(t, neardup.BROADCAST_IDS) else t for t in (gone, again))
+    left = named.join(gone, row, "left_anti")
+    once = left.join(again, row, "left_semi").dropDuplicates(row)
+    return left.join(again, row, "left_anti").unionByName(once).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
