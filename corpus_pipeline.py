@@ -30,9 +30,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A row is known by its id and a digest of its text, so rows that share an id are judged by their own texts. Of rows
     with one id and one text, one stays. Documents with a NULL id belong to no group and all stay.
     """
-    row = ["doc_id", "digest"]
-    named = docs.withColumn("digest", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)))
-    judged = materialise(neardup.near_duplicates(named.select("text", *row), keep=("digest",)).where("doc_id IS NOT NULL"))
+    digest = "digest"
+    while digest in docs.columns:
+        digest = f"_{digest}"
+    row = ["doc_id", digest]
+    named = docs.withColumn(digest, F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)))
+    judged = materialise(neardup.near_duplicates(named.select("text", *row), keep=(digest,)).where("doc_id IS NOT NULL"))
     gone = materialise(judged.where("NOT kept").select(row).distinct())
     again = materialise(judged.where("kept").groupBy(row).count().where("count > 1").select(row))
     gone, again = (F.broadcast(t) if at_most(t, neardup.BROADCAST_IDS) else t for t in (gone, again))
