@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from clausewright.llm.components import components, move
 from clausewright.llm.shingles import OnePermutation, Shingler, band_keys, chunks
-from clausewright.operators.sizing import at_most, materialise
+from clausewright.operators.sizing import at_most, broadcast_when, materialise
 
 BITS = 8  # 256 bins
 ROWS = 6  # 42 bands of 6 bins: a pair at a similarity of 0.8 is missed with a chance below 3 in a million
@@ -21,13 +21,18 @@ SKETCH_LEAST = 0.68  # 4.8 standard deviations of a 256-bin estimate below 0.8
 BROADCAST_IDS = 500_000  # ids of 8 bytes; more are joined by shuffling
 
 
+def set_keys(hashes: np.ndarray, begins: np.ndarray) -> list[bytes | None]:
+    """Digests of shingle sets, None for those without elements."""
+    from hashlib import blake2b
+
+    return [blake2b(hashes[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(begins[:-1], begins[1:])]
+
+
 def signatures(docs: DataFrame, words: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """For each document: ``n_shingles``, ``key`` (digest of its shingle set), ``bands`` (a key for each band),
     ``sketch`` (the lowest byte of each bin), and the columns ``keep``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         shingler, hasher = Shingler(words), OnePermutation(BITS)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
@@ -38,10 +43,7 @@ def signatures(docs: DataFrame, words: int, keep: tuple[str, ...] = ()) -> DataF
                 bands = band_keys(bins, ROWS)
                 low = (bins & np.uint64(255)).astype(np.uint8)
                 sizes = np.diff(begins)
-                keys = [
-                    hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() if b > a else None
-                    for a, b in zip(begins[:-1], begins[1:])
-                ]
+                keys = set_keys(hashes, begins)
                 width = np.where(sizes > 0, bands.shape[1], 0)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate(([0], np.cumsum(width))), pa.int32()), pa.array(bands[sizes > 0].ravel(), pa.int64())
@@ -59,7 +61,7 @@ def signatures(docs: DataFrame, words: int, keep: tuple[str, ...] = ()) -> DataF
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id`` and ``shingles``, the ascending distinct shingle hashes of the whole text."""
+    """``doc_id``, ``key`` and ``shingles``, the ascending distinct shingle hashes of the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -68,10 +70,11 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             for group in chunks(batch.column(1).to_pylist()):
                 hashes, begins = shingler.sets(group)
                 lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), lists], ["doc_id", "shingles"])
+                keys = pa.array(set_keys(hashes, begins), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), keys, lists], ["doc_id", "key", "shingles"])
                 at += len(group)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, shingles array<long>")
 
 
 def star_pairs(active: DataFrame, percent: int) -> DataFrame:
@@ -198,31 +201,38 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, keep: tu
       sets, refuted, or known to be connected already, and the rows written stay in proportion to the members.
     * NULL and empty texts, and texts of white space only, have no shingles: they stand alone. A text with fewer words
       than a shingle counts as one shingle. A NULL ``doc_id`` is linked with nothing and kept, with a NULL component.
-      Repeated rows are copies with one id. Rows with one id and different texts are judged by their own texts. An empty
+      Repeated rows are copies with one id. Rows with one id and different texts are judged by their own texts: links join
+      sets, not ids. An empty
       table gives an empty result.
     """
     signed = materialise(signatures(docs, words, keep))
     sets = signed.where("doc_id IS NOT NULL AND key IS NOT NULL")
     first = [F.first(c).alias(n) for c, n in (("n_shingles", "n"), ("bands", "bands"), ("sketch", "sketch"))]
-    own = classes = materialise(sets.groupBy("key").agg(F.min("doc_id").alias("class"), *first))
-    rows = own.select(F.col("class").alias("id"), "n", F.posexplode("bands").alias("band", "bucket"))
+    one = sets.groupBy("key").agg(F.min("doc_id").alias("class"), *first)
+    own = materialise(one.withColumn("id", F.monotonically_increasing_id()))
+    rows = own.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
     active = materialise(rows.join(shared, "bucket").withColumn("component", F.col("id")))
-    wanted = active.select(F.col("id").alias("doc_id")).distinct()
-    wanted = F.broadcast(wanted) if at_most(wanted, BROADCAST_IDS) else wanted
-    texts = docs.select(F.col("doc_id").cast("long"), "text").where("text IS NOT NULL").join(wanted, "doc_id", "left_semi")
-    whole = materialise(shingle_sets(texts, words).distinct())
+    wanted = own.join(active.select("id").distinct(), "id", "left_semi").select("id", "key", F.col("class").alias("doc_id"))
+    wanted = materialise(wanted)
+    few = at_most(wanted, BROADCAST_IDS)
+    ids = broadcast_when(few, wanted.select("doc_id"))
+    texts = docs.select(F.col("doc_id").cast("long"), "text").where("text IS NOT NULL").join(ids, "doc_id", "left_semi")
+    whole = shingle_sets(texts, words).join(broadcast_when(few, wanted), ["doc_id", "key"])
+    whole = materialise(whole.groupBy("id").agg(F.first("shingles").alias("shingles")).select(F.col("id").alias("doc_id"), "shingles"))
     links = materialise(confirmed(star_pairs(active, percent), whole, percent))
     label = components(links)
     rest = move(active, "component", label)
     open_ = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     rest = materialise(rest.join(open_.select("bucket"), "bucket", "left_semi"))
-    sketches = own.select(F.col("class").alias("id"), "sketch", "bands").join(rest.select("id").distinct(), "id", "left_semi")
+    sketches = own.select("id", "sketch", "bands").join(rest.select("id").distinct(), "id", "left_semi")
     more = materialise(remaining_links(rest, sketches, whole, percent))
     if not more.isEmpty():
         label = components(links.unionByName(more))
-    out = signed.select("doc_id", "n_shingles", "key", *keep).join(classes.select("key", "class"), "key", "left")
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")))
-    out = move(out, "component_id", label)
+    placed = move(own.select("key", "class", F.col("id").alias("component")), "component", label)
+    least = placed.groupBy("component").agg(F.min("class").alias("least"))
+    placed = placed.join(least, "component").select("key", "least")
+    out = signed.select("doc_id", "n_shingles", "key", *keep).join(placed, "key", "left")
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), *keep)
