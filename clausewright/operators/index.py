@@ -90,7 +90,7 @@ def corpus_totals(chunks: DataFrame, frequencies: DataFrame) -> DataFrame:
 def summarise_corpus(totals: DataFrame) -> DataFrame:
     return totals.agg(
         F.sum("n_docs").alias("n_docs"),
-        (F.sum("sum_dl").cast("double") / F.sum("n_docs").cast("double")).alias("avgdl"),
+        F.try_divide(F.sum("sum_dl").cast("double"), F.sum("n_docs").cast("double")).alias("avgdl"),
     )
 
 

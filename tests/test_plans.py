@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from clausewright.operators import search
-from clausewright.operators.sizing import few_values, restrict
+from clausewright.operators import impacts, search, vectors
+from clausewright.operators.sizing import few_values, materialise, restrict
 from conftest import SMALL
 from workload import data as d
 from workload import records, splitting
@@ -39,19 +39,23 @@ class TestPlans:
         assert text.count("Exchange") == text.count("Exchange hashpartitioning(query_id") == 1
         assert text.count("WindowGroupLimit") == 2 and text.count("MapInArrow") == 1
 
-    def test_large_batches_are_taken_in_blocks(self, spark, monkeypatch):
-        monkeypatch.setattr(search, "BROADCAST_QUERY_TERMS", 200)
-        text = self.scored(spark)
-        assert text.count("Exchange") == text.count("Exchange hashpartitioning(query_id") == 1
-        assert text.count("MapInArrow") > 1
+    def test_group_vectors_are_read_where_they_are_needed(self, spark):
+        groups = vectors.stored_groups(d.vectors(spark, SMALL)).groups
+        some = groups.select("group_id").limit(1).withColumns({"block": F.lit(0).cast("long"), "rows": F.array(F.lit(0))})
+        asks = search.query_frame(d.asks(spark, SMALL), 5)
+        blocks = vectors.query_blocks(asks, {})
+        text = plan(vectors.score_pairs(groups, materialise(some), blocks, 0, 6))
+        scans = [line for line in text.splitlines() if "matrix#" in line and "FileScan" in line and "centre#" in line]
+        assert len(scans) == 1 and "(centre#" in scans[0].split("PartitionFilters")[1], text
+        assert "EqualTo(group_id" in scans[0] or "In(group_id" in scans[0]
+        assert "CartesianProduct" not in text and "BroadcastNestedLoop" not in text
 
-    def test_vectors_stay_in_place_for_many_queries(self, spark):
-        asks = d.asks(spark, SMALL)
-        text = plan(search.dense_search(d.vectors(spark, SMALL), asks, block=16))
-        alone = plan(d.vectors(spark, SMALL))
-        scans = text.count("MapInArrow")
-        assert scans > 1 and "tile" not in text
-        assert text.count("Exchange") <= scans * alone.count("Exchange") + 2
+    def test_bounds_of_term_groups_are_read_without_the_lists(self, spark):
+        groups = materialise(impacts.group_documents(records.sparse_index(spark, SMALL).documents))
+        asked = spark.sparkContext.broadcast(None)
+        text = plan(impacts.further_pairs(groups, asked, asked))
+        assert "ReadSchema: struct<words:array<string>,most:array<int>,least:array<int>,group_id:string>" in text
+        assert "Exchange" not in text
 
     def test_few_ids_reach_the_files(self, spark, tmp_path):
         path = str(tmp_path / "t")
