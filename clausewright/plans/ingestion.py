@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from clausewright.functions.freshness import is_stale
@@ -63,21 +63,25 @@ def run_ingestion(
     texts = texts.unionByName(
         reading.fetch_missing(remote, cache_path, get) if get else reading.fetch_missing(remote, cache_path)
     )
-    raw = materialise(reading.raw_documents(chosen, texts))
-    checked = materialise(validation.with_errors(chunking.chunk_documents(raw, as_of)))
-    errors = materialise(validation.document_errors(raw, checked))
-    seen = raw.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("char_count"), F.lit(0)).alias("chars")).first()
+    read, tested, faulty = Observation(), Observation(), Observation()
+    rows = F.count(F.lit(1)).alias("n")
+    chars = F.coalesce(F.sum("char_count"), F.lit(0)).alias("chars")
+    raw = materialise(reading.raw_documents(chosen, texts).observe(read, rows, chars))
     clean = F.size("errors") == 0
     stale = is_stale(F.col("superseded_by"), F.col("expiry_date"), as_of)
-    cut = checked.agg(F.count_if(clean).alias("n"), F.count_if(clean & stale).alias("stale")).first()
+    checked = validation.with_errors(chunking.chunk_documents(raw, as_of)).observe(
+        tested, F.count_if(clean).alias("n"), F.count_if(clean & stale).alias("stale")
+    )
+    checked = materialise(checked)
+    errors = materialise(validation.document_errors(raw, checked).observe(faulty, rows))
     added = kb.add_chunks(checked.where(clean).drop("errors"), as_of, rebuild=rebuild, batch_id=batch_id)
     return {
         "sources_attempted": attempted,
-        "sources_succeeded": seen.n,
-        "total_chars": seen.chars,
-        "total_chunks": cut.n,
+        "sources_succeeded": read.get["n"],
+        "total_chars": read.get["chars"],
+        "total_chunks": tested.get["n"],
         "chunks_added": added,
-        "chunks_rejected_stale": cut.stale,
-        "errors": errors.count(),
+        "chunks_rejected_stale": tested.get["stale"],
+        "errors": faulty.get["n"],
         "error_rows": errors,
     }

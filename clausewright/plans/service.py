@@ -20,6 +20,7 @@ MIN_QUERY_CHARS = 10
 MAX_QUERY_CHARS = 500
 MIN_TOP_K, MAX_TOP_K, DEFAULT_TOP_K = 1, 10, 5
 FEEDBACK_STATUS = "received"
+RETRIEVAL_FAILED = "Retrieval failed"
 
 
 def council_name(slug: Column) -> Column:
@@ -79,11 +80,34 @@ def nest_response(responses: DataFrame) -> DataFrame:
     return responses.select("query_id", "query_type", answer.alias("answer"), meta.alias("meta"))
 
 
+def unusable_vector(embedding: Column, width: int | None = None) -> Column:
+    """True for a vector that cannot be searched: NULL, empty, of another width than the store's, or with a number missing."""
+    broken = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    odd = F.size(embedding) != width if width else F.size(embedding) == 0
+    return F.coalesce(odd | broken, F.lit(True))
+
+
+def mark_failures(checked: DataFrame, width: int | None = None) -> DataFrame:
+    """Valid requests whose retrieval must fail get status 500 and one error; the others stay as they are."""
+    failing = (F.col("status") == 200) & unusable_vector(F.col("embedding"), width)
+    return checked.withColumns(
+        {
+            "errors": F.when(failing, F.array(F.lit(RETRIEVAL_FAILED))).otherwise(F.col("errors")),
+            "status": F.when(failing, 500).otherwise(F.col("status")),
+        }
+    )
+
+
 def answer_requests(
     index, chunks: DataFrame, vectors: DataFrame, requests: DataFrame, boost_vector=None, provider=None, scorer=lexical_score
 ) -> DataFrame:
-    """One response per request ``(query_id, query, council, top_k, embedding)``, invalid ones included."""
-    checked = validate_requests(requests)
+    """One response per request ``(query_id, query, council, top_k, embedding)``, invalid ones included.
+
+    ``status`` is 200, 422 for a request that breaks the limits, or 500 for one whose vector cannot be searched; only
+    requests of status 200 are searched and have an answer, so a broken one does not stop its batch. The width that
+    vectors must have is that of ``boost_vector``, where there is one.
+    """
+    checked = mark_failures(validate_requests(requests), len(boost_vector) if boost_vector is not None else None)
     valid = checked.where(F.col("status") == 200)
     results = retrieve(index, chunks, vectors, valid, boost_vector, scorer)
     nested = nest_response(generation.generate_answers(results, provider))

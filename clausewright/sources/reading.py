@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+import re
 import time
 import urllib.error
 import urllib.request
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from clausewright.operators.sizing import at_most, broadcast_when
 from clausewright.schema import SOURCE_SCHEMA
-from clausewright.sources.extract import html_text, pdf_text, plain_text
+from clausewright.sources.extract import html_text, page_source, pdf_text, plain_text
 
 # Fetch policy.
 TIMEOUT_SECONDS = 30
@@ -23,6 +25,7 @@ RATE_LIMIT_SECONDS = 1.5
 LOCAL_SCHEME = "local://"
 
 BROADCAST_SOURCES = 100_000
+NAMED_FILES = 10_000  # up to so many files are read by name; more are found by scanning the folder
 CACHE_SCHEMA = "id string, cache_key string, raw_text string"
 
 
@@ -46,18 +49,31 @@ def raw_documents(sources: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
+def named_files(spark: SparkSession, folder: str, names: DataFrame) -> DataFrame:
+    """``file, path, content`` of the files in a folder that ``names`` (``file``) lists; others may be among more than ``NAMED_FILES``."""
+    files = spark.read.format("binaryFile").load(folder).withColumn("file", F.element_at(F.split("path", "/"), -1))
+    small = at_most(names, BROADCAST_SOURCES)
+    there = files.select("path", "file").join(broadcast_when(small, names), "file", "left_semi").select("path")
+    paths = [r.path for r in there.limit(NAMED_FILES + 1).collect()]
+    if not paths:
+        return files.where(F.lit(False))
+    if len(paths) > NAMED_FILES:
+        return files
+    literal = [re.sub(r"([\\{}\[\]*?])", r"\\\1", path) for path in paths]
+    return spark.read.format("binaryFile").load(literal).withColumn("file", F.element_at(F.split("path", "/"), -1))
+
+
 def local_texts(sources: DataFrame, folder: str) -> DataFrame:
     """Texts of ``local://`` sources; missing and empty files give no row.
 
-    ``.txt`` files are decoded, anything else is read as PDF.
+    ``.txt`` files are decoded, anything else is read as PDF. The folder is listed
+    first, without opening a file; only the files that a source names are read.
     """
     spark = sources.sparkSession
     wanted = sources.where(is_local(F.col("url"))).select(
         "id", F.replace(F.col("url"), F.lit(LOCAL_SCHEME), F.lit("")).alias("file")
     )
-    files = spark.read.format("binaryFile").load(folder).withColumn(
-        "file", F.element_at(F.split("path", "/"), -1)
-    )
+    files = named_files(spark, folder, wanted.select("file"))
     both = files.join(broadcast_when(at_most(wanted, BROADCAST_SOURCES), wanted), "file")
     is_text = F.endswith(F.lower("file"), F.lit(".txt"))
     texts = both.where(is_text).select("id", plain_text(F.col("content")).alias("raw_text")).unionByName(
@@ -70,7 +86,9 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """The cache table, empty when nothing has been cached yet."""
     try:
         return spark.read.schema(CACHE_SCHEMA).parquet(path)
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], CACHE_SCHEMA)
 
 
@@ -80,12 +98,23 @@ def cache_misses(sources: DataFrame, cache: DataFrame) -> DataFrame:
     return keyed.join(cache.select("cache_key"), "cache_key", "left_anti")
 
 
+def _marked(body: bytes, headers) -> bytes:
+    charset = headers.get_content_charset() if headers is not None and headers.get_content_maintype() == "text" else None
+    try:
+        return codecs.BOM_UTF8 + body.decode(charset, "replace").encode() if charset else body
+    except LookupError:
+        return body
+
+
 def http_get(url: str, opener: Callable = urllib.request.urlopen, sleep: Callable = time.sleep) -> bytes | None:
-    """Three attempts with growing pauses; 404 gives up at once."""
+    """Three attempts with growing pauses; 404 gives up at once.
+
+    A text whose header names its charset comes back as UTF-8 with a byte order mark.
+    """
     for attempt in range(1, ATTEMPTS + 1):
         try:
             with opener(urllib.request.Request(url), timeout=TIMEOUT_SECONDS) as reply:
-                return reply.read()
+                return _marked(reply.read(), getattr(reply, "headers", None))
         except urllib.error.HTTPError as problem:
             if problem.code == 404:
                 return None
@@ -115,7 +144,7 @@ def fetch_missing(
         if row.url.endswith(".pdf"):
             text = pdf_text(F.col("body"))
         else:
-            text = html_text(plain_text(F.col("body")))
+            text = html_text(page_source(F.col("body")))
         one.select("id", "cache_key", text.alias("raw_text")).write.mode("append").parquet(cache_path)
     keys = sources.select("id", cache_key(F.col("id"), F.col("url")).alias("cache_key"))
     return read_cache(spark, cache_path).join(keys, ["id", "cache_key"]).select("id", "raw_text")

@@ -1,5 +1,7 @@
 import datetime as dt
+import sys
 import urllib.error
+from email.message import Message
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +67,13 @@ HTML = {
     "dropped container": ("<body><nav><main>no</main></nav>yes</body>", "yes"),
     "unclosed": ("<body><p>one<p>two<div>three", "one\ntwo\nthree"),
     "odd references": ("<body>a &amp b &notit; &foo; &copy; &#65; &amp;lt;</body>", "a &amp b &notit; &foo; © A &lt;"),
+    "no body": ("<title>T</title><p>text</p>", "text"),
+    "head without body": ("<html><head><title>T</title><meta charset='utf-8'></head>one<p>two</p></html>", "one\ntwo"),
+    "late body": ("<title>T</title><p>a</p><body class=x>b</body>", "a\nb"),
+    "unclosed head": ("<html><head><title>T</title><noscript><img>n</noscript><p>a</p>", "a"),
+    "only a title": ("<title>T</title>", "T"),
+    "self-closed container": ("<body>x<div id='content'/>in</div>out</body>", "in"),
+    "self-closed elsewhere": ("<body><nav/>a<svg><path d='x'/></svg>b<svg/>c<br/>d</body>", "a\nb\nc\nd"),
     "entities and comments": ("<body>a &amp; b<!-- c -->d&nbsp;</body>", "a & b\nd"),
 }
 
@@ -75,6 +84,51 @@ def test_html_text(spark):
     assert got == {k: v[1] for k, v in HTML.items()}
 
 
+def test_charsets(spark):
+    cases = {
+        "é".encode(): "é", b"\xe9": "é", b"<meta charset=iso-8859-2>\xb1": "<meta charset=iso-8859-2>ą",
+        b'<meta http-equiv=x content="text/html; charset=windows-1252">\x80': '<meta http-equiv=x content="text/html; charset=windows-1252">€',
+        b"<meta charset=nonsense>\xc3\xa9": "<meta charset=nonsense>é", "\ufeffé".encode(): "é", "\ufeffé".encode("utf-16-le"): "é",
+        b"<meta charset=utf-16>a\r\nb": "<meta charset=utf-16>a\nb", b"": "",
+    }
+    df = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(cases)], "k int, b binary")
+    got = {r.k: r.t for r in df.select("k", extract.page_source(F.col("b")).alias("t")).collect()}
+    assert got == dict(enumerate(cases.values()))
+    header = Message()
+    header["Content-Type"] = "text/html; charset=windows-1252"
+    assert extract.decode_page(reading._marked(b"\x80", header)) == "€"
+
+
+def test_pdf_needs_a_reader(monkeypatch):
+    monkeypatch.setitem(sys.modules, "pypdf", None)
+    assert extract.pdf_pages(b"no pdf") == ""
+    with pytest.raises(RuntimeError, match="pypdf"):
+        extract.pdf_pages(b"%PDF-1.7 ...")
+
+
+def test_only_named_files_are_read(spark, tmp_path, monkeypatch):
+    for name in ("a.txt", "b {1},[x]*.txt", "c.txt", "big.pdf"):
+        (tmp_path / name).write_text(f"text of {name}")
+    sources = spark.createDataFrame(
+        [("1", "local://a.txt"), ("2", "local://b {1},[x]*.txt"), ("3", "local://a.txt"), ("4", "local://gone.txt"), ("5", "http://c.txt")], "id string, url string"
+    )
+    names = sources.selectExpr("replace(url, 'local://', '') AS file")
+    assert len(reading.named_files(spark, str(tmp_path), names).inputFiles()) == 2
+    want = {"1": "text of a.txt", "2": "text of b {1},[x]*.txt", "3": "text of a.txt"}
+    assert {r.id: r.raw_text for r in reading.local_texts(sources, str(tmp_path)).collect()} == want
+    monkeypatch.setattr(reading, "NAMED_FILES", 1)
+    assert {r.id: r.raw_text for r in reading.local_texts(sources, str(tmp_path)).collect()} == want
+    assert reading.local_texts(sources.limit(0), str(tmp_path)).isEmpty()
+
+
+def test_unusable_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(k, v) for k, v in enumerate([[1.0, 2.0], None, [], [1.0], [1.0, None], [nan, 1.0], [-inf, 1.0]])]
+    df = spark.createDataFrame(rows, "k int, v array<float>")
+    bad = df.select("k", service.unusable_vector(F.col("v"), 2).alias("w"), service.unusable_vector(F.col("v")).alias("n")).orderBy("k").collect()
+    assert [r.w for r in bad] == [False] + [True] * 6 and [r.n for r in bad] == [False, True, True, False, True, True, True]
+
+
 def test_http_policy():
     tried, slept = [], []
 

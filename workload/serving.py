@@ -19,27 +19,26 @@ def html_extract(spark, sf):
     return pages.select("page_id", extract.html_text(F.col("html")).alias("main_text"))
 
 
-# Pages with the other kinds of main container, made from the given ones.
+# The given pages with another kind of main container in place of their article; every fourth keeps it and has no html, head and body tags.
 CONTAINER = {
-    0: ("'<main>'", "'</main>'"),
-    1: ("'<div id=\"content\">'", "'</div>'"),
-    2: ("'<section class=\"page Main-text\">'", "'</section>'"),
-    3: ("'<aside>'", "'</aside>'"),
+    0: ("<main>", "</main>"),
+    1: ('<div id="content">', "</div>"),
+    2: ('<section class="page Main-text">', "</section>"),
 }
 
 
-def _wrapped(start: int) -> str:
-    return "CASE page_id % 4 " + " ".join(f"WHEN {k} THEN {v[start]}" for k, v in CONTAINER.items()) + " END"
+def _container(which: int) -> str:
+    return "CASE page_id % 4 " + " ".join(f"WHEN {k} THEN '{v[which]}'" for k, v in CONTAINER.items()) + " END"
 
 
 WRAPPED = (
-    f"'<html><body><header>top</header><p>before  all</p>' || {_wrapped(0)} || '<p>in ' || url || '</p>  two   words ' || "
-    f"'<noscript>no</noscript><!-- x -->&lt;tail&gt;' || {_wrapped(1)} || '<article>story ' || {d.text_of('page_id')} || '</article></body></html>'"
+    "CASE WHEN page_id % 4 = 3 THEN regexp_replace(html, '(?i)</?(html|head|body)[^>]*>', '') "
+    f"ELSE replace(replace(html, '<article>', {_container(0)}), '</article>', {_container(1)}) END"
 )
 
 
 def html_containers(spark, sf):
-    pages = d.table(spark, sf, "pages").selectExpr("page_id", f"{WRAPPED} AS html")
+    pages = d.spread(d.table(spark, sf, "pages"), "page_id").selectExpr("page_id", f"{WRAPPED} AS html")
     return pages.select("page_id", extract.html_text(F.col("html")).alias("main_text"))
 
 
@@ -127,14 +126,9 @@ def answer_end_to_end(spark, sf):
     return response_columns(generation.generate_answers(_retrieved(spark, sf)))
 
 
-def answer_requests(spark, sf):
-    """Nested responses for every request, invalid ones included."""
+def _answered(spark, sf, requests):
     rows = service.answer_requests(
-        sparse_index(spark, sf),
-        d.fresh_corpus(spark, sf),
-        d.vectors(spark, sf),
-        api_requests(spark, sf),
-        d.boost_vector(spark, sf),
+        sparse_index(spark, sf), d.fresh_corpus(spark, sf), d.vectors(spark, sf), requests, d.boost_vector(spark, sf)
     )
     return rows.select(
         "query_id",
@@ -151,6 +145,27 @@ def answer_requests(spark, sf):
     )
 
 
+def answer_requests(spark, sf):
+    """Nested responses for every request, invalid ones included."""
+    return _answered(spark, sf, api_requests(spark, sf))
+
+
+# Vectors as a faulty embedder would give them: none, too short, with a number missing.
+DAMAGED = {
+    0: "CAST(NULL AS array<float>)",
+    1: "slice(embedding, 1, 3)",
+    2: "transform(embedding, (x, i) -> CASE WHEN i = 5 THEN CAST(NULL AS float) ELSE x END)",
+    3: "transform(embedding, (x, i) -> CASE WHEN i = 5 THEN CAST('NaN' AS float) ELSE x END)",
+}
+
+
+def request_failures(spark, sf):
+    """Requests of which every second one has a vector that cannot be searched; the others are answered."""
+    whens = " ".join(f"WHEN {k} THEN {v}" for k, v in DAMAGED.items())
+    damaged = F.expr(f"CASE CAST(query_id AS long) % 8 {whens} ELSE embedding END")
+    return _answered(spark, sf, api_requests(spark, sf).withColumn("embedding", damaged))
+
+
 def response_log(spark, sf):
     return generation.response_log(generation.generate_answers(_retrieved(spark, sf)))
 
@@ -166,6 +181,7 @@ QUERIES = {
         feedback_summary,
         answer_end_to_end,
         answer_requests,
+        request_failures,
         response_log,
     )
 }
@@ -204,13 +220,24 @@ cases AS (
 {response_ctes('cases')},
 responses AS ({RESPONSE_SQL} FROM post)"""
 
-SQL = {
-    "html_extract": f"""
+_MAIN_TEXT = f"""
 SELECT page_id, trim(regexp_replace(regexp_replace(array_to_string({_PIECES}, chr(10)), '\\n{{4,}}', chr(10) || chr(10) || chr(10), 'g'),
-  ' {{2,}}', ' ', 'g'), {d.WS}) AS main_text FROM pages""",
-    "html_containers": f"""
-SELECT page_id, CASE WHEN page_id % 4 = 3 THEN 'story ' || page_id
-  ELSE 'in ' || url || chr(10) || 'two words' || chr(10) || '<tail>' END AS main_text FROM pages""",
+  ' {{2,}}', ' ', 'g'), {d.WS}) AS main_text FROM pages"""
+
+
+def _answers_sql(status: str, ctes: str) -> str:
+    return f"""
+WITH {ctes}
+SELECT r.query_id, r.council, {status} AS status, r.errors, s.query_type, s.confidence,
+  CASE WHEN s.confidence = 'blocked' AND NOT s.is_blocked THEN 'low' ELSE s.confidence END AS badge, s.is_blocked,
+  CASE WHEN s.cited IS NULL THEN NULL WHEN s.cited = '' THEN 0 ELSE CAST(len(string_split(s.cited, '; ')) AS INTEGER) END AS n_citations,
+  q.n_chunks AS chunks_retrieved, round(q.retrieval_quality, 6) AS retrieval_quality
+FROM requests r LEFT JOIN responses s USING (query_id) LEFT JOIN quality q USING (query_id)"""
+
+
+SQL = {
+    "html_extract": _MAIN_TEXT,
+    "html_containers": _MAIN_TEXT,
     "cache_keys": f"""
 SELECT id, url, id || '_' || left(md5(url), 8) AS cache_key FROM (SELECT CAST(page_id AS VARCHAR) AS id, {PAGE_SOURCE} AS url FROM pages)
 WHERE NOT starts_with(url, 'local://') AND id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)""",
@@ -229,13 +256,14 @@ SELECT event_type, count(*) AS n, count(*) FILTER (WHERE helpful) AS n_helpful,
   count(*) FILTER (WHERE NOT helpful AND comment IS NOT NULL) AS n_unhelpful_with_comment
 FROM (SELECT {d.select_sql(FEEDBACK)} FROM events) GROUP BY event_type""",
     "answer_end_to_end": f"WITH {_API_CTES} SELECT * FROM responses",
-    "answer_requests": f"""
-WITH {_API_CTES}
-SELECT r.query_id, r.council, CASE WHEN r.errors = '' THEN 200 ELSE 422 END AS status, r.errors, s.query_type, s.confidence,
-  CASE WHEN s.confidence = 'blocked' AND NOT s.is_blocked THEN 'low' ELSE s.confidence END AS badge, s.is_blocked,
-  CASE WHEN s.cited IS NULL THEN NULL WHEN s.cited = '' THEN 0 ELSE CAST(len(string_split(s.cited, '; ')) AS INTEGER) END AS n_citations,
-  q.n_chunks AS chunks_retrieved, round(q.retrieval_quality, 6) AS retrieval_quality
-FROM requests r LEFT JOIN responses s USING (query_id) LEFT JOIN quality q USING (query_id)""",
+    "answer_requests": _answers_sql("CASE WHEN r.errors = '' THEN 200 ELSE 422 END", _API_CTES),
+    "request_failures": _answers_sql(
+        "CASE WHEN r.errors = '' THEN 200 WHEN r.errors = 'Retrieval failed' THEN 500 ELSE 422 END",
+        _API_CTES.replace(
+            f"SELECT *, {_ERRORS} AS errors",
+            f"SELECT *, CASE WHEN {_ERRORS} = '' AND CAST(query_id AS BIGINT) % 8 < {len(DAMAGED)} THEN 'Retrieval failed' ELSE {_ERRORS} END AS errors",
+        ),
+    ),
     "response_log": f"""
 WITH {_API_CTES} SELECT CASE WHEN is_blocked THEN 'BLOCKED' ELSE 'OK' END AS status, query_type, confidence, count(*) AS n
 FROM responses GROUP BY 1, 2, 3""",
