@@ -16,6 +16,7 @@ from clausewright.operators.sizing import materialise
 
 SEED = 5  # words; also the least length of a tile. A shorter item is a seed as a whole
 COVERAGE = 0.6  # of a test item's words, from which a document counts as contaminated
+COMMON = 32  # places of the items that share a seed, beyond which the seed alone need not call them up
 SLICE_CHARS = 8_000_000  # of the benchmark that is sent to the executors at a time
 PUNCTUATION = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
 
@@ -86,34 +87,79 @@ def tile(points: list[tuple[int, int]], text: list[bytes], item: list[bytes], le
     return sorted(tiles)
 
 
-def seed_search(size: int, items: list[tuple[int, str]], least: np.ndarray):
+def covered(hit: np.ndarray, begins: np.ndarray, size: int) -> np.ndarray:
+    """How many words of each item stand under its seeds that are hit; ``begins`` are the items' first seeds."""
+    owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    mark = np.zeros(len(hit) + (size - 1) * (len(begins) - 1), bool)
+    mark[(np.arange(len(hit)) + owner * (size - 1))[hit]] = True
+    under = mark.copy()
+    for k in range(1, size):
+        under[k:] |= mark[: len(mark) - k]
+    words = begins[:-1] + (size - 1) * np.arange(len(begins) - 1)
+    return np.add.reduceat(under, words, dtype=np.int64) if len(words) else np.zeros(0, np.int64)
+
+
+def telling(seeds: np.ndarray, begins: np.ndarray, size: int, coverage: float) -> np.ndarray:
+    """The seeds of which a text must have at least one to reach an item's coverage.
+
+    Of seeds that more than ``COMMON`` places of the items share, an item leaves out the first ones, as many as cover
+    too little of it together. So nothing is lost, and a passage that very many items share does not call up all of them.
+    """
+    _, kind, count = np.unique(seeds, return_inverse=True, return_counts=True)
+    common = np.flatnonzero(count[kind] > COMMON)
+    owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))[common]
+    first = np.diff(owner, prepend=-1) > 0
+    adds = np.where(first, size, np.minimum(np.diff(common, prepend=0), size))  # words that no seed before it covers
+    words = np.cumsum(adds)
+    words -= np.repeat((words - adds)[first], np.diff(np.flatnonzero(np.append(first, True))))
+    keep = np.ones(len(seeds), bool)
+    keep[common] = words / (np.diff(begins)[owner] + size - 1) >= coverage
+    return keep
+
+
+def seed_search(size: int, items: list[tuple[int, str]], least: np.ndarray, coverage: float):
     """A search in texts for the items whose seeds have ``size`` words.
 
-    For each text that has seeds it gives its number, and by number of the item the places (in the text, in the item).
+    For each text that could cover an item it gives the text's number, and by number of the item the places (in the
+    text, in the item) of their common seeds. Items are called up by their telling seeds, then bounded by the words
+    under all seeds that the text has, and places are listed only for those that can reach the coverage.
     """
     shingler = Shingler(size, bare_words)
     chosen = np.flatnonzero(least == size)
     seeds, begins, _ = shingler.sequence([items[t][1] for t in chosen])
-    owner = np.repeat(chosen, np.diff(begins))
-    place = np.arange(len(seeds)) - np.repeat(begins[:-1], np.diff(begins))
-    order = np.argsort(seeds, kind="stable")
-    seeds, owner, place = seeds[order], owner[order], place[order]
+    lengths = np.diff(begins) + size - 1
+    keep = telling(seeds, begins, size, coverage)
+    order = np.argsort(seeds[keep], kind="stable")
+    keys, owner = seeds[keep][order], np.repeat(np.arange(len(chosen)), np.diff(begins))[keep][order]
     bits = np.uint64((1 << 22) - 1)
     maybe = np.zeros(1 << 22, bool)
-    maybe[(seeds & bits).astype(np.int64)] = True
+    maybe[(keys & bits).astype(np.int64)] = True
+
+    def places(own: np.ndarray, called: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        sizes = np.diff(begins)[called]
+        own_begins = np.concatenate([[0], np.cumsum(sizes)])
+        place = np.arange(own_begins[-1]) - np.repeat(own_begins[:-1], sizes)
+        theirs = seeds[np.repeat(begins[:-1][called], sizes) + place]
+        by_seed = np.argsort(own, kind="stable")
+        low, high = np.searchsorted(own[by_seed], theirs, "left"), np.searchsorted(own[by_seed], theirs, "right")
+        enough = covered(high > low, own_begins, size) / lengths[called] >= coverage
+        found = {}
+        for c in np.flatnonzero(enough):
+            span = range(int(own_begins[c]), int(own_begins[c + 1]))
+            found[int(chosen[called[c]])] = [(int(p), int(place[k])) for k in span for p in by_seed[low[k] : high[k]]]
+        return found
 
     def search(group: list[str | None]) -> Iterator[tuple[int, dict[int, list[tuple[int, int]]]]]:
         own, starts, _ = shingler.sequence(group)
         hits = np.flatnonzero(maybe[(own & bits).astype(np.int64)])
-        low, high = np.searchsorted(seeds, own[hits], "left"), np.searchsorted(seeds, own[hits], "right")
+        low, high = np.searchsorted(keys, own[hits], "left"), np.searchsorted(keys, own[hits], "right")
         hits, low, high = hits[high > low], low[high > low], high[high > low]
         doc = np.searchsorted(starts, hits, "right") - 1
         for d in np.unique(doc):
-            points: dict[int, list[tuple[int, int]]] = {}
-            for k in np.flatnonzero(doc == d):
-                for s in range(low[k], high[k]):
-                    points.setdefault(int(owner[s]), []).append((int(hits[k] - starts[d]), int(place[s])))
-            yield int(d), points
+            ranges = np.unique(np.stack([low[doc == d], high[doc == d]]), axis=1).T
+            called = np.unique(np.concatenate([owner[a:b] for a, b in ranges]))
+            if points := places(own[starts[d] : starts[d + 1]], called):
+                yield int(d), points
 
     return search
 
@@ -125,7 +171,7 @@ def slice_leaks(docs: DataFrame, items: list[tuple[int, str]], coverage: float)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = [(i, bare_words(t)) for i, t in held.value]
         least = np.array([min(SEED, len(words)) for _, words in tests], np.int64)
-        searches = [seed_search(int(n), held.value, least) for n in np.unique(least[least > 0])]
+        searches = [seed_search(int(n), held.value, least, coverage) for n in np.unique(least[least > 0])]
         for batch in batches:
             at = 0
             for group in chunks(batch.column(1).to_pylist()):
@@ -138,8 +184,6 @@ def slice_leaks(docs: DataFrame, items: list[tuple[int, str]], coverage: float)
                     words = bare_words(group[d])
                     for t, pairs in points.items():
                         item, test = tests[t]
-                        if not spread_enough(pairs, test, coverage, int(least[t])):
-                            continue
                         laid = tile(pairs, words, test, int(least[t]))
                         part = sum(n for _, _, n in laid) / len(test)
                         if part >= coverage:
@@ -157,11 +201,6 @@ def slice_leaks(docs: DataFrame, items: list[tuple[int, str]], coverage: float)
     return docs.mapInArrow(run, "row binary, item_id long, coverage double, tiles array<struct<doc_word:long,item_word:long,n_words:long>>")
 
 
-def spread_enough(pairs: list[tuple[int, int]], test: list[bytes], coverage: float, least: int) -> bool:
-    """Whether the words under any seed could reach the coverage."""
-    return len({q + k for _, q in pairs for k in range(least)}) >= coverage * len(test)
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Test items whose words are covered by tiles of a document, whatever their order there.
 

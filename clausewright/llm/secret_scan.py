@@ -117,11 +117,14 @@ class Scanner:
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         low = text.lower()
         found = self.base(text, low)
-        for start, end in self.values(text, low):
-            if self.cost(text[start:end]) >= HARD and not any(s < end and e > start for s, _, e in found):
-                found.append((start, 3, end))
-                found.sort()
-        return found
+        guesses, reach, k = [], 0, 0
+        for start, end in self.values(text, low):  # in order, as the base spans are: both are passed once
+            while k < len(found) and found[k][0] < end:
+                reach = max(reach, found[k][2])
+                k += 1
+            if reach <= start and self.cost(text[start:end]) >= HARD:
+                guesses.append((start, 3, end))
+        return sorted(found + guesses)
 
 
 def frequent_words(docs: DataFrame) -> list[str]:

@@ -16,7 +16,7 @@ RULES = (  # host, path, verdict
 )
 DEFAULT = "allow"  # where no rule fits
 SHORT = 8  # hex digits of a digest by which URLs and rules are joined
-FEW_RULES = 200_000  # more rules than this are joined by shuffling
+FEW_RULES = 200_000  # more rules, or lengths of rules, than this are joined by shuffling
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,26 +38,20 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     A rule fits its host and all subdomains where the path starts with the rule's. The longest rule (host and path)
     wins; of equally long ones that with the longer host, then ``block``. A URL without a fitting rule, also NULL or one
     without ``://``, has a NULL rule and the default verdict. Columns of these names in ``pages`` are replaced. Each URL
-    that occurs is judged once, however often it occurs; only lengths that some rule has are expanded, so a URL with
-    very many labels or a very long path makes few expressions. Rules with a NULL host or path are ignored; with an
+    that occurs is judged once, however often it occurs; the lengths that some rule has are a table, joined by the number
+    of labels, so any number of rules makes one plan, and a URL with very many labels or a very long path few expressions. Rules with a NULL host or path are ignored; with an
     empty table of rules every URL has the default verdict.
     """
     rules = rules.where("host IS NOT NULL AND path IS NOT NULL").select(
         F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict"
     )
-    sizes = rules.select(F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("chars")).distinct().collect()
+    sizes = rules.select(F.size(F.split("host", r"\.")).alias("wanted"), F.length("path").alias("chars")).distinct()
+    sizes = F.broadcast(sizes) if at_most(sizes, FEW_RULES) else sizes
     host, path = host_and_path(F.col("url"))
     urls = pages.select("url").where("url IS NOT NULL").distinct().select("url", host.alias("_host"), path.alias("_path"))
-    labels = F.split("_host", r"\.")
-    fits = [
-        F.when(
-            (F.size(labels) >= r.labels) & (F.length("_path") >= r.chars),
-            F.concat(F.substring_index("_host", ".", -r.labels), F.substring("_path", 1, r.chars)),
-        )
-        for r in sizes
-    ]
-    forms = F.array_compact(F.array(*fits)) if fits else F.array().cast("array<string>")
-    forms = urls.select("url", F.explode(F.array_distinct(forms)).alias("form"))
+    suffixes = urls.withColumn("labels", F.explode(F.sequence(F.lit(1), F.size(F.split("_host", r"\.")))))
+    form = F.concat(F.expr("substring_index(_host, '.', -labels)"), F.expr("substring(_path, 1, chars)"))
+    forms = suffixes.join(sizes, (F.col("labels") == F.col("wanted")) & (F.length("_path") >= F.col("chars"))).select("url", form.alias("form"))
     forms = forms.withColumn("digest", F.sha2("form", 256)).withColumn("short", F.substring("digest", 1, SHORT)).drop("form")
     name = F.concat("host", "path")
     strength = F.struct(F.length(name), F.length("host"), F.col("verdict"), name.alias("rule"))
