@@ -139,7 +139,7 @@ def entity_set(spark, sf):
 
 
 def explain_result(spark, sf):
-    return fusion.explain_result(results(spark, sf)).drop("rerank")
+    return fusion.explain_result(results(spark, sf))
 
 
 QUERIES = {
@@ -326,6 +326,7 @@ SELECT a.query_id, coalesce(string_agg(DISTINCT entity, '; ' ORDER BY entity), '
 FROM asks a LEFT JOIN e USING (query_id) GROUP BY a.query_id""",
     "explain_result": f"""
 WITH {HYBRID_CTES} SELECT query_id, rank, source, round(rrf_score, 4) AS rrf,
+  CAST(round(CAST(CAST(rerank_score AS VARCHAR) AS DECIMAL(30, 18)), 2) AS VARCHAR) AS rerank,
   CASE WHEN coalesce(section_ref, '') = '' THEN '—' ELSE left(section_ref, 25) END AS section, jurisdiction,
   replace(left(text, 45), chr(10), ' ') || '...' AS preview FROM final""",
 }
