@@ -61,18 +61,18 @@ def rrf_fuse(dense: DataFrame, sparse: DataFrame) -> DataFrame:
     return scored.where(F.col("rrf_score") >= MIN_SCORE).withColumn("fused_rank", F.row_number().over(window))
 
 
-def candidates(fused: DataFrame, chunks: DataFrame, queries: DataFrame, small: bool) -> DataFrame:
+def candidates(fused: DataFrame, chunks: DataFrame, queries: DataFrame, small: bool, hits_at_most: int | None = None) -> DataFrame:
     """The best fused, non-stale chunks of each query with their text and metadata.
 
     Places are given on narrow rows; texts are fetched for the best ids only: a small set of ids becomes a filter
     that reaches the files, a bounded set is broadcast to the chunks, and a large
-    one is joined by shuffling.
+    one is joined by shuffling. ``hits_at_most`` bounds the rows of ``fused``.
     """
-    narrow = restrict(chunks, "chunk_id", few_values(fused, "chunk_id")).where("NOT is_stale").select("chunk_id")
+    narrow = restrict(chunks, "chunk_id", few_values(fused, "chunk_id", rows_at_most=hits_at_most)).where("NOT is_stale").select("chunk_id")
     window = Window.partitionBy("query_id").orderBy("fused_rank")
     ranked = narrow.join(broadcast_when(small, fused), "chunk_id").withColumn("place", F.row_number().over(window))
     best = ranked.where(F.col("place") <= RERANK_TOP_N)
-    wanted = restrict(chunks, "chunk_id", few_values(best, "chunk_id"))
+    wanted = restrict(chunks, "chunk_id", few_values(best, "chunk_id", rows_at_most=hits_at_most))
     details = wanted.select(
         "chunk_id",
         "text",

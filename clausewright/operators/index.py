@@ -106,15 +106,19 @@ def weigh_terms(frequencies: DataFrame, corpus: DataFrame) -> DataFrame:
 def build_sparse_index(chunks: DataFrame, keep: bool = False) -> SparseIndex:
     """Index of the given chunks (already freed of stale rows).
 
-    With ``keep`` the term lists are written out once and read for the frequencies
-    and for the search, so that the texts are tokenised only once.
+    With ``keep`` every part is written out once: the texts are tokenised and the
+    frequencies counted only once, however many searches follow.
     """
-    documents = build_documents(chunks)
-    documents = materialise(documents) if keep else documents
-    postings = as_postings(documents) if keep else build_postings(chunks)
-    frequencies = document_frequencies(postings)
-    corpus = summarise_corpus(corpus_totals(documents, frequencies))
-    return SparseIndex(documents, postings, weigh_terms(frequencies, corpus), corpus)
+    if not keep:
+        frequencies = document_frequencies(build_postings(chunks))
+        documents = build_documents(chunks)
+        corpus = summarise_corpus(corpus_totals(documents, frequencies))
+        return SparseIndex(documents, build_postings(chunks), weigh_terms(frequencies, corpus), corpus)
+    documents = materialise(build_documents(chunks))
+    postings = as_postings(documents)
+    frequencies = materialise(document_frequencies(postings))
+    corpus = materialise(summarise_corpus(corpus_totals(documents, frequencies)))
+    return SparseIndex(documents, postings, materialise(weigh_terms(frequencies, corpus)), corpus)
 
 
 def new_chunks(chunks: DataFrame, stored_ids: DataFrame) -> DataFrame:

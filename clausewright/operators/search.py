@@ -6,6 +6,7 @@ must not decide between copies of one text, also not when a task is rerun.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -56,6 +57,20 @@ HITS = "query_id string, chunk_id string, score double"
 HITS_ARROW = pa.schema([("query_id", pa.string()), ("chunk_id", pa.string()), ("score", pa.float64())])
 
 
+@dataclass(frozen=True)
+class BatchSize:
+    """The number of queries of a batch and of the terms in them, repeats included."""
+
+    queries: int
+    terms: int
+
+
+def measure(queries: DataFrame) -> BatchSize:
+    """Both sizes of a batch in one pass, for everything that has to choose by them."""
+    terms = F.coalesce(F.sum(F.array_size(tokenise(F.col("query"))).cast("long")), F.lit(0))
+    return BatchSize(*queries.agg(F.count(F.lit(1)), terms).first())
+
+
 # -- keyword search --------------------------------------------------------------------
 
 
@@ -146,7 +161,7 @@ class _Terms(_Best):
                 self.floor[row] = self.best[row][0][-1]
 
 
-def sparse_hits(index: SparseIndex, queries: DataFrame, limit: int) -> DataFrame:
+def sparse_hits(index: SparseIndex, queries: DataFrame, limit: int, size: BatchSize | None = None) -> DataFrame:
     """Candidates for the ``limit`` best BM25 scores of each query: ``query_id, chunk_id, score``.
 
     The weighted terms of the queries travel to the term lists of the chunks. A chunk's score is added up inside its
@@ -155,7 +170,7 @@ def sparse_hits(index: SparseIndex, queries: DataFrame, limit: int) -> DataFrame
     groups first. An index with groups is searched through these: see ``impacts``.
     """
     terms = query_terms(queries)
-    few = at_most(queries.select(F.explode(tokenise(F.col("query")))), BROADCAST_QUERY_TERMS)
+    few = (size or measure(queries)).terms <= BROADCAST_QUERY_TERMS
     weights = index.term_stats.join(broadcast_when(few, terms), "term").select(
         F.col("query_id").cast("string"), "term", (F.col("qtf").cast("double") * F.col("idf")).alias("weight")
     )
@@ -191,18 +206,22 @@ def allowed_jurisdiction(row: Column, wanted: Column) -> Column:
     return wanted.isNull() | (row == wanted) | (row == NATIONAL)
 
 
-def sparse_search(index: SparseIndex, chunks: DataFrame, queries: DataFrame, n: int = SPARSE_FETCH) -> DataFrame:
+def sparse_search(
+    index: SparseIndex, chunks: DataFrame, queries: DataFrame, n: int = SPARSE_FETCH, size: BatchSize | None = None
+) -> DataFrame:
     """Top ``n`` keyword hits per query.
 
     The best ``2n`` are taken first and only then freed of stale and foreign
     chunks, so fewer than ``n`` may remain. ``chunks`` needs ``chunk_id``,
     ``jurisdiction`` and ``is_stale``; ``queries`` needs ``jurisdiction``.
     """
-    scored = sparse_hits(index, queries, OVERFETCH * n)
+    size = size or measure(queries)
+    scored = sparse_hits(index, queries, OVERFETCH * n, size)
     best = materialise(ranked(scored, OVERFETCH * n, F.desc("score"), F.asc("chunk_id")).drop("rank"))
-    few = at_most(queries, BROADCAST_HITS // (OVERFETCH * n))
+    most = OVERFETCH * n * size.queries
+    few = most <= BROADCAST_HITS
     wanted = queries.select("query_id", F.col("jurisdiction").alias("wanted"))
-    meta = restrict(chunks.select("chunk_id", "jurisdiction", "is_stale"), "chunk_id", few_values(best, "chunk_id"))
+    meta = restrict(chunks.select("chunk_id", "jurisdiction", "is_stale"), "chunk_id", few_values(best, "chunk_id", rows_at_most=most))
     kept = (
         meta.join(broadcast_when(few, best), "chunk_id")
         .join(broadcast_when(few, wanted), "query_id")
@@ -271,12 +290,18 @@ def grouped_search(index: VectorGroups, queries: DataFrame, n: int = DENSE_FETCH
     return ranked(found, F.col("fetch"), F.desc("score"), F.asc("chunk_id")).drop("fetch")
 
 
-def vector_search(vectors: DataFrame | VectorGroups, queries: DataFrame, n: int = DENSE_FETCH) -> DataFrame:
+def vector_search(
+    vectors: DataFrame | VectorGroups, queries: DataFrame, n: int = DENSE_FETCH, rows_at_most: int | None = None
+) -> DataFrame:
     """Exact cosine top ``n`` per query, over plain or grouped vectors."""
-    return grouped_search(vectors, queries, n) if isinstance(vectors, VectorGroups) else dense_search(vectors, queries, n)
+    if isinstance(vectors, VectorGroups):
+        return grouped_search(vectors, queries, n)
+    return dense_search(vectors, queries, n, rows_at_most=rows_at_most)
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, n: int = DENSE_FETCH, block: int = QUERY_BLOCK) -> DataFrame:
+def dense_search(
+    vectors: DataFrame, queries: DataFrame, n: int = DENSE_FETCH, block: int = QUERY_BLOCK, rows_at_most: int | None = None
+) -> DataFrame:
     """Exact cosine top ``n`` per query: ``query_id, chunk_id, score, rank``.
 
     ``vectors`` holds unit vectors: ``chunk_id, embedding, jurisdiction,
@@ -286,10 +311,11 @@ def dense_search(vectors: DataFrame, queries: DataFrame, n: int = DENSE_FETCH, b
     task returns only its own best rows. For more queries the vectors are put into
     groups first, and each query meets only those groups that may hold one of its
     hits. A query without a vector finds nothing; a NULL vector, or one of another
-    width than the query's, is not compared with it.
+    width than the query's, is not compared with it. A caller that has counted the
+    queries gives their number as ``rows_at_most``.
     """
     prepared = query_frame(queries, n)
-    if not at_most(prepared.select("query_id"), block):
+    if not (at_most(prepared.select("query_id"), block) if rows_at_most is None else rows_at_most <= block):
         return grouped_search(stored_groups(vectors), queries, n)
     pool = vectors.where(~F.col("is_stale")).select("chunk_id", "embedding", "jurisdiction", "document_type")
     rows = prepared.collect()

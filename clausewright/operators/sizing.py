@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +20,16 @@ def broadcast_when(small: bool, df: DataFrame) -> DataFrame:
 
 
 FEW_VALUES = 256
+WORTH_COUNTING = 4  # rows for each value allowed, above which few values are not to be expected
 
 
-def few_values(df: DataFrame, column: str, most: int = FEW_VALUES) -> list | None:
-    """The distinct values of a column when there are at most ``most`` of them, else None."""
+def few_values(df: DataFrame, column: str, most: int = FEW_VALUES, rows_at_most: int | None = None) -> list | None:
+    """The distinct values of a column when there are at most ``most`` of them, else None.
+
+    A caller that knows a bound on the rows may give it: far above ``most`` they are not counted, which gives None.
+    """
+    if rows_at_most is not None and rows_at_most > WORTH_COUNTING * most:
+        return None
     rows = df.select(column).distinct().limit(most + 1).collect()
     return [r[0] for r in rows] if len(rows) <= most else None
 
@@ -43,6 +51,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_MADE: dict[tuple, tuple[SparkSession, list[str], Any]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -68,10 +77,36 @@ def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def once(spark: SparkSession, name: str, make: Callable[[], Any]) -> Any:
+    """What ``make()`` gives, made at the first call of a session and handed out again until ``release``.
+
+    For tables that many queries of a session share, such as an index. It is made anew when the folder for
+    intermediates has changed, or a table that ``make`` wrote is gone.
+    """
+    key = (id(spark), shared_folder(spark), name)
+    kept = _MADE.get(key)
+    if kept is None or kept[0] is not spark or not all(_exists(spark, path) for path in kept[1]):
+        before = len(_WRITTEN)
+        value = make()
+        kept = _MADE[key] = (spark, [path for owner, path in _WRITTEN[before:] if owner is spark], value)
+    return kept[2]
+
+
+def _located(spark: SparkSession, path: str):
+    named = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return named.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), named
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, named = _located(spark, path)
+    return files.exists(named)
+
+
 def release(spark: SparkSession) -> None:
     """Removes the tables that ``materialise`` has written for this session. Frames that read them are void then."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for key in [k for k, made in _MADE.items() if made[0] is spark]:
+        del _MADE[key]
     for entry in [e for e in _WRITTEN if e[0] is spark]:
-        path = jvm.org.apache.hadoop.fs.Path(entry[1])
-        path.getFileSystem(conf).delete(path, True)
+        files, named = _located(spark, entry[1])
+        files.delete(named, True)
         _WRITTEN.remove(entry)

@@ -31,7 +31,7 @@ class TestPlans:
 
     def scored(self, spark):
         asks = d.asks(spark, SMALL)
-        scores = search.sparse_hits(records.sparse_index(spark, SMALL), asks, 60)
+        scores = search.sparse_hits(records.searched(spark, SMALL)[0], asks, 60)
         return plan(search.ranked(scores, 60, F.desc("score"), F.asc("chunk_id")))
 
     def test_keyword_search_shuffles_only_each_tasks_best_hits(self, spark):
@@ -51,7 +51,7 @@ class TestPlans:
         assert "CartesianProduct" not in text and "BroadcastNestedLoop" not in text
 
     def test_bounds_of_term_groups_are_read_without_the_lists(self, spark):
-        groups = materialise(impacts.group_documents(records.sparse_index(spark, SMALL).documents))
+        groups = materialise(impacts.group_documents(records.searched(spark, SMALL)[0].documents))
         asked = spark.sparkContext.broadcast(None)
         text = plan(impacts.further_pairs(groups, asked, asked))
         assert "ReadSchema: struct<words:array<string>,most:array<int>,least:array<int>,group_id:string>" in text

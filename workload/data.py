@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.functions.arrays import l2_normalise
-from clausewright.operators.sizing import spread
+from clausewright.operators.sizing import once, spread
 from clausewright.schema import CONFIDENCES, DOCUMENT_TYPES, JURISDICTIONS
 
 AS_OF = "2024-02-01"
@@ -167,15 +167,13 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def boost_vector(spark: SparkSession, sf: str) -> list[float]:
     """Mean of all vectors, as the vector of the boost text: one number per dimension."""
-    rows = (
-        table(spark, sf, "embeddings")
-        .select(F.posexplode("embedding").alias("pos", "x"))
-        .groupBy("pos")
-        .agg(F.avg(F.col("x").cast("double")).alias("x"))
-        .orderBy("pos")
-        .collect()
-    )
-    return [r.x for r in rows]
+
+    def mean():
+        numbers = table(spark, sf, "embeddings").select(F.posexplode("embedding").alias("pos", "x"))
+        means = numbers.groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
+        return [r.x for r in means.orderBy("pos").collect()]
+
+    return once(spark, f"boost vector {sf}", mean)
 
 
 # -- SQL -------------------------------------------------------------------------------

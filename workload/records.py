@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from clausewright.functions.text import tokenise
 from clausewright.operators import index, validation
 from clausewright.operators.embedding import hashed_counts
+from clausewright.operators.sizing import materialise, once
 from workload import data as d
 
 
@@ -70,8 +71,15 @@ def live_chunks(spark, sf):
     return validation.drop_stale(d.corpus(spark, sf), d.AS_OF).select("chunk_id", "text")
 
 
-def sparse_index(spark, sf, keep=True):
-    return index.build_sparse_index(live_chunks(spark, sf), keep)
+def searched(spark, sf):
+    """Keyword index, chunks and vectors of a folder, stored by the first query of a session that searches them."""
+
+    def store():
+        chunks = materialise(d.fresh_corpus(spark, sf))
+        live = chunks.where("NOT is_stale").select("chunk_id", "text")
+        return index.build_sparse_index(live, keep=True), chunks, materialise(d.vectors(spark, sf))
+
+    return once(spark, f"searched {sf}", store)
 
 
 def bm25_postings(spark, sf):
@@ -79,7 +87,7 @@ def bm25_postings(spark, sf):
 
 
 def bm25_term_stats(spark, sf):
-    return sparse_index(spark, sf, keep=False).term_stats.select("term", "df", F.round("idf", 6).alias("idf"))
+    return index.build_sparse_index(live_chunks(spark, sf)).term_stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def dedupe_new_chunks(spark, sf):

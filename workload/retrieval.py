@@ -12,7 +12,8 @@ from clausewright.operators.sizing import materialise
 from clausewright.operators.vectors import stored_groups
 from clausewright.plans import retrieval as plan
 from workload import data as d
-from workload.records import INDEX_CTES, TOKENS_SQL, sparse_index
+from workload.records import INDEX_CTES, TOKENS_SQL, searched
+
 
 def unfiltered(asks):
     return asks.withColumns({name: F.lit(None).cast("string") for name in ("jurisdiction", "doc_type")})
@@ -23,12 +24,13 @@ def hits(df, *extra):
 
 
 def bm25_topk(spark, sf):
-    asks = unfiltered(d.asks(spark, sf))
-    return hits(search.sparse_search(sparse_index(spark, sf), d.fresh_corpus(spark, sf), asks))
+    index, chunks, _ = searched(spark, sf)
+    return hits(search.sparse_search(index, chunks, unfiltered(d.asks(spark, sf))))
 
 
 def sparse_filtered(spark, sf):
-    return hits(search.sparse_search(sparse_index(spark, sf), d.fresh_corpus(spark, sf), d.asks(spark, sf)))
+    index, chunks, _ = searched(spark, sf)
+    return hits(search.sparse_search(index, chunks, d.asks(spark, sf)))
 
 
 def dense_knn(spark, sf):
@@ -57,26 +59,24 @@ def dense_fetch(spark, sf):
 
 def sparse_pruned(spark, sf):
     """``sparse_filtered`` over groups of term lists."""
-    built = sparse_index(spark, sf)
-    index = replace(built, groups=materialise(group_documents(built.documents)))
-    return hits(search.sparse_search(index, d.fresh_corpus(spark, sf), d.asks(spark, sf)))
+    index, chunks, _ = searched(spark, sf)
+    grouped = replace(index, groups=materialise(group_documents(index.documents)))
+    return hits(search.sparse_search(grouped, chunks, d.asks(spark, sf)))
 
 
 def _lists(spark, sf):
-    asks = plan.normalise_queries(d.asks(spark, sf))
-    return asks, plan.hit_lists(
-        sparse_index(spark, sf), d.fresh_corpus(spark, sf), d.vectors(spark, sf), asks, d.boost_vector(spark, sf)
-    )
+    asks = materialise(plan.normalise_queries(d.asks(spark, sf)))
+    return plan.hit_lists(*searched(spark, sf), asks, d.boost_vector(spark, sf))
 
 
 def boost_append(spark, sf):
     asks = plan.normalise_queries(d.asks(spark, sf))
-    _, boosted = plan.dense_lists(d.vectors(spark, sf), asks, d.boost_vector(spark, sf))
+    _, boosted = plan.dense_lists(searched(spark, sf)[2], asks, d.boost_vector(spark, sf))
     return hits(boosted, "boosted")
 
 
 def rrf_fusion(spark, sf):
-    _, (_, boosted, sparse) = _lists(spark, sf)
+    _, boosted, sparse = _lists(spark, sf)
     return fusion.rrf_fuse(boosted, sparse).select(
         "query_id",
         "chunk_id",
@@ -89,13 +89,7 @@ def rrf_fusion(spark, sf):
 
 
 def results(spark, sf):
-    return plan.retrieve(
-        sparse_index(spark, sf),
-        d.fresh_corpus(spark, sf),
-        d.vectors(spark, sf),
-        d.asks(spark, sf),
-        d.boost_vector(spark, sf),
-    )
+    return plan.retrieve(*searched(spark, sf), d.asks(spark, sf), d.boost_vector(spark, sf))
 
 
 def hybrid_topk(spark, sf):

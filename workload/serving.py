@@ -10,7 +10,7 @@ from clausewright.schema import COUNCILS, JURISDICTIONS
 from clausewright.sources import extract, reading
 from workload import data as d
 from workload.answers import CHUNK_FIELDS_SQL, RESPONSE_SQL, joined, response_columns, response_ctes
-from workload.records import sparse_index
+from workload.records import searched
 from workload.retrieval import HYBRID_CTES
 
 
@@ -116,9 +116,7 @@ def _retrieved(spark, sf):
     from clausewright.plans.retrieval import retrieve
 
     checked = service.validate_requests(api_requests(spark, sf)).where(F.col("status") == 200)
-    return retrieve(
-        sparse_index(spark, sf), d.fresh_corpus(spark, sf), d.vectors(spark, sf), checked, d.boost_vector(spark, sf)
-    )
+    return retrieve(*searched(spark, sf), checked, d.boost_vector(spark, sf))
 
 
 def answer_end_to_end(spark, sf):
@@ -127,9 +125,7 @@ def answer_end_to_end(spark, sf):
 
 
 def _answered(spark, sf, requests):
-    rows = service.answer_requests(
-        sparse_index(spark, sf), d.fresh_corpus(spark, sf), d.vectors(spark, sf), requests, d.boost_vector(spark, sf)
-    )
+    rows = service.answer_requests(*searched(spark, sf), requests, d.boost_vector(spark, sf))
     return rows.select(
         "query_id",
         "council",
