@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PAGE = 256
+SLICE_ITEMS = 1 << 18
+
+
+def list_slices(lists: pa.Array) -> Iterator[pa.Array]:
+    """Parts of a list column with ``SLICE_ITEMS`` items at most, or of one list; work on a part needs little memory."""
+    before = np.append(0, np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(), dtype=np.int64))
+    a = 0
+    while a < len(lists):
+        b = max(a + 1, int(np.searchsorted(before, before[a] + SLICE_ITEMS, "right")) - 1)
+        yield lists.slice(a, b - a)
+        a = b
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -2,49 +2,69 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from clausewright.functions.arrays import l2_normalise, let
+from clausewright.functions.arrays import list_slices
 from clausewright.functions.text import tokenise
 
 BATCH = 32
 MODEL_NAME = "all-MiniLM-L6-v2"
 
 
-def hashed_counts(text: Column, dimensions: int) -> Column:
-    """Signed counts of a text's tokens, each in the dimension that its checksum names."""
+def signed_counts(tokens: pa.Array, dimensions: int) -> np.ndarray:
+    """A row of signed counts for each list of tokens."""
+    return np.concatenate([np.zeros((0, dimensions)), *(_signed(part, dimensions) for part in list_slices(tokens))])
+
+
+def _signed(tokens: pa.Array, dimensions: int) -> np.ndarray:
+    """The same for a part of a batch; a checksum is taken once for each distinct token."""
+    coded = tokens.flatten().dictionary_encode()
+    crc = np.array([zlib.crc32(t.encode()) for t in coded.dictionary.to_pylist()], dtype=np.int64)
+    place, sign = crc % dimensions, np.where(crc & 0x8000, 1, -1)
+    row = np.repeat(np.arange(len(tokens)), pc.list_value_length(tokens).to_numpy(zero_copy_only=False))
+    token = coded.indices.to_numpy()
+    sums = np.bincount(row * dimensions + place[token], sign[token], len(tokens) * dimensions)
+    return sums.reshape(len(tokens), dimensions)
+
 
-    def code(token: Column) -> Column:
-        signed = lambda c: (c % dimensions) * 2 + F.when(c.bitwiseAND(0x8000) != 0, 1).otherwise(0)
-        return let(F.crc32(token), signed)
+def _lists(rows: np.ndarray, kind: pa.DataType) -> pa.Array:
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rows.ravel()).cast(kind))
 
-    def runs(codes: Column) -> Column:
-        first = F.filter(F.transform(codes, lambda c, i: F.when((i == 0) | (c != F.get(codes, i - 1)), i)), lambda i: i.isNotNull())
-        end = lambda starts, j: F.coalesce(F.get(starts, j + 1), F.size(codes))
-        entries = lambda starts: F.transform(starts, lambda s, j: F.struct(F.get(codes, s), end(starts, j) - s))
-        return F.map_from_entries(let(first, entries))
 
-    def count(of: Column, k: Column) -> Column:
-        return F.coalesce(F.try_element_at(of, k), F.lit(0))
+def _tokens(text: Column) -> Column:
+    return tokenise(F.coalesce(text, F.lit("")))
 
-    def counts(of: Column) -> Column:
-        places = F.sequence(F.lit(0).cast("long"), F.lit(dimensions - 1).cast("long"))
-        return F.transform(places, lambda k: count(of, k * 2 + 1) - count(of, k * 2))
 
-    codes = F.array_sort(F.transform(tokenise(F.coalesce(text, F.lit(""))), code))
-    return let(let(codes, runs), counts)
+def hashed_counts(text: Column, dimensions: int) -> Column:
+    """Signed counts of a text's tokens, each in the dimension that its checksum names."""
+
+    @F.arrow_udf("array<int>")
+    def counts(tokens: pa.Array) -> pa.Array:
+        return _lists(signed_counts(tokens, dimensions), pa.int32())
+
+    return counts(_tokens(text))
 
 
 def hashing_embedder(dimensions: int = 64) -> Callable[[Column], Column]:
-    """Unit vectors of hashed token counts, as an expression. Needs no model; meant for tests and trials."""
+    """Unit vectors of hashed token counts, made in Arrow batches. Needs no model; meant for tests and trials."""
 
     def embed(text: Column) -> Column:
-        return l2_normalise(hashed_counts(text, dimensions)).cast("array<float>")
+        @F.arrow_udf("array<float>")
+        def unit(tokens: pa.Array) -> pa.Array:
+            counts = signed_counts(tokens, dimensions)
+            norm = np.sqrt((counts**2).sum(1, keepdims=True))
+            return _lists((counts / np.where(norm > 0, norm, 1.0)).astype(np.float32), pa.float32())
+
+        return unit(_tokens(text))
 
     return embed
 

@@ -1,17 +1,22 @@
 """Keyword index: postings, document frequencies and corpus totals.
 
-Term frequencies are counted inside each chunk's row (sort the tokens, then
-measure the runs), so postings are built without any shuffle. The only exchange
-is the one that counts chunks per term, after map-side combining.
+Term frequencies are counted inside Arrow batches of chunks (number the distinct
+tokens of a batch, then count pairs of a chunk and a number), so postings are
+built without any shuffle. The only exchange is the one that counts chunks per
+term, after map-side combining.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausewright.functions.arrays import list_slices
 from clausewright.functions.text import tokenise
 from clausewright.operators.sizing import at_most, materialise
 
@@ -36,29 +41,35 @@ class SparseIndex:
     groups: DataFrame | None = None
 
 
+def count_terms(tokens: pa.Array) -> pa.Array:
+    """For each list its length ``dl`` and ``terms``, its distinct tokens in order as ``term, tf``; NULL for NULL."""
+    length = pc.list_value_length(tokens)
+    coded = tokens.flatten().dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary)
+    rank = np.empty(len(order) + 1, dtype=np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    row = np.repeat(np.arange(len(tokens)), length.fill_null(0).to_numpy())
+    # one number for each pair of a row and a term, in the order of both
+    pairs, tf = np.unique(row * max(1, len(order)) + rank[coded.indices.to_numpy()], return_counts=True)
+    row, term = np.divmod(pairs, max(1, len(order)))
+    starts = pa.array(np.searchsorted(row, np.arange(len(tokens) + 1)), pa.int32())
+    words = coded.dictionary.take(order).take(pa.array(term))
+    runs = pa.StructArray.from_arrays([words, pa.array(tf, pa.int32())], ["term", "tf"])
+    mask = tokens.is_null() if tokens.null_count else None
+    return pa.StructArray.from_arrays([length.cast(pa.int32()), pa.ListArray.from_arrays(starts, runs, mask=mask)], ["dl", "terms"])
+
+
 def term_lists(df: DataFrame, tokens: Column, *keep: str, rows: bool = False) -> DataFrame:
     """For each row ``terms``, its distinct tokens as ``term, tf``, and the token count ``dl``; with ``rows`` a row for each term."""
-    ordered = df.select(*keep, F.sort_array(tokens).alias("_sorted"))
-    starts = ordered.select(
-        *keep,
-        "_sorted",
-        F.size("_sorted").alias("dl"),
-        F.filter(
-            F.transform(
-                F.col("_sorted"),
-                lambda t, i: F.when((i == 0) | (t != F.get(F.col("_sorted"), i - 1)), i),
-            ),
-            lambda i: i.isNotNull(),
-        ).alias("_starts"),
-    )
-    runs = F.transform(
-        F.col("_starts"),
-        lambda start, j: F.struct(
-            F.get(F.col("_sorted"), start).alias("term"),
-            (F.coalesce(F.get(F.col("_starts"), j + 1), F.col("dl")) - start).alias("tf"),
-        ),
-    )
-    return starts.select(*keep, "dl", F.inline(runs) if rows else runs.alias("terms"))
+
+    @F.arrow_udf("dl int, terms array<struct<term:string,tf:int>>")
+    def counted(lists: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())]))
+        none = pa.array([], pa.struct([("dl", pa.int32()), ("terms", kind)]))
+        return pa.concat_arrays([none, *map(count_terms, list_slices(lists))])
+
+    lists = df.select(*keep, counted(tokens).alias("_counted"))
+    return lists.select(*keep, "_counted.dl", F.inline("_counted.terms") if rows else F.col("_counted.terms").alias("terms"))
 
 
 def build_documents(chunks: DataFrame) -> DataFrame:
