@@ -62,19 +62,23 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def packed_group(table: pa.Table) -> pa.RecordBatch:
     lists = table.column("terms").combine_chunks()
     flat = lists.flatten()
-    place = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    place = np.repeat(np.arange(len(lists), dtype=np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     length = table.column("dl").to_numpy().astype(np.int64)
-    words, term = np.unique(np.array(flat.field("term").to_pylist(), object), return_inverse=True)
-    order = np.lexsort((place, term))
+    coded = flat.field("term").dictionary_encode()
+    sorting = pc.array_sort_indices(coded.dictionary)
+    words, rank = coded.dictionary.take(sorting), np.empty(len(sorting), dtype=np.int64)
+    rank[sorting.to_numpy()] = np.arange(len(sorting))
+    term = rank[coded.indices.to_numpy()]
+    order = np.argsort(term, kind="stable")  # places rise already
     count = flat.field("tf").to_numpy(zero_copy_only=False)[order]
     place, begins = place[order], np.searchsorted(term[order], np.arange(len(words) + 1))
     some = begins[:-1]
     most = np.maximum.reduceat(count, some) if len(words) else count
     least = np.minimum.reduceat(length[place], some) if len(words) else count
-    lists = [words.tolist(), most, least, table.column("chunk_id").to_pylist(), length, begins, place, count]
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-    columns = [pa.array([table.num_rows], pa.int32()), *(pa.array([np.asarray(x, object).tolist()], pa.list_(k)) for x, k in zip(lists, kinds))]
-    return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in GROUPS.split(", ")])
+    numbers = [pa.array(x, pa.int32()) for x in (most, least, length, begins, place, count)]
+    lists = [words, *numbers[:2], table.column("chunk_id").combine_chunks(), *numbers[2:]]
+    columns = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+    return pa.RecordBatch.from_arrays([pa.array([table.num_rows], pa.int32()), *columns], [f.split()[0] for f in GROUPS.split(", ")])
 
 
 class Asked:
