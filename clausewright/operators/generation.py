@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausewright.functions.arrays import let
 from clausewright.functions.text import contains_any, left, rx, ws_trim
 from clausewright.operators.checking import check_answers
 from clausewright.operators.fusion import accessor, context_string
@@ -117,9 +118,13 @@ def whole_json(text: Column) -> Column:
     only if one value and nothing else stands before it.
     """
     pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{SENTINEL}"]')))
-    single = F.try_variant_get(pair, "$[1]", "string") == SENTINEL
-    closed = F.try_variant_get(pair, "$[2]", "variant").isNull()
-    return F.when(single & closed, F.try_variant_get(pair, "$[0]", "variant"))
+
+    def first(both: Column) -> Column:
+        single = F.try_variant_get(both, "$[1]", "string") == SENTINEL
+        closed = F.try_variant_get(both, "$[2]", "variant").isNull()
+        return F.when(single & closed, F.try_variant_get(both, "$[0]", "variant"))
+
+    return let(pair, first)
 
 
 def parse_answer(raw: Column) -> Column:
@@ -127,11 +132,16 @@ def parse_answer(raw: Column) -> Column:
 
     JSON that is not an object takes the fallback too.
     """
-    clean = ws_trim(raw)
-    fenced = ws_trim(F.regexp_extract(clean, rx(FENCED), 1))
-    value = F.coalesce(whole_json(clean), whole_json(fenced), whole_json(F.regexp_extract(clean, BRACED, 0)))
-    is_object = F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit(False))
-    return F.when(is_object, value).otherwise(fallback_answer(raw))
+
+    def tried(clean: Column) -> Column:
+        fenced = ws_trim(F.regexp_extract(clean, rx(FENCED), 1))
+        return F.coalesce(whole_json(clean), whole_json(fenced), whole_json(F.regexp_extract(clean, BRACED, 0)))
+
+    def chosen(value: Column) -> Column:
+        is_object = F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit(False))
+        return F.when(is_object, value).otherwise(fallback_answer(raw))
+
+    return let(let(ws_trim(raw), tried), chosen)
 
 
 def answer_field(parsed: Column, name: str, kind: str) -> Column:
