@@ -49,6 +49,7 @@ BOOST_TYPE = "exemption_schedule"
 
 SCORE_DIGITS = 6
 SCORE_CELLS = 1 << 18  # keyword scores that a task adds up at a time
+SCORE_PAIRS = 1 << 20  # pairs of a query and a chunk's term that a task adds up at a time
 BROADCAST_QUERY_TERMS = 200_000
 BROADCAST_HITS = 100_000
 QUERY_BLOCK = 2_048
@@ -145,15 +146,21 @@ class _Terms(_Best):
         tf = flat.field("tf").to_numpy(zero_copy_only=False)[there].astype(np.float64)
         dl = part.column("dl").to_numpy(zero_copy_only=False).astype(np.float64)[chunk]
         impact = tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * dl / self.avgdl))
+        ids = part.column("chunk_id").to_numpy(zero_copy_only=False)
         asked = self.begin[term + 1] - self.begin[term]  # queries that have the term
+        ends = np.searchsorted(chunk, np.arange(part.num_rows + 1))
+        for a, b in chunk_ranges(np.append(0, np.cumsum(asked))[ends]):
+            own = slice(ends[a], ends[b])
+            self._add_up(ids[a:b], chunk[own] - a, term[own], asked[own], impact[own])
+
+    def _add_up(self, ids, chunk, term, asked, impact) -> None:
         pair = np.repeat(np.arange(len(term)), asked)
         place = np.arange(len(pair)) + (self.begin[term] - np.cumsum(asked) + asked)[pair]
         cell = chunk[pair] * len(self.ids) + self.query[place]
-        sums = np.bincount(cell, self.weight[place] * impact[pair], part.num_rows * len(self.ids))
-        sums = sums.reshape(part.num_rows, len(self.ids)).T
+        sums = np.bincount(cell, self.weight[place] * impact[pair], len(ids) * len(self.ids))
+        sums = sums.reshape(len(ids), len(self.ids)).T
         scores = np.round(sums, SCORE_DIGITS)
         query, chunk = np.nonzero((sums > 0) & (scores >= self.floor[:, None]))
-        ids = part.column("chunk_id").to_numpy(zero_copy_only=False)
         rows, first = np.unique(query, return_index=True)
         for row, own in zip(rows, np.split(chunk, first[1:])):
             self.keep(row, scores[row, own], ids[own])
@@ -161,6 +168,16 @@ class _Terms(_Best):
                 self.floor[row] = self.best[row][0][-1]
 
 
+def chunk_ranges(before: np.ndarray) -> list[tuple[int, int]]:
+    """Cuts chunks into ranges of ``SCORE_PAIRS`` pairs of a query and a term at most, or of one chunk; ``before``: the pairs before each chunk and after the last."""
+    ranges, a = [], 0
+    while a < len(before) - 1:
+        b = max(a + 1, int(np.searchsorted(before, before[a] + SCORE_PAIRS, "right")) - 1)
+        ranges.append((a, b))
+        a = b
+    return ranges
+
+
 def sparse_hits(index: SparseIndex, queries: DataFrame, limit: int, size: BatchSize | None = None) -> DataFrame:
     """Candidates for the ``limit`` best BM25 scores of each query: ``query_id, chunk_id, score``.
 
