@@ -23,6 +23,13 @@ CASE = {
     "second_doc": "CASE WHEN conv_id % 13 = 0 OR turn % 2 = 1 THEN NULL ELSE conv_id + turn + 1 END",
 }
 
+KEYS = 4096  # over which turns without a chunk are dealt
+
+
+def chunk_key(number):
+    """Key of a turn's chunk. Turns without one get keys that no chunk has, or one task of the join would get them all."""
+    return F.coalesce(number.cast("string"), F.concat(F.lit("none "), F.pmod(F.xxhash64("query_id"), F.lit(KEYS)).cast("string")))
+
 
 def cases(spark, sf):
     """Each turn as a question with an answer text and up to two retrieved chunks."""
@@ -43,15 +50,11 @@ def cases(spark, sf):
         ).alias("metadata"),
     )
     docs = d.fresh_corpus(spark, sf).select(F.col("chunk_index").cast("long").alias("n"), chunk.alias("c"))
-    first = docs.select(F.col("n").alias("first_doc"), F.col("c").alias("c1"))
-    second = docs.select(F.col("n").alias("second_doc"), F.col("c").alias("c2"))
+    for name, found in (("first_doc", "c1"), ("second_doc", "c2")):
+        own = docs.select(F.col("n").cast("string").alias("key"), F.col("c").alias(found))
+        turns = turns.withColumn("key", chunk_key(F.col(name))).join(own, "key", "left").drop("key", name)
     both = F.filter(F.array("c1", "c2"), lambda c: c.isNotNull())
-    return (
-        turns.join(first, "first_doc", "left")
-        .join(second, "second_doc", "left")
-        .withColumn("chunks", both)
-        .drop("first_doc", "second_doc", "c1", "c2")
-    )
+    return turns.withColumn("chunks", both).drop("c1", "c2")
 
 
 def joined(col):
