@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from clausewright.functions import arrays
@@ -112,3 +113,34 @@ def test_turns_without_a_chunk_are_dealt_over_many_keys(spark):
     rows = spark.range(2000).selectExpr("CAST(id AS STRING) AS query_id", "CAST(NULL AS BIGINT) AS n")
     keys = {r[0] for r in rows.select(chunk_key(F.col("n"))).collect()}
     assert len(keys) > 1000 and not any(k.lstrip("-").isdigit() for k in keys)
+
+
+CHECKED = "ref_grounding numeric_grounding answer_report report_before_answer flag_details prompt_build citations generate_mock"
+
+
+@pytest.mark.parametrize("name", ["cases", *CHECKED.split()])
+def test_no_task_gets_all_turns_without_a_chunk(spark, tmp_path, monkeypatch, name):
+    """Neither turns whose rule gives them no chunk nor turns without a number, which have no chunk of the second join."""
+    from workload import answers, data
+
+    shape = "conv_id long, turn long, text string"
+    tables = {
+        "documents": spark.read.parquet("/root/testdata/sf0.001/documents.parquet"),
+        "conversations": spark.createDataFrame(
+            [(13 * i, i % 7, f"no chunk {i}") for i in range(300)] + [(13 * i + 1, None, f"no number {i}") for i in range(300)], shape
+        ),
+    }
+    monkeypatch.setattr(data, "table", lambda spark, sf, table: tables[table])
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = getattr(answers, name)(spark, "unused").select("query_id", F.spark_partition_id().alias("task"))
+        by_kind = rows.groupBy(F.col("query_id").isNull().alias("unnumbered"), "task").count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for kind in {r.unnumbered for r in by_kind}:
+        sizes = [r["count"] for r in by_kind if r.unnumbered == kind]
+        assert max(sizes) < 0.5 * sum(sizes)

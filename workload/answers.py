@@ -26,9 +26,13 @@ CASE = {
 KEYS = 4096  # over which turns without a chunk are dealt
 
 
-def chunk_key(number):
-    """Key of a turn's chunk. Turns without one get keys that no chunk has, or one task of the join would get them all."""
-    return F.coalesce(number.cast("string"), F.concat(F.lit("none "), F.pmod(F.xxhash64("query_id"), F.lit(KEYS)).cast("string")))
+def chunk_key(number, *by):
+    """Key of a turn's chunk. Turns without one get keys that no chunk has, or one task of the join would get them all.
+
+    They are dealt by ``by``, the columns that tell turns apart; a turn without a number has no ``query_id``.
+    """
+    place = F.pmod(F.xxhash64(*(by or ("query_id",))), F.lit(KEYS))
+    return F.coalesce(number.cast("string"), F.concat(F.lit("none "), place.cast("string")))
 
 
 def cases(spark, sf):
@@ -52,7 +56,7 @@ def cases(spark, sf):
     docs = d.fresh_corpus(spark, sf).select(F.col("chunk_index").cast("long").alias("n"), chunk.alias("c"))
     for name, found in (("first_doc", "c1"), ("second_doc", "c2")):
         own = docs.select(F.col("n").cast("string").alias("key"), F.col("c").alias(found))
-        turns = turns.withColumn("key", chunk_key(F.col(name))).join(own, "key", "left").drop("key", name)
+        turns = turns.withColumn("key", chunk_key(F.col(name), "query_id", "query")).join(own, "key", "left").drop("key", name)
     both = F.filter(F.array("c1", "c2"), lambda c: c.isNotNull())
     return turns.withColumn("chunks", both).drop("c1", "c2")
 
