@@ -101,6 +101,34 @@ def test_an_answer_text_is_parsed_once_in_each_way(spark):
     assert raw.select(F.to_json(generation.parse_answer(F.col("raw")))).first()[0] == '{"a":1}'
 
 
+def test_turns_of_one_conversation_are_dealt_over_tasks(spark, monkeypatch):
+    from workload import answers, data
+
+    turns = spark.createDataFrame([(7, i, "same") for i in range(400)], "conv_id long, turn long, text string").coalesce(1)
+    tables = {"documents": spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "conversations": turns}
+    dealt = []
+    monkeypatch.setattr(data, "table", lambda spark, sf, table: tables[table])
+    monkeypatch.setattr(data, "spread", lambda *a, **k: dealt.append(spread(*a, **k)) or dealt[-1])
+    answers.cases(spark, "unused")
+    [rows] = [df for df in dealt if "conv_id" in df.columns]
+    assert max(r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()) < 300
+
+
+def test_documents_that_no_turn_names_are_not_moved(spark, monkeypatch):
+    """Three documents are named; with more numbers than are sent to all tasks none is left out, with the same cases."""
+    from workload import answers, data
+
+    turns = spark.createDataFrame([(1, 0, "a"), (4, 2, "b"), (13, 0, "c"), (10**7, 0, "d")], "conv_id long, turn long, text string")
+    tables = {"documents": spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "conversations": turns}
+    monkeypatch.setattr(data, "table", lambda spark, sf, table: tables[table])
+    docs = tables["documents"]
+    assert sorted(r.doc_id for r in answers.named_only(turns)(docs).collect()) == [1, 2, 7]
+    few = sorted(map(str, answers.cases(spark, "unused").collect()))
+    monkeypatch.setattr(answers, "WANTED", 0)
+    assert answers.named_only(turns)(docs).count() == docs.count() > 4
+    assert sorted(map(str, answers.cases(spark, "unused").collect())) == few
+
+
 def test_each_split_is_dealt_to_all_slots(spark):
     slots = spark.sparkContext.defaultParallelism
     two = spark.range(100).repartition(2)

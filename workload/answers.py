@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from clausewright.operators import checking, fusion, generation, prompts, providers
+from clausewright.operators.sizing import at_most
 from clausewright.schema import JURISDICTIONS
 from workload import data as d
 from workload.retrieval import BLOCK_SQL, ENTITIES_SQL
@@ -24,6 +25,22 @@ CASE = {
 }
 
 KEYS = 4096  # over which turns without a chunk are dealt
+WANTED = 500_000  # chunk numbers that are sent to all tasks; when turns name more, all documents are moved
+
+CHUNK = F.struct(
+    "text",
+    F.struct(
+        "chunk_id",
+        "section_ref",
+        "source_title",
+        "jurisdiction",
+        "document_type",
+        "confidence",
+        "is_stale",
+        F.date_format("effective_date", "yyyy-MM-dd").alias("effective_date"),
+        "needs_reverification",
+    ).alias("metadata"),
+)
 
 
 def chunk_key(number, *by):
@@ -35,25 +52,19 @@ def chunk_key(number, *by):
     return F.coalesce(number.cast("string"), F.concat(F.lit("none "), place.cast("string")))
 
 
-def cases(spark, sf):
-    """Each turn as a question with an answer text and up to two retrieved chunks."""
-    rows = d.spread(d.table(spark, sf, "conversations"), "conv_id")
-    turns = rows.selectExpr(*[f"{e} AS {n}" for n, e in CASE.items()])
-    chunk = F.struct(
-        "text",
-        F.struct(
-            "chunk_id",
-            "section_ref",
-            "source_title",
-            "jurisdiction",
-            "document_type",
-            "confidence",
-            "is_stale",
-            F.date_format("effective_date", "yyyy-MM-dd").alias("effective_date"),
-            "needs_reverification",
-        ).alias("metadata"),
-    )
-    docs = d.fresh_corpus(spark, sf).select(F.col("chunk_index").cast("long").alias("n"), chunk.alias("c"))
+def named_only(turns):
+    """Keeps the documents that some turn names. The others have no part in the joins, and their texts need not be moved."""
+    numbers = turns.selectExpr(f"explode(array({CASE['first_doc']}, {CASE['second_doc']})) AS n").where("n IS NOT NULL").distinct()
+    few = at_most(numbers, WANTED)
+    own = F.expr(d.CORPUS["chunk_index"]).cast("long")
+    return lambda docs: docs.join(F.broadcast(numbers), own == F.col("n"), "left_semi") if few else docs
+
+
+def cases(spark, sf, chunk=CHUNK):
+    """Each turn as a question with an answer text and up to two retrieved chunks, of which ``chunk`` is kept."""
+    table = d.table(spark, sf, "conversations")
+    turns = d.spread(table, "conv_id", "turn").selectExpr(*[f"{e} AS {n}" for n, e in CASE.items()])
+    docs = d.fresh_corpus(spark, sf, named_only(table)).select(F.col("chunk_index").cast("long").alias("n"), chunk.alias("c"))
     for name, found in (("first_doc", "c1"), ("second_doc", "c2")):
         own = docs.select(F.col("n").cast("string").alias("key"), F.col("c").alias(found))
         turns = turns.withColumn("key", chunk_key(F.col(name), "query_id", "query")).join(own, "key", "left").drop("key", name)

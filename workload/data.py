@@ -6,6 +6,8 @@ from the same rows and differ only in what is under test.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,17 +119,17 @@ def select_sql(columns: dict[str, str]) -> str:
 # -- Spark -----------------------------------------------------------------------------
 
 
-def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread(table(spark, sf, "documents"), "doc_id")
+def corpus(spark: SparkSession, sf: str, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    docs = spread(table(spark, sf, "documents"), "doc_id", keep=keep)
     return docs.selectExpr(*[f"{e} AS {n}" for n, e in CORPUS.items()]).withColumn(
         "ingested_at", F.timestamp_seconds("ingested_second")
     )
 
 
-def fresh_corpus(spark: SparkSession, sf: str) -> DataFrame:
+def fresh_corpus(spark: SparkSession, sf: str, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     from clausewright.operators.validation import with_freshness
 
-    return with_freshness(corpus(spark, sf), AS_OF)
+    return with_freshness(corpus(spark, sf, keep), AS_OF)
 
 
 def statutes(spark: SparkSession, sf: str) -> DataFrame:
