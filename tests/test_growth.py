@@ -15,6 +15,7 @@ from clausewright.functions import arrays
 from clausewright.operators import embedding, generation, impacts, index, search
 from clausewright.operators.sizing import spread
 from clausewright.sources import extract
+from conftest import SMALL
 
 TEXTS = ["a b a c.d", "", None, "É İx 7.5 7.5 z", "b " * 50]
 
@@ -129,6 +130,15 @@ def test_documents_that_no_turn_names_are_not_moved(spark, monkeypatch):
     assert sorted(map(str, answers.cases(spark, "unused").collect())) == few
 
 
+def test_texts_stay_where_no_turn_needs_them(spark):
+    """Entities are taken from a document before it is moved."""
+    from workload import answers
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    joins = plan(answers.ref_grounding(spark, SMALL)).split("Join LeftOuter")
+    assert "regexp_extract_all(lambda" not in joins[0] and joins[-1].count("struct(entities") == 2
+
+
 def test_each_split_is_dealt_to_all_slots(spark):
     slots = spark.sparkContext.defaultParallelism
     two = spark.range(100).repartition(2)

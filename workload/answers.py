@@ -97,8 +97,11 @@ def escalation(spark, sf):
 
 
 def ref_grounding(spark, sf):
-    refs = checking.ungrounded_references(F.col("generated"), fusion.entity_set(F.col("chunks")))
-    return cases(spark, sf).select("query_id", joined(refs).alias("ungrounded"))
+    """Entities are found once in each document, so that its text need not be moved to the turns."""
+    own = F.struct(fusion.entity_set(F.array(CHUNK)).alias("entities"))
+    entities = F.array_distinct(F.flatten(F.transform("chunks", lambda c: c["entities"])))
+    refs = checking.ungrounded_references(F.col("generated"), entities)
+    return cases(spark, sf, own).select("query_id", joined(refs).alias("ungrounded"))
 
 
 def numeric_grounding(spark, sf):
