@@ -131,12 +131,14 @@ def test_documents_that_no_turn_names_are_not_moved(spark, monkeypatch):
 
 
 def test_texts_stay_where_no_turn_needs_them(spark):
-    """Entities are taken from a document before it is moved."""
+    """Entities are taken from a document before it is moved; a report without an answer reads no text of a document."""
     from workload import answers
 
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     joins = plan(answers.ref_grounding(spark, SMALL)).split("Join LeftOuter")
     assert "regexp_extract_all(lambda" not in joins[0] and joins[-1].count("struct(entities") == 2
+    reads = [line for line in plan(answers.report_before_answer(spark, SMALL)).splitlines() if "Project [doc_id#" in line]
+    assert reads and not any("text#" in line for line in reads)
 
 
 def test_each_split_is_dealt_to_all_slots(spark):
