@@ -27,20 +27,23 @@ CASE = {
 KEYS = 4096  # over which turns without a chunk are dealt
 WANTED = 500_000  # chunk numbers that are sent to all tasks; when turns name more, all documents are moved
 
-CHUNK = F.struct(
-    "text",
-    F.struct(
-        "chunk_id",
-        "section_ref",
-        "source_title",
-        "jurisdiction",
-        "document_type",
-        "confidence",
-        "is_stale",
-        F.date_format("effective_date", "yyyy-MM-dd").alias("effective_date"),
-        "needs_reverification",
-    ).alias("metadata"),
-)
+
+def chunk():
+    """A document as a chunk. Columns need a session, and this module is read before there is one."""
+    return F.struct(
+        "text",
+        F.struct(
+            "chunk_id",
+            "section_ref",
+            "source_title",
+            "jurisdiction",
+            "document_type",
+            "confidence",
+            "is_stale",
+            F.date_format("effective_date", "yyyy-MM-dd").alias("effective_date"),
+            "needs_reverification",
+        ).alias("metadata"),
+    )
 
 
 def chunk_key(number, *by):
@@ -60,11 +63,12 @@ def named_only(turns):
     return lambda docs: docs.join(F.broadcast(numbers), own == F.col("n"), "left_semi") if few else docs
 
 
-def cases(spark, sf, chunk=CHUNK):
-    """Each turn as a question with an answer text and up to two retrieved chunks, of which ``chunk`` is kept."""
+def cases(spark, sf, kept=None):
+    """Each turn as a question with an answer text and up to two retrieved chunks, whole or only ``kept`` of each."""
     table = d.table(spark, sf, "conversations")
     turns = d.spread(table, "conv_id", "turn").selectExpr(*[f"{e} AS {n}" for n, e in CASE.items()])
-    docs = d.fresh_corpus(spark, sf, named_only(table)).select(F.col("chunk_index").cast("long").alias("n"), chunk.alias("c"))
+    kept = chunk() if kept is None else kept
+    docs = d.fresh_corpus(spark, sf, named_only(table)).select(F.col("chunk_index").cast("long").alias("n"), kept.alias("c"))
     for name, found in (("first_doc", "c1"), ("second_doc", "c2")):
         own = docs.select(F.col("n").cast("string").alias("key"), F.col("c").alias(found))
         turns = turns.withColumn("key", chunk_key(F.col(name), "query_id", "query")).join(own, "key", "left").drop("key", name)
@@ -98,7 +102,7 @@ def escalation(spark, sf):
 
 def ref_grounding(spark, sf):
     """Entities are found once in each document, so that its text need not be moved to the turns."""
-    own = F.struct(fusion.entity_set(F.array(CHUNK)).alias("entities"))
+    own = F.struct(fusion.entity_set(F.array(chunk())).alias("entities"))
     entities = F.array_distinct(F.flatten(F.transform("chunks", lambda c: c["entities"])))
     refs = checking.ungrounded_references(F.col("generated"), entities)
     return cases(spark, sf, own).select("query_id", joined(refs).alias("ungrounded"))
@@ -133,7 +137,7 @@ def answer_report(spark, sf):
 
 def report_before_answer(spark, sf):
     """Without an answer the texts of the chunks are not read, and not moved."""
-    textless = F.struct(F.lit(None).cast("string").alias("text"), CHUNK["metadata"].alias("metadata"))
+    textless = F.struct(F.lit(None).cast("string").alias("text"), chunk()["metadata"].alias("metadata"))
     checked = checking.check_answers(cases(spark, sf, textless))
     return checked.select("query_id", *report_columns(F.col("report")))
 
