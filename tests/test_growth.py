@@ -184,3 +184,38 @@ def test_no_task_gets_all_turns_without_a_chunk(spark, tmp_path, monkeypatch, na
     for kind in {r.unnumbered for r in by_kind}:
         sizes = [r["count"] for r in by_kind if r.unnumbered == kind]
         assert max(sizes) < 0.5 * sum(sizes)
+
+
+@pytest.mark.parametrize("name", ["cases", "numeric_grounding", "prompt_build", "generate_mock"])
+def test_no_task_gets_all_turns_that_name_one_document(spark, tmp_path, monkeypatch, name):
+    """Neither the turns of a long conversation, which share their first chunk, nor turns that share their second one."""
+    from workload import answers, data
+
+    long_one = [(5, i, f"long {i}") for i in range(200)]
+    tables = {
+        "documents": spark.read.parquet(f"{SMALL}/documents.parquet"),
+        "conversations": spark.createDataFrame(
+            long_one + [(6, 2, f"same number {i}") for i in range(300)] + [(i, 0, f"other {i}") for i in range(30)] + [(None, None, None)],
+            "conv_id long, turn long, text string",
+        ),
+    }
+    monkeypatch.setattr(data, "table", lambda spark, sf, table: tables[table])
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        whole = getattr(answers, name)(spark, "unused").collect()
+        monkeypatch.setattr(answers, "SHARE", 10)
+        rows = getattr(answers, name)(spark, "unused")
+        dealt = rows.withColumn("task", F.spark_partition_id()).collect()
+        assert sorted(map(str, rows.collect())) == sorted(map(str, whole)) and len(whole) == 531
+        turns = answers.cases(spark, "unused").selectExpr("query_id", "query", "CAST(5 AS LONG) AS first_doc")
+        often = spark.createDataFrame([(5, 60)], "n long, shares int")
+        docs, turns = answers.with_keys(spark.range(9).toDF("n"), turns, "first_doc", often)
+        assert docs.count() == 68 and max(r["count"] for r in turns.groupBy("key").count().collect()) < 60
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    sizes = Counter(r.task for r in dealt if r.query_id == "6-2")
+    assert max(sizes.values()) < 0.5 * sum(sizes.values())

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from clausewright.operators import checking, fusion, generation, prompts, providers
-from clausewright.operators.sizing import at_most
+from clausewright.operators.sizing import at_most, materialise
 from clausewright.schema import JURISDICTIONS
 from workload import data as d
 from workload.retrieval import BLOCK_SQL, ENTITIES_SQL
@@ -26,6 +26,7 @@ CASE = {
 
 KEYS = 4096  # over which turns without a chunk are dealt
 WANTED = 500_000  # chunk numbers that are sent to all tasks; when turns name more, all documents are moved
+SHARE = 4096  # turns that meet a document under one key; a document that more turns name gets several keys
 
 
 def chunk():
@@ -55,23 +56,51 @@ def chunk_key(number, *by):
     return F.coalesce(number.cast("string"), F.concat(F.lit("none "), place.cast("string")))
 
 
+def numbers_of(turns):
+    """The number of each chunk that a turn names."""
+    return turns.selectExpr(f"explode(array({CASE['first_doc']}, {CASE['second_doc']})) AS n").where("n IS NOT NULL")
+
+
 def named_only(turns):
     """Keeps the documents that some turn names. The others have no part in the joins, and their texts need not be moved."""
-    numbers = turns.selectExpr(f"explode(array({CASE['first_doc']}, {CASE['second_doc']})) AS n").where("n IS NOT NULL").distinct()
+    numbers = numbers_of(turns).distinct()
     few = at_most(numbers, WANTED)
     own = F.expr(d.CORPUS["chunk_index"]).cast("long")
     return lambda docs: docs.join(F.broadcast(numbers), own == F.col("n"), "left_semi") if few else docs
 
 
+def often_named(turns):
+    """Documents that more than ``SHARE`` turns name, as the turns of a long conversation do, with a number of keys for
+    each; None when there are none. No more than one in ``SHARE`` of all numbers is such a document."""
+    counted = numbers_of(turns).groupBy("n").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
+    often = materialise(counted.where("shares > 1"))
+    return None if at_most(often, 0) else often
+
+
+def with_keys(docs, turns, name, often):
+    """Both sides of a join by ``key``: a document stands under each of its keys once, a turn has one of them."""
+    number, by = F.col("n").cast("string"), ("query_id", "query")
+    key = chunk_key(F.col(name), *by)
+    if often is None:
+        return docs.withColumn("key", number), turns.withColumn("key", key)
+    docs = docs.join(F.broadcast(often), "n", "left")
+    keys = F.transform(F.sequence(F.lit(1), F.coalesce("shares", F.lit(1))), lambda i: F.concat(number, F.lit(" "), i.cast("string")))
+    docs = docs.withColumn("key", F.explode(F.when(F.col("shares").isNull(), F.array(number)).otherwise(keys))).drop("shares")
+    place = F.concat(key, F.lit(" "), (F.pmod(F.xxhash64(*by), F.col("shares")) + 1).cast("string"))
+    turns = turns.join(F.broadcast(often.withColumnRenamed("n", name)), name, "left")
+    return docs, turns.withColumn("key", F.coalesce(place, key)).drop("shares")
+
+
 def cases(spark, sf, kept=None):
     """Each turn as a question with an answer text and up to two retrieved chunks, whole or only ``kept`` of each."""
     table = d.table(spark, sf, "conversations")
     turns = d.spread(table, "conv_id", "turn").selectExpr(*[f"{e} AS {n}" for n, e in CASE.items()])
     kept = chunk() if kept is None else kept
     docs = d.fresh_corpus(spark, sf, named_only(table)).select(F.col("chunk_index").cast("long").alias("n"), kept.alias("c"))
+    often = often_named(table)
     for name, found in (("first_doc", "c1"), ("second_doc", "c2")):
-        own = docs.select(F.col("n").cast("string").alias("key"), F.col("c").alias(found))
-        turns = turns.withColumn("key", chunk_key(F.col(name), "query_id", "query")).join(own, "key", "left").drop("key", name)
+        own, turns = with_keys(docs, turns, name, often)
+        turns = turns.join(own.select("key", F.col("c").alias(found)), "key", "left").drop("key", name)
     both = F.filter(F.array("c1", "c2"), lambda c: c.isNotNull())
     return turns.withColumn("chunks", both).drop("c1", "c2")
 
