@@ -7,6 +7,10 @@ length of a chunk that has it, which together bound what the term adds to a
 score in this group, whatever the mean length of the collection is. A search
 reads these columns, scores the groups that promise most for each query, and
 then those of the others whose bound reaches the score of the query's last hit.
+
+A task holds whole rows, several at a time and in more than one copy. A group
+therefore has a bounded number of terms, and its longest lists, which have a number
+for each term of each chunk, are kept as bytes.
 """
 
 from __future__ import annotations
@@ -23,40 +27,79 @@ from pyspark.sql import functions as F
 from clausewright.operators.index import B, K1
 from clausewright.operators.sizing import at_most, broadcast_when, few_values, materialise, restrict
 
-GROUP_ROWS = 256  # chunks of a group
+GROUP_ROWS = 256  # chunks of a group, at most
+GROUP_TERMS = 1 << 16  # terms of its chunks in all, at most, unless one chunk has more
+LENGTH_CLASSES = 16  # classes of chunks whose length at most doubles
 PASS_TERMS = 200_000  # weighted query terms that are sent to all tasks at a time
 PROBE = 4  # times a query's limit: chunks of the groups that are scored first
 PAIR_ROWS = 100_000  # groups with lists of queries that are sent to all tasks
 CELLS = 1 << 18
+SCORE_PAIRS = 1 << 19  # pairs of a query's term and a chunk that are added up at a time
 DIGITS = 6
 SLACK = 2e-6  # more than rounding can move a score or a bound
 
 BOUNDS = "n int, words array<string>, most array<int>, least array<int>"
-GROUPS = f"{BOUNDS}, ids array<string>, lengths array<int>, begins array<int>, places array<int>, counts array<int>"
+GROUPS = f"{BOUNDS}, ids array<string>, lengths array<int>, begins binary, places binary, counts binary"
+AS_BYTES = ("begins", "places", "counts")
 HITS = "query_id string, chunk_id string, score double"
 
 
 def group_documents(documents: DataFrame, prefix: str = "") -> DataFrame:
     """Groups of term lists, to be written before they are searched. ``documents``: ``chunk_id, dl, terms``.
 
-    Chunks are dealt out by ranges of (length, id), so equally long ones are split. ``group_id`` begins with ``prefix``.
+    Chunks of about one length are dealt to tasks by their size in bytes, as equally many long chunks would be far
+    more than short ones. ``group_id`` begins with ``prefix``.
     """
-    ordered = documents.repartitionByRange("dl", "chunk_id").sortWithinPartitions("dl", "chunk_id")
-    packed = ordered.select("chunk_id", "dl", "terms").mapInArrow(pack, GROUPS)
+    length_class = F.floor(F.log2(F.col("dl") + 1) * LENGTH_CLASSES)
+    dealt = documents.select("chunk_id", "dl", "terms", length_class.alias("_class")).hint("rebalance", "_class")
+    packed = dealt.drop("_class").sortWithinPartitions("dl", "chunk_id").mapInArrow(pack, GROUPS)
     return packed.withColumn("group_id", F.concat(F.lit(prefix), F.monotonically_increasing_id().cast("string")))
 
 
+def ranges(sizes: np.ndarray, most: int, rows: int | None = None) -> list[tuple[int, int]]:
+    """Cuts items into runs of ``rows`` items and of sizes that add up to ``most`` at most, or of one item."""
+    before, out, a = np.append(0, np.cumsum(sizes, dtype=np.int64)), [], 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(before, before[a] + most, "right")) - 1)
+        out.append((a, b if rows is None else min(b, a + rows)))
+        a = out[-1][1]
+    return out
+
+
 def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rest = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         table = table if rest is None else pa.concat_tables([rest, table])
-        whole = table.num_rows - table.num_rows % GROUP_ROWS
-        for at in range(0, whole, GROUP_ROWS):
-            yield packed_group(table.slice(at, GROUP_ROWS).combine_chunks())
-        rest = table.slice(whole)
-    if rest is not None and rest.num_rows:
-        yield packed_group(rest.combine_chunks())
+        sizes = pc.list_value_length(table.column("terms")).fill_null(0).to_numpy()
+        groups = ranges(sizes, GROUP_TERMS, GROUP_ROWS)
+        for a, b in groups[:-1]:
+            yield with_bytes(packed_group(table.slice(a, b - a).combine_chunks()))
+        # a copy of the chunks that are left, as a slice would keep the whole batch
+        rest = table.take(pa.array(range(*groups[-1]), pa.int64())) if groups else None
+    if rest is not None:
+        yield with_bytes(packed_group(rest.combine_chunks()))
+
+
+def with_bytes(group: pa.RecordBatch) -> pa.RecordBatch:
+    """The same with its longest lists as bytes, as few for each number as the largest one needs.
+
+    What is kept is each number's difference from the one before, modulo the width, which the files compress better.
+    """
+
+    def packed(numbers: np.ndarray) -> bytes:
+        own = numbers.astype(np.min_scalar_type(numbers.max(initial=0)).newbyteorder("<"))
+        return np.diff(own, prepend=own.dtype.type(0)).astype(own.dtype).tobytes()
+
+    columns = [pa.array([packed(c.values.to_numpy())], pa.binary()) if n in AS_BYTES else c for n, c in zip(group.schema.names, group.columns)]
+    return pa.RecordBatch.from_arrays(columns, group.schema.names)
+
+
+def numbers_of(column: pa.Scalar, n: int) -> np.ndarray:
+    """The ``n`` numbers of a list that is kept as bytes."""
+    raw = column.as_buffer()
+    steps = np.frombuffer(raw, f"<u{raw.size // n}") if n else np.empty(0, np.uint8)
+    return np.cumsum(steps, dtype=steps.dtype)
 
 
 def packed_group(table: pa.Table) -> pa.RecordBatch:
@@ -118,13 +161,18 @@ class Asked:
         compact[wanted] = np.arange(len(wanted))
         own = compact[query] >= 0
         where, query, weight = where[own], compact[query[own]], weight[own]
-        begins, place, count, length = (row[c].values.to_numpy().astype(np.int64) for c in ("begins", "places", "counts", "lengths"))
+        begins = numbers_of(row["begins"], len(row["words"].values) + 1).astype(np.int64)
+        place, count = (numbers_of(row[c], begins[-1]) for c in ("places", "counts"))
+        length, size = row["lengths"].values.to_numpy().astype(np.float64), len(row["ids"].values)
         n = begins[where + 1] - begins[where]
-        pair = np.repeat(np.arange(len(where)), n)
-        at = np.arange(len(pair)) + (begins[where] - np.cumsum(n) + n)[pair]
-        add = weight[pair] * self.impact(count[at].astype(np.float64), length[place[at]].astype(np.float64))
-        size = len(row["ids"].values)
-        return np.bincount(query[pair] * size + place[at], add, len(wanted) * size).reshape(-1, size)
+        sums = np.zeros(len(wanted) * size)
+        for a, b in ranges(n, SCORE_PAIRS):
+            own = n[a:b]
+            pair = np.repeat(np.arange(a, b), own)
+            at = np.arange(len(pair)) + np.repeat(begins[where[a:b]] - np.cumsum(own) + own, own)
+            add = weight[pair] * self.impact(count[at].astype(np.float64), length[place[at]])
+            np.add.at(sums, query[pair] * size + place[at], add)
+        return sums.reshape(-1, size)
 
 
 def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:

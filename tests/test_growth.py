@@ -67,6 +67,58 @@ def test_a_group_is_packed_without_python_objects():
     }
 
 
+def _term_lists(sizes):
+    """One chunk for each size, with so many terms; every third term is in all of them."""
+    kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())]))
+    terms = [[{"term": f"w{k:04d}" if k % 3 == 0 else f"w{k:04d}c{i}", "tf": 1 + (i + k) % 300} for k in range(n)] for i, n in enumerate(sizes)]
+    return pa.table({"chunk_id": [f"c{i:03d}" for i in range(len(sizes))], "dl": pa.array(sizes, pa.int32()), "terms": pa.array(terms, kind)})
+
+
+def test_groups_of_long_chunks_have_fewer_of_them(monkeypatch):
+    """However the chunks come, and with the numbers of the plain lists, which are kept as bytes."""
+    monkeypatch.setattr(impacts, "GROUP_ROWS", 4)
+    monkeypatch.setattr(impacts, "GROUP_TERMS", 30)
+    table = _term_lists([0, 1, 2, 3, 4, 12, 12, 12, 25, 500, 7])
+    for size in (1, 3, 11):
+        groups = [g.to_pylist()[0] | {"row": row} for g in impacts.pack(iter(table.to_batches(size))) for row in impacts.rows_of(g)]
+        assert [g["n"] for g in groups] == [4, 3, 1, 1, 1, 1]
+        at = 0
+        for group in groups:
+            [plain] = impacts.packed_group(table.slice(at, group["n"]).combine_chunks()).to_pylist()
+            assert all(group[c] == plain[c] for c in ("words", "most", "least", "ids", "lengths"))
+            for c in impacts.AS_BYTES:
+                assert impacts.numbers_of(group["row"][c], len(plain[c])).tolist() == plain[c]
+            assert len(group["places"]) == len(plain["places"]) and len(group["counts"]) <= 2 * len(plain["counts"])
+            at += group["n"]
+
+
+def test_scores_of_a_group_are_added_up_a_few_pairs_at_a_time(monkeypatch):
+    [group] = impacts.pack(iter(_term_lists([9, 30, 60, 61]).to_batches()))
+    [row] = impacts.rows_of(group)
+    asked = [(f"q{q}", f"w{k:04d}", 0.1 + q / 7 + k / 11) for q in range(5) for k in range(0, 60, 2 + q)]
+    own = impacts.Asked(pa.table(dict(zip(("query_id", "term", "weight"), zip(*asked)))), 20.0)
+    whole = own.scores(row, np.arange(5))
+    made = []
+    monkeypatch.setattr(impacts, "ranges", lambda sizes, most, kept=impacts.ranges: made.append(kept(sizes, 7)) or made[-1])
+    assert (own.scores(row, np.arange(5)) == whole).all() and whole.any() and len(made[0]) > 10
+
+
+def test_no_task_groups_all_long_chunks(spark):
+    """A tenth of the chunks is long and has nearly all the terms."""
+    table = _term_lists([5] * 360 + [300] * 40)
+    documents = spark.createDataFrame(table.to_pylist(), "chunk_id string, dl int, terms array<struct<term:string,tf:int>>").repartition(16, "chunk_id")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    try:
+        rows = impacts.group_documents(documents).select("n", F.size("words").alias("words"), F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert sum(r.n for r in rows) == 400
+    words = Counter()
+    for r in rows:
+        words[r.task] += r.words
+    assert max(words.values()) < 0.5 * sum(words.values())
+
+
 def test_scores_are_added_up_a_few_pairs_at_a_time(monkeypatch):
     monkeypatch.setattr(search, "SCORE_PAIRS", 10)
     before = np.array([0, 4, 9, 10, 40, 41])
